@@ -262,6 +262,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, index_words:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    # a key that is never null: else one join would filter nulls, and the two could not share an exchange
+    base = base.withColumn("k", F.coalesce("doc_id", "h"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,6 +279,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, index_words:
         for b in batches:
             rows = []
             for d, h, t, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3), strict=True):
+                if d is None:
+                    continue
                 words = t.split()
                 m, first, count = routes(words, window, seed)
                 key = signed(m)
@@ -286,7 +290,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, index_words:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["m", "stretch", "doc_id", "h", "first"])
 
     # either join reads the same exchange of texts by doc_id
-    with_flags = base.join(flagged, "doc_id").select("doc_id", "h", "text", "ms")
+    with_flags = base.join(flagged.withColumnRenamed("doc_id", "k"), "k").select("doc_id", "h", "text", "ms")
     found = map_arrow(with_flags, stretches, "m long, stretch binary, doc_id long, h long, first long")
     sharded = found.repartition(n, "m").sortWithinPartitions("m", "stretch", "doc_id")
     spans = map_arrow(sharded, lambda batches: _shard(batches, window, index_words), "doc_id long, h long, start long, past long")
@@ -294,7 +298,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, index_words:
 
 
 def _removed(base: DataFrame, spans: DataFrame) -> DataFrame:
-    by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "past")).alias("spans"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set(F.struct("h", "start", "past")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,13 +307,13 @@ def _removed(base: DataFrame, spans: DataFrame) -> DataFrame:
                 words = t.split()
                 gone = np.zeros(len(words), bool)
                 for s in sp or ():
-                    if s["h"] == h:
+                    if s["h"] == h and d is not None:
                         gone[s["start"] : s["past"]] = True
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if sp else words
                 rows.append((d, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = base.join(by_doc, "doc_id", "left").select("doc_id", "h", "text", "spans")
+    rows = base.join(by_doc, "k", "left").select("doc_id", "h", "text", "spans")
     return map_arrow(rows, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
