@@ -4,7 +4,9 @@
    rare to common (any order gives the same links; this one keeps passages that many documents share out of prefixes). The same pass
    gives each document's set size and digest: documents with one digest are one class.
 2. Sets that share 80 % share a shingle among the first n - ceil(0.8 n) + 1 of either. Prefix shingles are dealt by value; the classes that share
-   one are named after the smallest of them, their block's centre. Every pair that can link is in one block at least.
+   one are named after the smallest of them, their block's centre. Every pair that can link is in one block at least. Members whose
+   counts of shingles in CELLS parts of the hash space rule out a link with any other member leave the block: the sum of the
+   cells' lesser counts bounds an overlap from above, so no link is lost.
 3. Each block is a trie of its sets, common shingles first, so that near copies share paths. A probe goes down with its overlap so
    far and leaves subtrees that can't reach the threshold, or whose sets it is connected with already: only what changes
    connectivity is reported, never all pairs of a group.
@@ -29,6 +31,8 @@ SHINGLE, PERCENT = 5, 80
 #: Buckets of the table that orders shingles; its reported part goes to the executors (at most 12 bytes a bucket).
 ORDER_BUCKETS = 1 << 20
 BLOCK_SETS = 1500
+#: Parts of the hash space whose counts (a byte each) bound overlaps; a count of 255 or more bounds nothing.
+CELLS = 128
 
 _words = WordHashes()
 
@@ -41,6 +45,10 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(w, k)) if len(w) >= k else gram_hashes(w, len(w)) ^ np.uint64(len(w))
 
 
+def cells(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def digest(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -52,7 +60,7 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (doc_id, n, digest), then a row for each bucket that stands out (bucket, count)."""
     counts, waiting, held = np.zeros(ORDER_BUCKETS, np.int64), [], 0
-    names = ["doc_id", "n", "d", "bucket", "c"]
+    names = ["doc_id", "n", "d", "cells", "bucket", "c"]
     none = lambda k, t: pa.nulls(k, t)
     for b in batches:
         sets = [shingles(t) for t in as_bytes(b.column(1))]
@@ -61,12 +69,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held > 1 << 20:
             counts += np.bincount((np.concatenate(waiting) & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64), minlength=ORDER_BUCKETS)
             waiting, held = [], 0
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), none(len(sets), pa.int32()), none(len(sets), pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([cells(s) for s in sets], pa.binary()), none(len(sets), pa.int32()), none(len(sets), pa.int64())], names=names)
     if waiting:
         counts += np.bincount((np.concatenate(waiting) & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64), minlength=ORDER_BUCKETS)
     at = np.flatnonzero(counts > 4 * counts.mean() + 8)
     if len(at):
-        yield pa.RecordBatch.from_arrays([none(len(at), pa.int64()), none(len(at), pa.int64()), none(len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=names)
+        yield pa.RecordBatch.from_arrays([none(len(at), pa.int64()), none(len(at), pa.int64()), none(len(at), pa.int64()), none(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=names)
 
 
 def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -188,6 +196,34 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield batch(out)
 
 
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of blocks' rows (center, d, n, cells) sorted by center, those that the cells' counts don't keep apart from all others of the block."""
+    def partners(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        n = np.array([r[2] for r in rows])
+        v = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), CELLS)
+        free = v.max(1) == 255
+        for i, r in enumerate(rows):
+            bound = np.minimum(v[i], v).sum(1, dtype=np.int64)
+            ok = ((100 + percent) * bound >= percent * (n + n[i])) | free | free[i]
+            ok[i] = False
+            if ok.any():
+                yield r[0], r[1]
+
+    out, rows, key = [], [], None
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[0] != key:
+                out += partners(rows) if len(rows) > 1 else ()
+                rows, key = [], r[0]
+            rows.append(r)
+        if len(out) > 8192:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["center", "d"])
+            out = []
+    out += partners(rows) if len(rows) > 1 else ()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["center", "d"])
+
+
 def _joined(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """blocks (center, chunk, d, probe, doc_id) with texts, each chunk in one task."""
     n = shuffle_partitions(blocks.sparkSession)
@@ -205,7 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = B
     """
     spark = docs.sparkSession
     base = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    scan = stored(map_arrow(base, _scan, "doc_id long, n long, d long, bucket int, c long"), "sets")
+    scan = stored(map_arrow(base, _scan, "doc_id long, n long, d long, cells binary, bucket int, c long"), "sets")
     top = scan.where("bucket is not null").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # at most ORDER_BUCKETS rows
     common = np.zeros(ORDER_BUCKETS, np.int8)
     common[top["bucket"].to_numpy()] = np.log2(np.maximum(1, top["c"].to_numpy())).astype(np.int8)
@@ -247,28 +283,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = B
     wide_batches(spark)
     pairs = dealt.mapInArrow(groups, "center long, d long").groupBy("center", "d").agg(F.lit(1).alias("one")).drop("one")
     pairs = stored(pairs, "pairs")
-    sizes = pairs.groupBy("center").agg(F.count("*").alias("members"))
-    chunks = F.ceil(F.col("members") / F.lit(block_sets)).cast("int")
-    members = pairs.join(sizes, "center").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int"))
-    centres = sizes.withColumn("chunks", chunks).select("center", F.col("center").alias("d"), "members", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    blocks = members.unionByName(centres)
+    sizes = pairs.groupBy("center").agg((F.count("*") + 1).alias("members"))
     # one document stands for its class
-    classes = sets.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("least"))
+    classes = stored(sets.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells")), "classes")
+    rows = pairs.unionByName(sizes.select("center", F.col("center").alias("d"))).join(sizes, "center")
+    # blocks of one chunk lose the members that the bound keeps apart; larger ones go on whole
+    few = rows.where(F.col("members") <= block_sets).select("center", "d").join(classes, "d").select("center", "d", "n", "cells").repartition(n, "center").sortWithinPartitions("center")
+    wide_batches(spark)
+    few = few.mapInArrow(lambda batches: _possible(batches, percent), "center long, d long").withColumn("chunks", F.lit(1)).withColumn("chunk", F.lit(0))
+    chunks = F.ceil(F.col("members") / F.lit(block_sets)).cast("int")
+    many = rows.where(F.col("members") > block_sets).withColumn("chunks", chunks)
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    many = many.select("center", "d", "chunks", F.explode(F.when(F.col("d") == F.col("center"), every).otherwise(F.array(F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int")))).alias("chunk"))
+    blocks = stored(few.unionByName(many), "blocks")
     stands = classes.select("d", F.col("least").alias("doc_id"))
     first = stored(_joined(blocks.join(stands, "d").select("center", "chunk", "d", F.lit(False).alias("probe"), "doc_id"), base, percent), "links")
     links = first.where("d <> root").select(F.col("d").alias("u"), F.col("root").alias("v"))
-    if not sizes.where(chunks > 1).isEmpty():
+    if not blocks.where("chunks > 1").isEmpty():
         big = blocks.where("chunks > 1")
         # in a chunk, those that are not in the centre's component
         roots = first.where("d = center").select("center", "chunk", F.col("root").alias("centre_root"))
-        loose = first.join(roots, ["center", "chunk"]).where("root <> centre_root").select("center", "d").join(big.select("center", "chunks").distinct(), "center")
+        loose = first.join(roots, ["center", "chunk"], "left").where("centre_root is null or root <> centre_root").select("center", "d").join(big.select("center", "chunks").distinct(), "center")
         probes = loose.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("center", "chunk", "d", F.lit(True).alias("probe"))
         hit = probes.select("center", "chunk").distinct()
         again = big.join(hit, ["center", "chunk"]).select("center", "chunk", "d", F.lit(False).alias("probe")).unionByName(probes)
         second = stored(_joined(again.join(stands, "d").select("center", "chunk", "d", "probe", "doc_id"), base, percent), "links2")
         links = links.unionByName(second.where("d <> root").select(F.col("d").alias("u"), F.col("root").alias("v")))
     comp = components(links)
-    labelled = stored(classes.join(comp, classes["d"] == comp["u"], "left").select("d", "least", F.coalesce("root", "d").alias("root")), "classes")
+    labelled = stored(classes.join(comp, classes["d"] == comp["u"], "left").select("d", "least", F.coalesce("root", "d").alias("root")), "labelled")
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = labelled.join(ids, "root").select("d", "component_id")
     return sets.join(by_class, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
