@@ -5,7 +5,7 @@
    gives each document's set size and digest: documents with one digest are one class.
 2. Sets that share 80 % share a shingle among the first n - ceil(0.8 n) + 1 of either. Prefix shingles are dealt by value; the classes that share
    one are named after the smallest of them, their block's centre. Every pair that can link is in one block at least. Members whose
-   counts of shingles in CELLS parts of the hash space rule out a link with any other member leave the block: the sum of the
+   counts of shingles in parts of the hash space rule out a link with any other member leave the block: the sum of the
    cells' lesser counts bounds an overlap from above, so no link is lost.
 3. Each block is a trie of its sets, common shingles first, so that near copies share paths. A probe goes down with its overlap so
    far and leaves subtrees that can't reach the threshold, or whose sets it is connected with already: only what changes
@@ -31,8 +31,9 @@ SHINGLE, PERCENT = 5, 80
 #: Buckets of the table that orders shingles; its reported part goes to the executors (at most 12 bytes a bucket).
 ORDER_BUCKETS = 1 << 20
 BLOCK_SETS = 1500
-#: Parts of the hash space whose counts (a byte each) bound overlaps; a count of 255 or more bounds nothing.
-CELLS = 128
+#: Least and largest number of parts of the hash space whose counts (a byte each; 255 or more bounds nothing) bound overlaps; a
+#: set has parts for four to eight shingles each.
+CELLS = 64, 1 << 16
 
 _words = WordHashes()
 
@@ -46,7 +47,8 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
 
 
 def cells(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    k = min(max(CELLS[0], 1 << max(0, (len(s) - 1) // 8).bit_length()), CELLS[1])
+    return np.minimum(np.bincount((s >> np.uint64(65 - k.bit_length())).astype(np.int64), minlength=k), 255).astype(np.uint8).tobytes()
 
 
 def digest(s: np.ndarray) -> int:
@@ -200,14 +202,29 @@ def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     """Of blocks' rows (center, d, n, cells) sorted by center, those that the cells' counts don't keep apart from all others of the block."""
     def partners(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         n = np.array([r[2] for r in rows])
-        v = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), CELLS)
-        free = v.max(1) == 255
-        for i, r in enumerate(rows):
-            bound = np.minimum(v[i], v).sum(1, dtype=np.int64)
-            ok = ((100 + percent) * bound >= percent * (n + n[i])) | free | free[i]
-            ok[i] = False
-            if ok.any():
-                yield r[0], r[1]
+        kinds = np.array([len(r[3]) for r in rows])
+        counts = [np.frombuffer(r[3], np.uint8) for r in rows]
+        free = np.array([c.max() == 255 for c in counts])
+        keep = free.copy()
+        if free.any():
+            keep[:] = True
+        for k in np.unique(kinds).tolist():
+            # sets of as many cells against them and those of more, whose neighbouring cells are added up
+            fine = np.flatnonzero(kinds >= k)
+            v = np.stack([counts[i] if len(counts[i]) == k else counts[i].reshape(k, -1).sum(1, dtype=np.uint16) for i in fine])
+            for at, i in enumerate(fine.tolist()):
+                if kinds[i] != k:
+                    continue
+                near = np.flatnonzero((100 * n[fine] >= percent * n[i]) & (100 * n[i] >= percent * n[fine]))
+                near = near[near != at]
+                if len(near):
+                    bound = np.minimum(v[at], v[near]).sum(1, dtype=np.int64)
+                    ok = (100 + percent) * bound >= percent * (n[fine[near]] + n[i])
+                    if ok.any():
+                        keep[i] = True
+                        keep[fine[near[ok]]] = True
+        for i in np.flatnonzero(keep).tolist():
+            yield rows[i][0], rows[i][1]
 
     out, rows, key = [], [], None
     for b in batches:
