@@ -4,7 +4,6 @@ stated size and page indexes, so that ids and metadata can be read apart and by
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,10 +12,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, as_text, map_arrow, new_path, read_table, shuffle_partitions
+from .common import as_text, map_arrow, new_path, read_table, shuffle_partitions
 
-#: Between these two characters a lone space starts a new pre-token, in either kind of tokenizer; a lone line feed is one of its own.
-_ODD = re.compile(r"[^\S \n]|\x00|[ \n]{2}|^[ \n]|[ \n]$|<\|")
+#: Words a worker remembers with their ids (about 200 bytes each), and words encoded as one text.
+REMEMBERED, JOINED = 1_200_000, 2048
+#: Stands between words where the vocabulary drops white space; a text that holds it is encoded whole.
+_MARK = "\x01"
+
+
+def plain(t: str) -> bool:
+    """Whether a text is words parted by lone spaces and line feeds, without other white space, control characters or special strings."""
+    return bool(t) and t.replace("\n", "").isprintable() and t[0] not in " \n" and t[-1] not in " \n" and not any(x in t for x in ("  ", "\n\n", " \n", "\n ", "<|"))
+
+
+class _Known(dict):
+    """word -> packed ids. A word that isn't there is noted, and stands for None until it is learnt."""
+
+    def __init__(self) -> None:
+        self.wanted: set[str] = set()
+
+    def __missing__(self, word: str) -> None:
+        self.wanted.add(word)
 
 
 class TokenIds:
@@ -34,7 +50,12 @@ class TokenIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(file), spaced, {}
+        self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(file), spaced, _Known()
+        # tokens that begin with a space, or the mark's own token
+        vocab = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.starts[[i for t, i in vocab.items() if t[0] == "\u0120"] if spaced else mark] = True
 
     @classmethod
     def of(cls, file: str, spaced: bool) -> TokenIds:
@@ -43,25 +64,68 @@ class TokenIds:
             cls._made[file, spaced] = cls(file, spaced)
         return cls._made[file, spaced]
 
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes distinct words, many in one text: a word's ids start where a token begins with a space, or lie between marks. Where the
+        number of parts isn't that of the words, each is encoded by itself."""
+        # a stop or comma after a letter is a pre-token of its own
+        stopped = [w for w in new if w[-1] in ".," and w[-2:-1].isalpha()]
+        gone = set(stopped)
+        new = list({w for w in new if w not in gone} | {x for w in stopped for x in (w[:-1], w[-1])} - self.cache.keys())
+        alone = [w for w in new if self.spaced and w[:1] != " "]
+        together = [w for w in new if w[:1] == " "] if self.spaced else new
+        parts = [together[i : i + JOINED] for i in range(0, len(together), JOINED)]
+        for words, ids in zip(parts, self._ids([("" if self.spaced else f" {_MARK} ").join(p) for p in parts]), strict=True):
+            x = np.array(ids, "<u4")
+            at = np.flatnonzero(self.starts[x])
+            if len(at) != len(words) - (not self.spaced):
+                alone += words
+                continue
+            raw = x.tobytes()
+            if self.spaced:
+                cut = [*(at * 4).tolist(), len(raw)]
+                self.cache.update((w, raw[i:j]) for w, i, j in zip(words, cut, cut[1:]))
+            else:
+                cut = [-4, *(at * 4).tolist(), len(raw)]
+                self.cache.update((w, raw[i + 4 : j]) for w, i, j in zip(words, cut, cut[1:]))
+        for i in range(0, len(alone), 4096):
+            self.cache.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(alone[i : i + 4096], self._ids(alone[i : i + 4096]), strict=True))
+        for w in stopped:
+            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1]]
 
     def packed(self, texts: list[str]) -> list[bytes]:
-        words: list[list[str] | None] = []
+        known = self.cache
+        if len(known) > REMEMBERED:
+            known.clear()
+        found: list[tuple[list[str], list[bytes | None]] | None] = []
         for t in texts:
-            if _ODD.search(t):
-                words.append(None)
-            elif self.spaced:
-                words.append(t.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00"))
-            else:
-                words.append(t.split())
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        new = list({w for ws in words if ws for w in ws} - self.cache.keys())
-        for i in range(0, len(new), 4096):
-            self.cache.update(zip(new[i : i + 4096], self._pack(new[i : i + 4096]), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else self._pack([t])[0] for ws, t in zip(words, texts, strict=True)]
+            if not plain(t):
+                found.append(None)
+                continue
+            words = t.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if self.spaced else t.split()
+            ids = list(map(known.__getitem__, words))
+            found.append((words if None in ids else [], ids))
+        if known.wanted:
+            new, known.wanted = list(known.wanted), set()
+            self._learn(new)
+        out = []
+        for t, x in zip(texts, found, strict=True):
+            if x is None:
+                out.append(np.array(self._ids([t])[0], "<u4").tobytes())
+                continue
+            words, ids = x
+            if words:
+                i = -1
+                try:
+                    while True:
+                        i = ids.index(None, i + 1)
+                        ids[i] = known[words[i]]
+                except ValueError:
+                    pass
+            out.append(b"".join(ids))
+        return out
 
 
 def token_file(name: str) -> str:
