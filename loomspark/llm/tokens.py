@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import as_text, map_arrow, new_path, read_table, shuffle_partitions
 
 #: Words a worker remembers with their ids (about 200 bytes each), and words encoded as one text.
-REMEMBERED, JOINED = 1_200_000, 2048
+REMEMBERED, JOINED = 600_000, 2048
 #: Stands between words where the vocabulary drops white space; a text that holds it is encoded whole.
 _MARK = "\x01"
 
