@@ -34,9 +34,9 @@ def chunk_profile(kind: Column) -> Column:
 
 
 def fixed_windows(docs: DataFrame, size: int = 800, step: int = 700) -> DataFrame:
-    """doc_id, chunk_index, chunk, location_percent."""
+    """doc_id, chunk_index, chunk, location_percent. A null text has no chunk, an empty one an empty chunk."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step))
-    rows = docs.select("doc_id", "text", F.size(starts).alias("n"), F.posexplode(starts).alias("chunk_index", "s"))
+    rows = docs.where("text is not null").select("doc_id", "text", F.size(starts).alias("n"), F.posexplode(starts).alias("chunk_index", "s"))
     return rows.select("doc_id", F.col("chunk_index").cast("long"), F.expr(f"substring(text, s + 1, {size})").alias("chunk"), F.round(100.0 * F.col("chunk_index") / F.greatest(F.col("n") - 1, F.lit(1)), 6).alias("location_percent"))
 
 
