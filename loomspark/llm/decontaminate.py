@@ -136,4 +136,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_decontaminate": op10_decontaminate}
-SQL: dict[str, str] = {}
+_SPLIT = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+SQL = {
+    "op10_decontaminate": f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SPLIT} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item, least(len(ws), {WINDOW}) AS s, array_to_string(list_slice(ws, i, i + {WINDOW - 1}), ' ') AS k FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - {WINDOW - 1}) + 1)) AS i FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, {_SPLIT} AS ws FROM documents),
+dw AS (SELECT doc_id, s, i, array_to_string(list_slice(ws, i, i + s - 1), ' ') AS k FROM (SELECT doc_id, ws, s, unnest(range(1, len(ws) - s + 2)) AS i FROM d, (SELECT DISTINCT s FROM bw) WHERE len(ws) >= s)),
+m AS (SELECT doc_id, s, i, item FROM dw JOIN bw USING (s, k)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + s)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
