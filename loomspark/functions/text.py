@@ -92,3 +92,31 @@ def amount(text: Column) -> Column:
     plain = F.when(both & (comma > dot), F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")).when(both, F.regexp_replace(s, ",", "")).when(s.rlike(r",[0-9]{1,2}$"), F.regexp_replace(s, ",", ".")).otherwise(F.regexp_replace(s, ",", ""))
     v = plain.try_cast("double")
     return F.when(v > 0, v)
+
+
+def highlighted(text: Column, terms: list[str], size: int = 200) -> Column:
+    """The text around its first term, HTML-escaped, with terms in <mark>; its start where no term occurs."""
+    pattern = "(?i)\\b(" + "|".join(terms) + ")\\b"
+    at = F.greatest(F.regexp_instr(text, F.lit(pattern)) - 40, F.lit(1))
+    escaped = F.replace(F.replace(F.replace(F.substr(text, at, F.lit(size)), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.regexp_replace(escaped, pattern, "<mark>$1</mark>")
+
+
+# Fixed values: (family, pattern), first match wins.
+FAMILIES = (("invoice", "invoice|rechnung"), ("receipt", "receipt|quittung"), ("bank_statement", "bank statement|kontoauszug"), ("payment_confirmation", "payment confirm"), ("tax_document", "tax|steuer"), ("publication", "license|copyright"), ("cv", "curriculum"))
+
+
+def source_family(path: Column, text: Column) -> Column:
+    t = F.lower(F.concat_ws(" ", path, F.substring(text, 1, 4000)))
+    return F.coalesce(*[F.when(t.rlike(r), F.lit(n)) for n, r in FAMILIES], F.lit("archive_misc"))
+
+
+def expense_category(text: Column) -> Column:
+    t = F.lower(text)
+    return F.when(t.rlike("hotel|flight|train"), "travel").when(t.rlike("license|version|software"), "software").when(t.rlike("school|course"), "education").otherwise("other")
+
+
+def scrubbed(text: Column) -> Column:
+    """Mail addresses, long digit runs and hashes give way to their kind."""
+    t = F.regexp_replace(text, r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,64}", "[email]")
+    return F.regexp_replace(F.regexp_replace(t, r"\b[0-9a-f]{16,64}\b", "[hash]"), r"[0-9]{6,}", "[number]")

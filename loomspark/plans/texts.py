@@ -65,3 +65,35 @@ def _(spark, sf):
     p = w.select(F.col("doc_id").alias("a"), F.col("s").alias("s1"), (F.col("doc_id") + 1).alias("b")).join(w.select(F.col("doc_id").alias("b"), F.col("s").alias("s2")), "b")
     i = F.size(F.array_intersect("s1", "s2"))
     return p.select("a", "b", F.round(i / (F.size("s1") + F.size("s2") - i), 6).alias("jaccard"), F.round(i / F.least(F.size("s1"), F.size("s2")), 6).alias("containment"))
+
+
+_FAM = "CASE " + " ".join(f"WHEN regexp_matches(lower(path || ' ' || substring(text, 1, 4000)), '{r}') THEN '{n}'" for n, r in tx.FAMILIES) + " ELSE 'archive_misc' END"
+
+
+@query("source_family", f"SELECT doc_id, {_FAM} AS family FROM {FT}")
+def _(spark, sf):
+    return fx.fulltext(spark, sf).select("doc_id", tx.source_family(F.col("path"), F.col("text")).alias("family"))
+
+
+@query("expense_category", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'hotel|flight|train') THEN 'travel' WHEN regexp_matches(lower(text), 'license|version|software') THEN 'software' WHEN regexp_matches(lower(text), 'school|course') THEN 'education' ELSE 'other' END AS category FROM documents")
+def _(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", tx.expense_category(F.col("text")).alias("category"))
+
+
+@query("scrub_text", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,64}', '[email]', 'g'), '\b[0-9a-f]{16,64}\b', '[hash]', 'g'), '[0-9]{6,}', '[number]', 'g')) AS scrubbed FROM documents")
+def _(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", F.sha2(tx.scrubbed(F.col("text")), 256).alias("scrubbed"))
+
+
+@query("highlight_terms")
+def _(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    return d.where(F.lower("text").rlike("license|version")).select("doc_id", tx.highlighted(F.col("text"), ["license", "version"]).alias("fragment"))
+
+
+@query("page_cleanup")
+def _(spark, sf):
+    from ..functions.pages import with_clean_pages
+
+    d = fx.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("pages"))
+    return with_clean_pages(d).select("doc_id", F.array_join("pages", "\n\n").alias("text"))

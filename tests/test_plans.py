@@ -64,3 +64,27 @@ def test_null_and_empty_text(spark):
     q = spark.createDataFrame([(1, "alpha"), (2, None)], "query_id long, text string")
     assert [(r["query_id"], r["doc_id"]) for r in s.bm25(docs, q).collect()] == [(1, 3)]
     assert tx.fixed_windows(docs).count() == 2
+
+
+def test_page_cleaning():
+    from loomspark.functions.pages import clean_pages
+
+    body = ["A sen-\ntence goes\non here.", "x | y\n1 | 2\n***\n• item", "Ends."]
+    pages = [f"Head line\n{b}\n\n\n\nPage {i} of 3" for i, b in enumerate(body)]
+    assert clean_pages(pages) == ["A sentence goes on here.", "x | y\n1 | 2\n- item", "Ends."]
+    assert clean_pages(None) == [] and clean_pages([None]) == [""]
+
+
+def test_files(spark, tmp_path):
+    from loomspark.sources import files
+
+    for name, raw in (("a.txt", "grün".encode()), ("b.txt", "grün".encode("cp1252")), ("c.txt", "grün".encode("utf-16")), (".h.txt", b"x"), ("d.pdf", b"x"), ("e.txt", b"")):
+        (tmp_path / name).write_bytes(raw)
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in files.text_files(spark, str(tmp_path)).collect()}
+    assert got["a.txt"] == got["b.txt"] == got["c.txt"] == "grün" and "e.txt" not in got
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in files.listing(spark, str(tmp_path), least_bytes=1, with_checksum=True).collect()) == ["a.txt", "b.txt", "c.txt"]
+
+
+def test_highlight(spark):
+    df = spark.createDataFrame([("a <b> License & more",), ("none",)], "t string")
+    assert [r[0] for r in df.select(tx.highlighted(df["t"], ["license"])).collect()] == ["a &lt;b&gt; <mark>License</mark> &amp; more", "none"]
