@@ -118,18 +118,17 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None
     """doc_id, piece, start, length, ids_crc32 of each document's ids (with the end id), cut so that only the first
     piece is shorter than capacity. Null text is empty: a piece of the end id alone."""
     file = file or token_file("byte_bpe_50k.json")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TokenIds.of(file, True)
         for b in batches:
             rows = []
-            for k, raw in zip(b.column(0).to_pylist(), enc.packed(as_text(b.column(1))), strict=True):
-                raw += end
-                n = len(raw) // 4
+            ids, at = enc.encode(as_text(b.column(1)), end_id)
+            view, at = memoryview(ids).cast("B"), at.tolist()
+            for k, lo, hi in zip(b.column(0).to_pylist(), at, at[1:], strict=False):
+                n = hi - lo
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                view = memoryview(raw)
-                rows += [(k, p, i, j - i, zlib.crc32(view[4 * i : 4 * j])) for p, (i, j) in enumerate(zip(cuts, cuts[1:]))]
+                rows += [(k, p, i, j - i, zlib.crc32(view[4 * (lo + i) : 4 * (lo + j)])) for p, (i, j) in enumerate(zip(cuts, cuts[1:]))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -4,20 +4,23 @@ stated size and page indexes, so that ids and metadata can be read apart and by
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, map_arrow, new_path, read_table, shuffle_partitions
 
-#: Words a worker remembers with their ids (about 200 bytes each), and words encoded as one text.
-REMEMBERED, JOINED = 600_000, 2048
-#: Stands between words where the vocabulary drops white space; a text that holds it is encoded whole.
-_MARK = "\x01"
+#: Words a worker remembers with their ids (about 200 bytes each).
+REMEMBERED = 600_000
+#: Latin letters (those that lower-case to one letter) after a space or none, then marks of ASCII or none.
+_LETTERS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 def plain(t: str) -> bool:
@@ -25,16 +28,6 @@ def plain(t: str) -> bool:
     return bool(t) and t.replace("\n", "").isprintable() and t[0] not in " \n" and t[-1] not in " \n" and not any(x in t for x in ("  ", "\n\n", " \n", "\n ", "<|"))
 
 
-class _Known(dict):
-    """word -> packed ids. A word that isn't there is noted, and stands for None until it is learnt."""
-
-    def __init__(self) -> None:
-        self.wanted: set[str] = set()
-
-    def __missing__(self, word: str) -> None:
-        self.wanted.add(word)
-
-
 class TokenIds:
     """Ids of texts by the tokenizers library, packed as little-endian unsigned 32-bit integers.
 
@@ -50,12 +43,12 @@ class TokenIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.cache = Tokenizer.from_file(file), spaced, _Known()
-        # tokens that begin with a space, or the mark's own token
-        vocab = self.tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.starts[[i for t, i in vocab.items() if t[0] == "\u0120"] if spaced else mark] = True
+        self.tokenizer, self.spaced = Tokenizer.from_file(file), spaced
+        self.cache: dict[str, bytes] = {}
+        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on; words are parted by line feeds
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown) if b != 10}
+        self.model = self.tokenizer.model
 
     @classmethod
     def of(cls, file: str, spaced: bool) -> TokenIds:
@@ -68,64 +61,71 @@ class TokenIds:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes distinct words, many in one text: a word's ids start where a token begins with a space, or lie between marks. Where the
-        number of parts isn't that of the words, each is encoded by itself."""
-        # a stop or comma after a letter is a pre-token of its own
-        stopped = [w for w in new if w[-1] in ".," and w[-2:-1].isalpha()]
-        gone = set(stopped)
-        new = list({w for w in new if w not in gone} | {x for w in stopped for x in (w[:-1], w[-1])} - self.cache.keys())
-        alone = [w for w in new if self.spaced and w[:1] != " "]
-        together = [w for w in new if w[:1] == " "] if self.spaced else new
-        parts = [together[i : i + JOINED] for i in range(0, len(together), JOINED)]
-        for words, ids in zip(parts, self._ids([("" if self.spaced else f" {_MARK} ").join(p) for p in parts]), strict=True):
-            x = np.array(ids, "<u4")
-            at = np.flatnonzero(self.starts[x])
-            if len(at) != len(words) - (not self.spaced):
-                alone += words
-                continue
-            raw = x.tobytes()
-            if self.spaced:
-                cut = [*(at * 4).tolist(), len(raw)]
-                self.cache.update((w, raw[i:j]) for w, i, j in zip(words, cut, cut[1:]))
+        """Remembers the ids of distinct words. Both vocabularies part a run of letters from the marks after it, so such a word's letters go
+        to the library's model at once, as bytes in its alphabet and without the pattern matching before it; other words go the whole way."""
+        cache, model, stems, alone, joined = self.cache, self.model, set(), set(), []
+        for w in new:
+            m = _LETTERS(w)
+            if not m:
+                alone.add(w)
+            elif m[2]:
+                joined.append((w, m[1], m[2]))
+                stems.add(m[1])
+                alone.add(m[2])
             else:
-                cut = [-4, *(at * 4).tolist(), len(raw)]
-                self.cache.update((w, raw[i + 4 : j]) for w, i, j in zip(words, cut, cut[1:]))
-        for i in range(0, len(alone), 4096):
-            self.cache.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(alone[i : i + 4096], self._ids(alone[i : i + 4096]), strict=True))
-        for w in stopped:
-            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1]]
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        known = self.cache
-        if len(known) > REMEMBERED:
-            known.clear()
-        found: list[tuple[list[str], list[bytes | None]] | None] = []
-        for t in texts:
-            if not plain(t):
-                found.append(None)
-                continue
-            words = t.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if self.spaced else t.split()
-            ids = list(map(known.__getitem__, words))
-            found.append((words if None in ids else [], ids))
-        if known.wanted:
-            new, known.wanted = list(known.wanted), set()
-            self._learn(new)
-        out = []
-        for t, x in zip(texts, found, strict=True):
-            if x is None:
-                out.append(np.array(self._ids([t])[0], "<u4").tobytes())
-                continue
-            words, ids = x
-            if words:
-                i = -1
-                try:
-                    while True:
-                        i = ids.index(None, i + 1)
-                        ids[i] = known[words[i]]
-                except ValueError:
-                    pass
-            out.append(b"".join(ids))
-        return out
+                stems.add(w)
+        wanted = [w for w in stems if w not in cache]
+        shown = "\n".join(wanted)
+        shown = (shown if self.spaced else shown.lower()).encode().decode("latin-1").translate(self.alphabet)
+        for w, raw in zip(wanted, shown.split("\n"), strict=bool(wanted)):
+            cache[w] = array("I", [t.id for t in model.tokenize(raw)]).tobytes()
+        rest = [w for w in alone if w not in cache]
+        for i in range(0, len(rest), 4096):
+            cache.update((w, array("I", x).tobytes()) for w, x in zip(rest[i : i + 4096], self._ids(rest[i : i + 4096]), strict=True))
+        for w, letters, marks in joined:
+            cache[w] = cache[letters] + cache[marks]
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by end_id, one after another, and the places where texts begin (with the total last).
+
+        The texts' distinct words are found by Arrow's dictionary encoding, looked up or learnt once, and their ids gathered by arrays.
+        """
+        if len(self.cache) > REMEMBERED:
+            self.cache.clear()
+        is_plain = np.array([plain(t) for t in texts], bool)
+        cut = [t for t, p in zip(texts, is_plain, strict=True) if p]
+        if self.spaced:
+            words = pc.split_pattern(pa.array([t.replace("\n", "\x00\n\x00").replace(" ", "\x00 ") for t in cut], pa.large_string()), "\x00")
+        else:
+            words = pc.ascii_split_whitespace(pa.array(cut, pa.large_string()))
+        distinct = words.flatten().dictionary_encode()
+        names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        parts = list(map(self.cache.get, names))
+        missing = [i for i, x in enumerate(parts) if x is None]
+        if missing:
+            self._learn([names[i] for i in missing])
+            for i in missing:
+                parts[i] = self.cache[names[i]]
+        # a text that goes whole is one more part, and so is the end id
+        first_whole = len(parts)
+        parts += [np.array(x, "<u4").tobytes() for x in self._ids([t for t, p in zip(texts, is_plain, strict=True) if not p])]
+        parts.append(np.array([end_id], "<u4").tobytes())
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(parts), "<u4")
+        # the parts of each text in turn
+        n = np.ones(len(texts), np.int64)
+        n[is_plain] = np.diff(words.offsets.to_numpy())
+        last = np.cumsum(n + 1) - 1
+        seq, of_word = np.empty(int(last[-1]) + 1 if len(texts) else 0, np.int64), np.ones(int(last[-1]) + 1 if len(texts) else 0, bool)
+        of_word[last] = of_word[last[~is_plain] - 1] = False
+        seq[of_word] = distinct.indices.to_numpy(zero_copy_only=False)
+        seq[last[~is_plain] - 1] = first_whole + np.arange(int((~is_plain).sum()))
+        seq[last] = len(parts) - 1
+        run = size[seq]
+        ends = np.cumsum(run)
+        at = np.repeat(begin[seq] - (ends - run), run)
+        at += np.arange(len(at))
+        return ids[at], np.concatenate([[0], ends[last]])
 
 
 def token_file(name: str) -> str:
@@ -144,15 +144,12 @@ def write_token_table(docs: DataFrame, path: str, file: str, end_id: int, row_gr
     n = partitions or shuffle_partitions(docs.sparkSession)
     # the second key parts a doc_id that is repeated very often
     dealt = docs.selectExpr("cast(doc_id as long) doc_id", "text").withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TokenIds.of(file, False)
         for b in batches:
-            packed = [x + end for x in enc.packed(as_text(b.column(1)))]
-            sizes = np.array([len(x) // 4 for x in packed], np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(packed))])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            ids, at = enc.encode(as_text(b.column(1)), end_id)
+            values, offsets, sizes = pa.array(ids.view("<i4"), pa.int32()), pa.array(at, pa.int32()), np.diff(at).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_tokens", "ids"])
 
     out = map_arrow(dealt, run, "doc_id long, n_tokens int, ids array<int>").select("doc_id", F.spark_partition_id().alias("part"), "n_tokens", "ids")

@@ -133,6 +133,17 @@ def test_pii_decoding_is_the_best_labelling():
         assert abs(score(pii.decode(n, segs, w)) - max(map(score, every(0)))) < 1e-9
 
 
+@pytest.mark.parametrize(("file", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_are_encoded_as_the_library_does(file, spaced):
+    rng = random.Random(3)
+    letters = "abcXYZ éßÈñÿŸĳŁſıÀ×÷İKΣσς''sdt.,&*!?-19٣日й\n "
+    texts = ["", "a  b", "Hi there,\nyou <|endoftext|> x", "a\tb c", " lead", "don't we'll x's 's s' it's. a.'s"] + ["".join(rng.choices(letters, k=60)) for _ in range(500)]
+    enc = tokens.TokenIds(tokens.token_file(file), spaced)
+    for part in (texts, texts, texts[:1], []):  # learnt, then remembered
+        ids, at = enc.encode(part, 7)
+        assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids + [7] for t in part]
+
+
 def test_tokens(spark, case):
     rows, docs = case
     ids = brute.encoded([t for _, t in rows], tokens.token_file("word_bpe_49k.json"), 2)
