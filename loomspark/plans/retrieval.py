@@ -259,3 +259,40 @@ def _(spark, sf):
     a = fx.table(spark, sf, "conversations").select("conv_id", "turn", F.array_distinct(s.tokens(F.col("text"))).alias("w"))
     before = a.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("w").alias("c"))
     return a.where("size(w) > 0").join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(F.size(F.array_intersect("w", "c")) / F.size("w"), 4).alias("score"))
+
+
+@query("integrity_status", f"""WITH x AS (SELECT query_id, id * 2 AS id FROM {fx.HITS} WHERE title_overlap = 3 AND query_id % 4 <> 3), q AS (SELECT DISTINCT query_id FROM {fx.HITS}), r AS (SELECT x.query_id, h.id IS NOT NULL AS found, coalesce(h.doc_type = 'cv', false) AS fits FROM x LEFT JOIN {fx.HITS} h ON x.id = h.id)
+ SELECT q.query_id, count(found) AS expected, CASE WHEN count(found) = 0 THEN 'not_applicable' WHEN bool_or(fits) THEN 'pass' WHEN bool_or(found) THEN 'drift' ELSE 'unresolved' END AS status FROM q LEFT JOIN r USING (query_id) GROUP BY q.query_id""")
+def _(spark, sf):
+    # expected documents that resolve to the intended type, to another, or to none
+    h = fx.hits(spark, sf)
+    expected = h.where("title_overlap = 3 and query_id % 4 <> 3").select("query_id", (F.col("id") * 2).alias("id"))
+    found = expected.join(h.select("id", "doc_type"), "id", "left").select("query_id", F.col("doc_type").isNotNull().alias("found"), (F.col("doc_type") == "cv").alias("fits"))
+    r = found.groupBy("query_id").agg(F.count("*").alias("expected"), F.bool_or("fits").alias("fits"), F.bool_or("found").alias("found"))
+    status = F.when(F.col("expected").isNull(), "not_applicable").when(F.col("fits"), "pass").when(F.col("found"), "drift").otherwise("unresolved")
+    return h.select("query_id").distinct().join(r, "query_id", "left").select("query_id", F.coalesce("expected", F.lit(0).cast("long")).alias("expected"), status.alias("status"))
+
+
+@query("finance_gate_summary", f"""SELECT query_id, count(*) FILTER (WHERE doc_type = 'other') AS suppressed, count(*) FILTER (WHERE generic_title) AS leaked, round(avg(CAST(doc_type = 'invoice' AS INT)), 6) AS preferred_before, round(coalesce(avg(CAST(doc_type = 'invoice' AS INT)) FILTER (WHERE doc_type <> 'other'), 0), 6) AS preferred_after
+ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_vector DESC, id) AS n FROM {fx.HITS}) WHERE n <= 5 GROUP BY query_id""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score_vector"), "id"))
+    invoice, other = (F.col("doc_type") == "invoice").cast("int"), F.col("doc_type") == "other"
+    return fx.hits(spark, sf).withColumn("n", n).where("n <= 5").groupBy("query_id").agg(
+        F.count_if(other).alias("suppressed"), F.count_if("generic_title").alias("leaked"), F.round(F.avg(invoice), 6).alias("preferred_before"), F.round(F.coalesce(F.avg(F.when(~other, invoice)), F.lit(0.0)), 6).alias("preferred_after"),
+    )
+
+
+@query("ranking_cause", f"""SELECT query_id, id, CASE WHEN artefact THEN 'artefact' WHEN generic_title THEN 'generic_title' WHEN score_bm25 < 0.2 AND score_vector < 0.2 THEN 'recall' WHEN score_bm25 < 0.2 THEN 'lexical' WHEN score_vector < 0.2 THEN 'semantic' WHEN authority_rank < 0 THEN 'authority' ELSE 'none' END AS cause FROM {fx.HITS}""")
+def _(spark, sf):
+    low_b, low_v = F.col("score_bm25") < 0.2, F.col("score_vector") < 0.2
+    cause = F.when(F.col("artefact"), "artefact").when(F.col("generic_title"), "generic_title").when(low_b & low_v, "recall").when(low_b, "lexical").when(low_v, "semantic").when(F.col("authority_rank") < 0, "authority").otherwise("none")
+    return fx.hits(spark, sf).select("query_id", "id", cause.alias("cause"))
+
+
+@query("records_for_orders_nested", f"SELECT order_id, count(*) AS n, string_agg(line || ':' || record_type, ',' ORDER BY line, record_type) AS records, max(amount) AS largest FROM {fx.RECORDS} GROUP BY order_id")
+def _(spark, sf):
+    r = fx.records(spark, sf).groupBy("order_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("line", "record_type"))).alias("r"), F.max("amount").alias("largest"))
+    return r.select("order_id", "n", F.array_join(F.transform("r", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["record_type"])), ",").alias("records"), "largest")

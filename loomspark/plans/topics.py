@@ -95,3 +95,27 @@ def _(spark, sf):
     h = fx.table(spark, sf, "embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(_centroids(spark, sf))).select("vec_id", "label", s.cosine(F.col("embedding"), F.col("c")).alias("score"))
     w = Window.partitionBy("vec_id").orderBy(F.round("score", 9).desc(), "label")
     return h.withColumn("next", F.lead("score").over(w)).withColumn("n", F.row_number().over(w)).where("n = 1").select("vec_id", "label", F.round("score", 6).alias("score"), F.round(F.col("score") - F.col("next"), 6).alias("margin"))
+
+
+_FILE, _LENGTH = "vec_id // 16", "vec_id * 37 % 101"
+
+
+@query("file_vector_pool", f"""WITH u AS (SELECT file, vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM (SELECT {_FILE} AS file, vec_id, e, row_number() OVER (PARTITION BY {_FILE} ORDER BY {_LENGTH} DESC, vec_id) AS r FROM {V}) WHERE r <= 8),
+ m AS (SELECT file, i, avg(x) AS x FROM (SELECT file, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM u) GROUP BY file, i) SELECT file, CAST(i - 1 AS INT) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY file)), 6) AS x FROM m""")
+def _(spark, sf):
+    # a file's eight longest chunks, each of length one, averaged and brought to length one again
+    r = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("length"), "vec_id"))
+    e = fx.table(spark, sf, "embeddings").select(F.expr("vec_id div 16").alias("file"), F.expr("vec_id * 37 % 101").alias("length"), "vec_id", "embedding").withColumn("r", r).where("r <= 8")
+    unit = e.withColumn("norm", s.norm(F.col("embedding"))).select("file", F.posexplode("embedding").alias("i", "x"), "norm")
+    mean = unit.groupBy("file", "i").agg(F.avg(F.col("x").cast("double") / F.col("norm")).alias("x"))
+    return mean.select("file", "i", F.round(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("file"))), 6).alias("x"))
+
+
+@query("mixedness", f"""WITH k AS (SELECT label, CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0 END AS entropy FROM (SELECT label, lang, count(*) / sum(count(*)) OVER (PARTITION BY label)::DOUBLE AS p FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY label, lang) GROUP BY label),
+ d AS (SELECT label, (1 - avg(list_cosine_similarity(e, c))) / 2 AS spread FROM {V} v JOIN {CENTROIDS} k USING (label) GROUP BY label) SELECT label, round(least(1, greatest(0, 0.85::DOUBLE * (0.45::DOUBLE * coalesce(entropy, 0) + 0.35::DOUBLE * spread) / 0.8::DOUBLE)), 6) AS mixedness FROM d LEFT JOIN k USING (label)""")
+def _(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    words = ops.entropy(e.select("vec_id", "label").join(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id"), ["label"], "lang")
+    spread = e.join(_centroids(spark, sf), "label").groupBy("label").agg(((1 - F.avg(s.cosine(F.col("embedding"), F.col("c")))) / 2).alias("spread"))
+    mixed = 0.85 * (0.45 * F.coalesce("entropy", F.lit(0.0)) + 0.35 * F.col("spread")) / 0.8
+    return spread.join(words, "label", "left").select("label", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mixed)), 6).alias("mixedness"))
