@@ -1,9 +1,9 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host.
 
-A page's tags form nested token groups; neighbours of one shape fold into repeated groups. Pages of a host are aligned one after the
-other with the wrapper so far: groups without a partner become optional, texts that differ become slots. The element that holds most of
-the slots' text, outside boilerplate, is the host's main region; hosts with one page, and pages that lack the region, fall back on
-the page's own article, main or body element.
+A page's tags form nested token groups; neighbours of one shape fold into repeated groups. All pages of a host, whole, are aligned one
+after the other with the wrapper so far, in parts that are then aligned too: groups without a partner become optional, texts that differ
+become slots. The element that holds most of the slots' text, outside boilerplate, is the host's main region; hosts with one page, pages
+that lack the region, and pages whose own article or main element stands outside it fall back on the page's own article, main or body element.
 """
 
 from __future__ import annotations
@@ -12,18 +12,19 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, stored, tune
+from .common import map_arrow, read_table, shuffle_partitions, stored, tune
 
-#: Pages of a host that its wrapper is inferred from, and characters of each that are aligned.
-SAMPLE_PAGES, SAMPLE_CHARS = 6, 60_000
+#: Parts that a host's pages are dealt into by their hash; a part's pages are aligned in one task.
+HOST_PARTS = 64
 #: Wrappers of at most so many bytes in all are broadcast; more are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -71,13 +72,18 @@ def key_of(tag: str, names: str) -> str:
 # --- inference: a group is [key, children, optional, repeated, boiler], a text is [None, text or None, length] ---
 
 
+def marked(t: str) -> str:
+    """A short text as it is; a long one as its start and its hash, which tell it from others."""
+    return t if len(t) <= 80 else f"{t[:40]}\0{xxhash.xxh3_128_hexdigest(t)}"
+
+
 def groups(page: str) -> list:
     root = ["", [], False, False, False]
     stack = [root]
-    for kind, a, names in events(page[:SAMPLE_CHARS]):
+    for kind, a, names in events(page):
         if kind == "text":
             if t := _SPACE.sub(" ", a).strip():
-                stack[-1][1].append([None, t, len(t)])
+                stack[-1][1].append([None, marked(t), len(t)])
         elif kind == "open":
             if a in INLINE or a in VOID:
                 continue
@@ -113,32 +119,53 @@ def fold(g: list) -> list:
     return [g[0], out, *g[2:]]
 
 
+def lcs_row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of x and each start of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for k in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == k)))
+    return row
+
+
+def aligned(x: list, y: list) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence of two lists of keys."""
+    start = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    out = [(i, i) for i in range(start)]
+    if start == len(x) or start == len(y):
+        return out
+    number: dict = {}
+    u, v = (np.array([number.setdefault(k, len(number)) for k in keys[start:]]) for keys in (x, y))
+    if len(u) <= len(v):
+        return out + _aligned(u, v, start, start)
+    return out + [(i, j) for j, i in _aligned(v, u, start, start)]
+
+
+def _aligned(x: np.ndarray, y: np.ndarray, at_x: int, at_y: int) -> list[tuple[int, int]]:
+    """x is halved, and y where the halves have most in common (Hirschberg): the space is linear, however wide the groups are."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) == 1:
+        hit = np.flatnonzero(y == x[0])
+        return [(at_x, at_y + int(hit[0]))] if len(hit) else []
+    half = len(x) // 2
+    cut = int(np.argmax(lcs_row(x[:half], y) + lcs_row(x[half:][::-1], y[::-1])[::-1]))
+    return _aligned(x[:half], y[:cut], at_x, at_y) + _aligned(x[half:], y[cut:], at_x + half, at_y + cut)
+
+
 def merge(a: list, b: list) -> list:
     """One group (or text) that matches what either matches: children are aligned by longest common subsequence."""
     if a[0] is None:
         return [None, a[1] if a[1] == b[1] else None, a[2] + b[2]]
     x, y = a[1], b[1]
-    n, m = len(x), len(y)
-    if n * m > 40_000:  # alignment of bounded cost: very wide groups are taken as they come
-        return [a[0], x, a[2] or b[2], True, a[4]]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
     maybe = lambda c: c if c[0] is None else [c[0], c[1], True, *c[3:]]
-    while i < n or j < m:
-        if i < n and j < m and x[i][0] == y[j][0]:
-            c = merge(x[i], y[j])
-            i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            c, i = maybe(x[i]), i + 1
-        else:
-            c, j = maybe(y[j]), j + 1
-        if out and c[0] is not None and out[-1][0] == c[0]:
-            out[-1] = [*merge(out[-1], c)[:3], True, c[4]]
-        else:
-            out.append(c)
+    for p, q in [*aligned([c[0] for c in x], [c[0] for c in y]), (len(x), len(y))]:
+        for c in (*map(maybe, x[i:p]), *map(maybe, y[j:q]), *([merge(x[p], y[q])] if p < len(x) else ())):
+            if out and c[0] is not None and out[-1][0] == c[0]:
+                out[-1] = [*merge(out[-1], c)[:3], True, c[4]]
+            else:
+                out.append(c)
+        i, j = p + 1, q + 1
     return [a[0], out, a[2] or b[2], a[3] or b[3], a[4]]
 
 
@@ -170,23 +197,22 @@ def expression(g: list) -> str:
 
 
 def infer(pages: list[str]) -> list | None:
-    """The wrapper of a host's sample. Equal pages count once; fewer than two distinct pages tell nothing (None)."""
+    """The wrapper of a host's pages. Equal pages count once; fewer than two distinct pages tell nothing (None)."""
     distinct = list(dict.fromkeys(p for p in pages if p))
     if len(distinct) < 2:
         return None
-    wrapper = groups(distinct[0])
-    for p in distinct[1:]:
-        wrapper = merge(wrapper, groups(p))
-    return wrapper
+    return reduce(merge, map(groups, distinct))
 
 
 # --- application ---
 
 
 def main_text(page: str, path: tuple[str, ...] = ()) -> str:
-    """Blocks of the main region, white space folded, joined by one space. The region: the wrapper's path; without it the page's article elements, main
-    element or body."""
+    """Blocks of the main region, white space folded, joined by one space. The region: the wrapper's path, if the page's longest article (without one: its
+    main element) doesn't stand outside it; else the page's article elements, main element or body."""
     spots: dict[str, list[str]] = {"path": [], "article": [], "main": [], "body": []}
+    own: dict[tuple[str, int], list[int]] = {}  # characters of each outermost article, and of main, in all and within the path
+    seen = {"article": 0, "main": 0}
     stack: list[tuple[str, str, bool]] = []
     line: list[str] = []
     where: tuple[str, ...] = ()
@@ -198,6 +224,10 @@ def main_text(page: str, path: tuple[str, ...] = ()) -> str:
             if t:
                 for w in where:
                     spots[w].append(t)
+                    if path and w in seen:
+                        n = own.setdefault((w, seen[w]), [0, 0])
+                        n[0] += len(t)
+                        n[1] += len(t) * ("path" in where)
 
     def look() -> tuple[str, ...]:
         if any(s[2] for s in stack):
@@ -223,6 +253,8 @@ def main_text(page: str, path: tuple[str, ...] = ()) -> str:
             if a == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
             inside = any(s[0] in ("article", "main") for s in stack)
+            if a == "article" and all(s[0] != a for s in stack):
+                seen[a] += 1
             stack.append((a, key_of(a, names), is_boiler(a, names, inside)))
         else:
             for i in range(len(stack) - 1, -1, -1):
@@ -231,6 +263,9 @@ def main_text(page: str, path: tuple[str, ...] = ()) -> str:
                     break
         where = look()
     flush()
+    longest = max((n for (w, _), n in own.items() if w == ("article" if spots["article"] else "main")), default=[0, 0])
+    if longest[1] < longest[0]:
+        spots["path"] = []
     return " ".join(next((spots[w] for w in ("path", "article", "main", "body") if spots[w]), []))
 
 
@@ -243,34 +278,42 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit("")).alias("_host"))
 
 
-def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """host, main_path (JSON), expression. Each task first keeps a host's few pages of least hash, so that a host with very many
-    pages is no large group; the sample is then cut once more."""
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, main_path (JSON), expression, from all pages of a host. Their groups, of less size than the pages, are dealt by the pages' hashes into
+    HOST_PARTS parts a host and aligned there in the hashes' order, a page at a time; the parts' wrappers are aligned last. So a host with
+    very many pages is no large task, and the result doesn't depend on how rows are partitioned."""
     rows = with_host(pages).where("_host <> '' and html is not null and html <> ''")
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[tuple[int, str]]] = {}
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            h = [xxhash.xxh3_128_hexdigest(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(x[:4], 16) % HOST_PARTS for x in h], pa.int32()), pa.array(h, pa.string()), pa.array([json.dumps(groups(t), separators=(",", ":")) for t in texts], pa.string())], names=["host", "part", "h", "shape"])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = wrapper = None
+        n = 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([json.dumps(wrapper, separators=(",", ":"))])], names=["host", "part", "n", "wrapper"])
         for b in batches:
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mine = kept.setdefault(host, [])
-                x = (xxhash.xxh64_intdigest(page) >> 1, page[:SAMPLE_CHARS])
-                if x not in mine:
-                    mine.append(x)
-                    mine.sort()
-                    del mine[sample_pages:]
-        hosts = list(kept.items())
-        for i in range(0, len(hosts), 64):
-            flat = [(h, *x) for h, xs in hosts[i : i + 64] for x in xs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.string()), pa.array([r[1] for r in flat], pa.int64()), pa.array([r[2] for r in flat], pa.string())], names=["host", "h", "html"])
-
-    few = map_arrow(rows.select("_host", "html"), sample, "host string, h long, html string")
-    few = few.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h", "html"))).where(F.col("n") <= sample_pages)
+            for host, part, h, shape in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (host, part) != key:
+                    if key:
+                        yield done()
+                    key, last, n = (host, part), None, 0
+                if h != last:
+                    wrapper = merge(wrapper, json.loads(shape)) if n else json.loads(shape)
+                    last, n = h, n + 1
+        if key:
+            yield done()
+
+    dealt = map_arrow(rows.select("_host", "html"), shapes, "host string, part int, h string, shape string").repartition(shuffle_partitions(pages.sparkSession), "host", "part").sortWithinPartitions("host", "part", "h")
+    parts = map_arrow(dealt, folded, "host string, part int, n long, wrapper string")
 
     def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        w = infer(f.sort_values(["h", "html"])["html"].tolist())
+        w = reduce(merge, map(json.loads, f.sort_values("part")["wrapper"])) if f["n"].sum() > 1 else None
         return pd.DataFrame({"host": [key[0]], "main_path": [json.dumps(main_path(w)) if w else None], "expression": [expression(w)[:4000] if w else None]})
 
-    return few.groupBy("host").applyInPandas(one, "host string, main_path string, expression string")
+    return parts.groupBy("host").applyInPandas(one, "host string, main_path string, expression string")
 
 
 def extract(pages: DataFrame) -> DataFrame:

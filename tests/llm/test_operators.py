@@ -256,6 +256,36 @@ def test_wrapper_inference():
     assert html_wrapper.main_text(page(2), tuple(html_wrapper.main_path(w))) == "T2 " + " ".join(["text of its own 2"] * 3)
 
 
+def test_wrapper_covers_all_pages(spark):
+    teaser = lambda i: f"<div class='teaser'>Teaser {i} {'of many words ' * 9}</div>"
+    # a rare layout shares the first one's box: its article stays, whatever pages the wrapper is made of
+    rows = [(i, f"http://two.org/{i}", f"<html><body>{teaser(i)}<div class='end'>Same</div></body></html>") for i in range(60)]
+    rows += [(100 + i, f"http://two.org/r{i}", f"<html><body>{teaser(i)}<article>Story {i}</article></body></html>") for i in range(2)]
+    # text beyond a long page head, and no article element: the text holds the slots, not the box before it
+    head = "".join(f"<i title='{k}'></i>" for k in range(6000))
+    rows += [(200 + i, f"http://long.org/{i}", f"<html><body>{teaser(i)}{head}<div class='text'>{f'Long story {i} ' * 99}</div></body></html>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(df.repartition(3)).collect()}
+    assert got == {r["page_id"]: r["text"] for r in html_wrapper.extract(df.repartition(2)).collect()}
+    assert [got[100], got[101]] == ["Story 0", "Story 1"] and got[7] == "Teaser 7 " + ("of many words " * 9).strip()
+    assert [got[200 + i] for i in range(3)] == [(f"Long story {i} " * 99).strip() for i in range(3)]
+
+
+def test_wide_groups_are_aligned():
+    wide = lambda k: "<html><body>" + "<dt>t</dt><dd>d</dd>" * 150 + f"<div class='x'>{k}</div></body></html>"
+    late = html_wrapper.infer([wide(1), wide(2).replace("<div", "<ul><li>only here</ul><div")])
+    assert "<ul>" in html_wrapper.expression(late) and html_wrapper.expression(late).count("<div.x> #TEXT") == 1
+    r = random.Random(4)
+    for _ in range(200):
+        x, y = ([r.choice("abcd") for _ in range(r.randrange(12))] for _ in range(2))
+        got = html_wrapper.aligned(x, y)
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+        assert len(got) == best[-1][-1] and all(x[i] == y[j] for i, j in got) and all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:]))
+
+
 def test_pages_of_the_data_folder(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()}
