@@ -1,8 +1,8 @@
 """Personal data: fixed patterns as the base, and a semi-Markov conditional random field that adds spans.
 
 The field scores whole candidate segments (their digit groups, separators, checksums, neighbours) and a dynamic program over
-segments of at most MAX_TOKENS tokens chooses boundaries and types jointly. Segments without a digit or @ have no
-entity score, so texts are decoded in islands around such characters, which gives what decoding the whole text would.
+segments of at most MAX_TOKENS tokens (white space included) chooses boundaries and types jointly. Segments without a digit or @ have no
+entity score, so texts are decoded in islands that hold all tokens in reach of such characters, which gives what decoding the whole text would.
 """
 
 from __future__ import annotations
@@ -78,23 +78,33 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 
 
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+")
+_TRIGGER = re.compile(r"[0-9]+|@")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]|\s+")
 _WORD = re.compile(r"[A-Za-z]+")
 
 
-def islands(t: str, reach: int = 48) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and @, to white space or reach characters on each side; those that touch are one."""
+def _kind(c: str) -> str:
+    """What runs of characters are one token: letters, digits, white space; '' for a character that is a token of its own."""
+    return "s" if c.isspace() else "" if not c.isalnum() or not c.isascii() else "d" if c.isdigit() else "w"
+
+
+def islands(t: str) -> Iterator[tuple[int, int]]:
+    """Stretches around digits and @ with all tokens that a segment with such a token can hold; those that touch are one."""
     lo = hi = -1
     for m in _TRIGGER.finditer(t):
-        if m.end() <= hi:
-            continue
-        a, b = m.start(), m.end()
-        while a > 0 and m.start() - a < reach and not t[a - 1].isspace():
+        a, b = m.span()
+        for _ in range(MAX_TOKENS - 1):
+            if a <= max(hi, 0):
+                break
             a -= 1
-        while b < len(t) and b - m.end() < reach and not t[b].isspace():
-            b += 1
-        if a <= hi + 2 and hi >= 0:
+            kind = _kind(t[a])
+            while kind and a > max(hi, 0) and _kind(t[a - 1]) == kind:
+                a -= 1
+        for _ in range(MAX_TOKENS - 1):
+            if b == len(t):
+                break
+            b = _TOKEN.match(t, b).end()
+        if hi >= 0 and a <= hi:
             hi = max(hi, b)
         else:
             if hi >= 0:
@@ -105,7 +115,7 @@ def islands(t: str, reach: int = 48) -> Iterator[tuple[int, int]]:
 
 
 def segment_features(t: str, a: int, b: int, before: str) -> list[str]:
-    """Features of t[a:b] as a whole. before: the word in front of the island, lower-cased."""
+    """Features of t[a:b] as a whole. before: the word in front of it, lower-cased."""
     s = t[a:b]
     groups = re.findall(r"[0-9]+", s)
     digits = "".join(groups)
@@ -129,22 +139,27 @@ def segment_features(t: str, a: int, b: int, before: str) -> list[str]:
     return f
 
 
-def candidates(t: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
-    """Tokens of an island, and its candidate segments (first token, one past the last, features)."""
-    toks = [m.span() for m in _TOKEN.finditer(t, lo, hi)]
-    w = _WORD.findall(t[max(0, lo - 24) : lo])
-    before = w[-1].lower() if w else ""
-    out = []
+def segments(t: str, toks: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[str]]]:
+    """Candidate segments (first token, one past the last, features). Features depend on the text and the segment alone."""
+    has = [t[a] in "0123456789@" for a, _ in toks]
     for i, (a, _) in enumerate(toks):
         if t[a].isspace():
             continue
-        has = False
-        for j in range(i, min(len(toks), i + MAX_TOKENS)):
-            x = t[toks[j][0]]
-            has = has or x.isdigit() or x == "@"
-            if has and not x.isspace():
-                out.append((i, j + 1, segment_features(t, a, toks[j][1], before if i < 3 else "")))
-    return toks, out
+        reach = range(i, min(len(toks), i + MAX_TOKENS))
+        first = next((j for j in reach if has[j]), None)
+        if first is None:
+            continue
+        w = _WORD.findall(t[max(0, a - 24) : a])
+        before = w[-1].lower() if w else ""
+        for j in reach[first - i :]:
+            if not t[toks[j][0]].isspace():
+                yield i, j + 1, segment_features(t, a, toks[j][1], before)
+
+
+def candidates(t: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
+    """Tokens of an island, and its candidate segments."""
+    toks = [m.span() for m in _TOKEN.finditer(t, lo, hi)]
+    return toks, list(segments(t, toks))
 
 
 Weights = dict[tuple[int, str], float]
@@ -154,18 +169,18 @@ def _scores(segments: list[tuple[int, int, list[str]]], w: Weights) -> list[list
     return [[sum(w.get((k, x), 0.0) for x in f) for k in range(len(KINDS))] for _, _, f in segments]
 
 
-def decode(n: int, segments: list[tuple[int, int, list[str]]], w: Weights) -> list[tuple[int, int, int]]:
+def decode(n: int, segs: list[tuple[int, int, list[str]]], w: Weights) -> list[tuple[int, int, int]]:
     """The best labelling of n tokens: (first, past, kind); a token outside a segment scores 0."""
     ends: dict[int, list[int]] = {}
-    for i, (_, j, _) in enumerate(segments):
+    for i, (_, j, _) in enumerate(segs):
         ends.setdefault(j, []).append(i)
-    sc = _scores(segments, w)
+    sc = _scores(segs, w)
     best, back = [0.0] * (n + 1), [None] * (n + 1)
     for p in range(1, n + 1):
         best[p] = best[p - 1]
         for i in ends.get(p, ()):
             for k, s in enumerate(sc[i]):
-                if (v := best[segments[i][0]] + s) > best[p]:
+                if (v := best[segs[i][0]] + s) > best[p]:
                     best[p], back[p] = v, (i, k)
     out, p = [], n
     while p:
@@ -173,8 +188,8 @@ def decode(n: int, segments: list[tuple[int, int, list[str]]], w: Weights) -> li
             p -= 1
         else:
             i, k = back[p]
-            out.append((segments[i][0], segments[i][1], k))
-            p = segments[i][0]
+            out.append((segs[i][0], segs[i][1], k))
+            p = segs[i][0]
     return out[::-1]
 
 
@@ -239,12 +254,16 @@ def trained() -> tuple[tuple[tuple[int, str], float], ...]:
     w: Weights = {}
     data = []
     for line, spans in training_lines():
+        missing = set(spans)
         for lo, hi in islands(line):
             toks, segs = candidates(line, lo, hi)
             at = {(toks[i][0], toks[j - 1][1]): k for k, (i, j, _) in enumerate(segs)}
             gold = {(at[a, b], k) for a, b, k in spans if (a, b) in at}
+            missing -= {x for x in spans if x[:2] in at}
             if segs:
                 data.append((len(toks), segs, gold))
+        if missing:
+            raise ValueError(f"spans that no candidate covers: {missing} of {line!r}")
     rng = random.Random(5)
     for epoch in range(EPOCHS):
         rng.shuffle(data)
@@ -267,7 +286,9 @@ def all_spans(t: str, base: list[tuple[int, int, int]], w: Weights) -> list[tupl
     for lo, hi in islands(t):
         if any(a <= lo and hi <= b for a, b in taken):
             continue
-        toks, segs = candidates(t, lo, hi)
+        toks = [m.span() for m in _TOKEN.finditer(t, lo, hi)]
+        # the best labelling holds no segment of a score that isn't positive; features of the others needn't be kept
+        segs = [x for x in segments(t, toks) if max(_scores([x], w)[0]) > 0]
         for i, j, k in decode(len(toks), segs, w):
             a, b = toks[i][0], toks[j - 1][1]
             if not any(x < b and a < y for x, y in taken):

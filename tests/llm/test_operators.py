@@ -111,6 +111,24 @@ def test_pii_field_is_accurate():
     assert right / seen > 0.8
 
 
+def test_pii_spaced_entities_are_found():
+    w = dict(pii.trained())
+    for text, kind in (("host @ example.com", "email"), ("10 . 20 . 30 . 40", "ip"), ("10[.]20[.]30[.]40", "ip")):
+        t = f"some words {text}, more words"
+        assert pii.as_string(pii.all_spans(t, pii.base_spans(t), w)) == f"{kind}:11:{11 + len(text)}"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="07.@ -ab\n²é", max_size=70))
+def test_pii_islands_are_the_whole_text(t):
+    w = dict(pii.trained())
+    toks, segs = pii.candidates(t, 0, len(t))
+    parts = [pii.candidates(t, lo, hi) for lo, hi in pii.islands(t)]
+    spans = lambda toks, segs: [(toks[i][0], toks[j - 1][1], f) for i, j, f in segs]
+    assert spans(toks, segs) == [x for p in parts for x in spans(*p)]
+    assert sorted((toks[i][0], k, toks[j - 1][1]) for i, j, k in pii.decode(len(toks), segs, w)) == pii.all_spans(t, [], w)
+
+
 def test_pii_decoding_is_the_best_labelling():
     r = random.Random(1)
     for _ in range(30):
