@@ -34,6 +34,22 @@ def test_near_duplicates_fold_in_rank_order(spark):
     assert list(got["ids"]) == [1, 3]
 
 
+def test_near_duplicates_fold_of_long_lists(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(q, i, r.random(), [r.uniform(-1, 1) for _ in range(4)]) for q in (1, 2) for i in range(150)]
+    df = spark.createDataFrame(rows, "query_id long, id long, score double, v array<float>")
+    got = {x["query_id"]: list(x["ids"]) for x in s.near_duplicate_fold(df, 0.97).collect()}
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for q in (1, 2):
+        kept = []
+        for _, i, _, v in sorted((x for x in rows if x[0] == q), key=lambda x: (-x[2], x[1])):
+            if all(sum(a * b for a, b in zip(u, v)) / norm(u) / norm(v) < 0.97 for _, u in kept):
+                kept.append((i, v))
+        assert len(kept) > 64 and got[q] == [i for i, _ in kept]
+
+
 def test_budget_skips_what_does_not_fit(spark):
     rows = [(1, i, 1.0 - i / 10, n) for i, n in enumerate((60, 50, 30, 10))]
     got = s.budget_pack(spark.createDataFrame(rows, "query_id long, id long, score double, n_tokens long"), 100, 1).first()
