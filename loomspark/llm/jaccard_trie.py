@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHashes, as_bytes, components, gram_hashes, map_arrow, mixed, read_table, shuffle_partitions, signed, stored, wide_batches
 
@@ -333,11 +334,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = B
     return sets.join(by_class, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _with_class(rows: DataFrame) -> DataFrame:
+    """rows with _class, the digest of the text's shingles; null without shingles."""
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = map(shingles, as_bytes(b.column(at)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, "_class"])
+
+    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("_class", T.LongType())]))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; repeated rows of the kept document stay as they are. Columns stay."""
+    """docs without the rows whose component has a smaller doc_id; repeated rows of the kept document stay as they are. Columns stay.
+
+    Rows without a doc_id: those with the shingles of a document that has one go, and one row of each other class stays; those without shingles all
+    stay. They have no links beyond their class."""
     found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long") == found["_kept_id"], "left_semi")
-    return kept
+    key = docs["doc_id"].cast("long")
+    kept = docs.join(found, key == found["_kept_id"], "left_semi")
+    lone = docs.where(key.isNull())
+    if lone.isEmpty():
+        return kept
+    lone = _with_class(lone)
+    named = _with_class(docs.where(key.isNotNull()).select("text")).where("_class is not null").select("_class").distinct()
+    n = F.row_number().over(Window.partitionBy("_class").orderBy(F.xxhash64("text"), "text"))
+    first = lone.where("_class is not null").join(named, "_class", "left_anti").withColumn("_n", n).where("_n = 1")
+    return kept.unionByName(first.select(*docs.columns)).unionByName(lone.where("_class is null").select(*docs.columns))
 
 
 def op5_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

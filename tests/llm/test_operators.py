@@ -81,6 +81,13 @@ def test_proximity(spark):
     assert sorted({r["doc_id"] for r in decontaminate.proximity_matches(index, phrases, 5).collect()}) == [1, 2]
 
 
+def test_keep_one_without_doc_id(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, b), (None, c), (None, None), (None, None), (3, c + " more")]
+    got = [(r["doc_id"], r["text"]) for r in jaccard_trie.keep_one(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (3, c + " more"), (None, b), (None, c), (None, None), (None, None)], key=repr)
+
+
 def test_pii(case):
     rows, docs = case
     got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
