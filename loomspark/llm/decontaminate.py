@@ -76,7 +76,8 @@ def phrase_matches(index: DataFrame, docs: DataFrame, phrases: DataFrame, k: int
     by_doc = spots.groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "start")).alias("spots")).withColumnRenamed("doc_id", "d_").withColumnRenamed("h", "h_")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").distinct()
     cand = texts.join(by_doc, (F.col("doc_id") == F.col("d_")) & (F.col("h") == F.col("h_"))).select("doc_id", "h", words_of(F.col("text")).alias("w"), "spots")
-    flat = cand.select("doc_id", "h", F.expr("inline(transform(spots, s -> named_struct('p', s.p, 'start', s.start, 'here', slice(w, s.start + 1, %d))))" % WINDOW))
+    longest = phrases.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
+    flat = cand.select("doc_id", "h", F.expr("inline(transform(spots, s -> named_struct('p', s.p, 'start', s.start, 'here', slice(w, s.start + 1, %d))))" % longest))
     return flat.join(_small(phrases), "p").where("slice(here, 1, size(words)) = words").select("doc_id", "h", "p", "start", F.size("words").alias("n"))
 
 

@@ -88,6 +88,15 @@ def test_keep_one_without_doc_id(spark):
     assert sorted(got, key=repr) == sorted([(1, a), (3, c + " more"), (None, b), (None, c), (None, None), (None, None)], key=repr)
 
 
+def test_decontamination_of_long_windows(spark):
+    words = [f"w{i}" for i in range(30)]
+    docs = frame(spark, [(1, "x " + " ".join(words[5:18]) + " y"), (2, " ".join(words[5:17]) + " other"), (3, " ".join(words))])
+    bench = spark.createDataFrame([(1, " ".join(words[:25]))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs, bench, 13).collect()}
+    assert got == {1: (13, True), 2: (0, False), 3: (25, True)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench, 13).collect()] == [2]
+
+
 def test_pii(case):
     rows, docs = case
     got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
