@@ -16,21 +16,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries after which a worker's word cache starts anew; bounds a worker's memory.
-CACHE_ENTRIES = 400_000
-#: Rows and bytes of an Arrow batch: long texts must not pile up in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: Rows and bytes of an Arrow batch. The bytes are what bounds a Python worker's memory where texts are long.
+BATCH_ROWS, BATCH_BYTES = 16384, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="loomspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -57,15 +58,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, for the session: a batch of long texts has to fit beside the JVM."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def wide_batches(spark: SparkSession) -> None:
-    """For steps whose rows are a few numbers each: larger batches cost less a row and stay small in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds the session's Arrow batches, if they aren't bounded as much: a batch has to fit beside the JVM. All operators here use the same
+    bounds, so it doesn't matter which of them was called last when a plan runs."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
@@ -82,17 +80,23 @@ def as_text(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered; forgets all when it holds CACHE_ENTRIES."""
+def words_of_rows(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words (runs without ASCII white space) of a column of texts, A-Z lower-cased if asked for, and how many each row has. Null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    words, at = parts.flatten(), parts.offsets.to_numpy()
+    # white space at either end of a text leaves an empty word
+    full = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), np.diff(before[at])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word. Arrow finds the batch's distinct words, which alone are hashed; nothing is kept from batch to batch."""
+    distinct = words.dictionary_encode()
+    names = distinct.dictionary.to_numpy(zero_copy_only=False)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, names.tolist()), np.uint64, len(names))
+    return h[distinct.indices.to_numpy(zero_copy_only=False)] if len(names) else h
 
 
 M = np.uint64(0x9E3779B97F4A7C15)
@@ -135,16 +139,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each round keeps the number of edges within the number
     of vertices and edges, so no hub's neighbours are paired; rounds grow with the logarithm of the
-    longest chain. Each round is written to the shared folder. Aggregates combine before the shuffle; a hub's join is split
-    by adaptive skew handling.
+    longest chain. Each round is written to the shared folder. Aggregates combine before the shuffle; their results are stored, so that
+    adaptive skew handling can split a hub's join with them.
     """
     now = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, before = stored(now, "edges"), None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        small_least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
         now = stored(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

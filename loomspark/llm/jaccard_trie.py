@@ -10,9 +10,11 @@
 3. Each block is a trie of its sets, common shingles first, so that near copies share paths. A probe goes down with its overlap so
    far and leaves subtrees that can't reach the threshold, or whose sets it is connected with already: only what changes
    connectivity is reported, never all pairs of a group.
-4. Blocks above BLOCK_SETS are dealt in chunks that all hold the centre; sets that a chunk did not connect with the
+4. Blocks above BLOCK_SETS or BLOCK_SHINGLES are dealt in chunks that all hold the centre; sets that a chunk did not connect with the
    centre then probe the other chunks.
 5. Links between classes give connected components.
+
+Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,25 +28,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, as_bytes, components, gram_hashes, map_arrow, mixed, read_table, shuffle_partitions, signed, stored, wide_batches
+from .common import components, gram_hashes, map_arrow, read_table, shuffle_partitions, signed, stored, tune, word_hashes, words_of_rows
 
 SHINGLE, PERCENT = 5, 80
 #: Buckets of the table that orders shingles; its reported part goes to the executors (at most 12 bytes a bucket).
 ORDER_BUCKETS = 1 << 20
-BLOCK_SETS = 1500
+#: Sets of a block's chunk, and shingles (8 bytes each) in all its sets, on average.
+BLOCK_SETS, BLOCK_SHINGLES = 1500, 4_000_000
 #: Least and largest number of parts of the hash space whose counts (a byte each; 255 or more bounds nothing) bound overlaps; a
 #: set has parts for four to eight shingles each.
 CELLS = 64, 1 << 16
 
-_words = WordHashes()
-
-
-def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's word k-grams, A-Z lower-cased; a text of fewer words is one shingle, one without words none."""
-    w = _words.of(text.lower().split())
-    if not len(w):
-        return np.zeros(0, np.uint64)
-    return np.unique(gram_hashes(w, k)) if len(w) >= k else gram_hashes(w, len(w)) ^ np.uint64(len(w))
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word k-grams, A-Z lower-cased; a text of fewer words is one shingle, one without words none."""
+    words, n = words_of_rows(texts, lower=True)
+    w = word_hashes(words)
+    grams, at, out = gram_hashes(w, k) if len(w) >= k else w, np.cumsum(n) - n, []
+    for a, m in zip(at.tolist(), n.tolist(), strict=True):
+        if m >= k:
+            out.append(np.unique(grams[a : a + m - k + 1]))
+        else:
+            out.append(gram_hashes(w[a : a + m], m) ^ np.uint64(m) if m else np.zeros(0, np.uint64))
+    return out
 
 
 def cells(s: np.ndarray) -> bytes:
@@ -66,7 +71,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "d", "cells", "bucket", "c"]
     none = lambda k, t: pa.nulls(k, t)
     for b in batches:
-        sets = [shingles(t) for t in as_bytes(b.column(1))]
+        sets = shingle_sets(b.column(1))
         waiting += sets
         held += sum(map(len, sets))
         if held > 1 << 20:
@@ -172,14 +177,12 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         key, rows = None, {}
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(4)]
-            texts = as_bytes(b.column(4))
-            for i, t in enumerate(texts):
+            for i, s in enumerate(shingle_sets(b.column(4))):
                 k = (cols[0][i], cols[1][i])
                 if k != key:
                     if key is not None:
                         yield from flush(key, rows)
                     key, rows = k, {}
-                s = shingles(t)
                 d = digest(s)
                 if d not in rows or cols[3][i]:
                     rows[d] = (s, bool(cols[3][i]))
@@ -250,7 +253,7 @@ def _joined(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_arrow(dealt, lambda batches: _block_links(batches, percent), "center long, chunk int, d long, root long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row of docs (doc_id, text).
 
     Null and wordless texts have no shingles and are their own component. Rows that share a doc_id are rows of one vertex: each
@@ -258,6 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = B
     its component is null. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    tune(spark)
     base = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     scan = stored(map_arrow(base, _scan, "doc_id long, n long, d long, cells binary, bucket int, c long"), "sets")
     top = scan.where("bucket is not null").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # at most ORDER_BUCKETS rows
@@ -269,8 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = B
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens, owners = [], []
-            for t in as_bytes(b.column(0)):
-                s = shingles(t)
+            for s in shingle_sets(b.column(0)):
                 if len(s):
                     p = ordered(s, sent.value)[: prefix_size(len(s), percent)]
                     tokens.append(p)
@@ -298,19 +301,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = B
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["center", "d"])
             token, centre, last = t[-1], c[-1], d[-1]
 
-    wide_batches(spark)
     pairs = dealt.mapInArrow(groups, "center long, d long").groupBy("center", "d").agg(F.lit(1).alias("one")).drop("one")
     pairs = stored(pairs, "pairs")
-    sizes = pairs.groupBy("center").agg((F.count("*") + 1).alias("members"))
     # one document stands for its class
     classes = stored(sets.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells")), "classes")
-    rows = pairs.unionByName(sizes.select("center", F.col("center").alias("d"))).join(sizes, "center")
+    # a block's centre is one of its members; sizes are stored, so that their join is one that Spark splits where a centre is hot
+    rows = stored(pairs.unionByName(pairs.select("center", F.col("center").alias("d")).distinct()).join(classes.select("d", "n"), "d"), "members")
+    sizes = stored(rows.groupBy("center").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")), "sizes")
+    rows = rows.join(sizes, "center")
+    chunks = F.greatest(F.ceil(F.col("members") / F.lit(block_sets)), F.ceil(F.col("shingles") / F.lit(block_shingles)), F.lit(1)).cast("int")
+    rows = rows.withColumn("chunks", chunks)
     # blocks of one chunk lose the members that the bound keeps apart; larger ones go on whole
-    few = rows.where(F.col("members") <= block_sets).select("center", "d").join(classes, "d").select("center", "d", "n", "cells").repartition(n, "center").sortWithinPartitions("center")
-    wide_batches(spark)
+    few = rows.where("chunks = 1").select("center", "d").join(classes, "d").select("center", "d", "n", "cells").repartition(n, "center").sortWithinPartitions("center")
     few = few.mapInArrow(lambda batches: _possible(batches, percent), "center long, d long").withColumn("chunks", F.lit(1)).withColumn("chunk", F.lit(0))
-    chunks = F.ceil(F.col("members") / F.lit(block_sets)).cast("int")
-    many = rows.where(F.col("members") > block_sets).withColumn("chunks", chunks)
+    many = rows.where("chunks > 1")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     many = many.select("center", "d", "chunks", F.explode(F.when(F.col("d") == F.col("center"), every).otherwise(F.array(F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int")))).alias("chunk"))
     blocks = stored(few.unionByName(many), "blocks")
@@ -340,7 +344,7 @@ def _with_class(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = map(shingles, as_bytes(b.column(at)))
+            sets = shingle_sets(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, "_class"])
 
     return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("_class", T.LongType())]))
@@ -369,4 +373,15 @@ def op5_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_jaccard_trie": op5_jaccard_trie}
-SQL: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+SQL = {
+    "op5_jaccard_trie": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + {SHINGLE - 1}), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {SHINGLE - 1}) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id WHERE u.b > r.c)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
+}

@@ -3,8 +3,12 @@ one of target text and one of raw text, and drawn by Gumbel top-k.
 
 Target text is a bounded sample of labelled documents of good quality that aren't toxic; raw text is the whole corpus.
 N-grams are words (case and edge punctuation folded) and pairs of neighbouring word shapes with whether the words are
-equal. A ratio counts only where counts differ by SIGNIFICANCE standard errors, else rare n-grams' noise would drown it;
-a document's weight is its mean log ratio, so that length doesn't decide.
+equal. A bucket's log ratio, of either sign, counts where the counts differ by SIGNIFICANCE standard errors and by LEAST_FACTOR or more: else
+rare n-grams' noise, and the small lead that all target words have because poor text takes a share of the raw model, would drown the rest.
+
+The length rule: a document weighs as REFERENCE n-grams of its make-up would, the mean log ratio times REFERENCE, so that long documents aren't
+drawn or left for their length. The draw: Gumbel noise of scale 1 is added to the log weights and the k largest are taken, which is sampling
+without replacement by weight. Log ratios are whole millionths, so sums don't depend on batches.
 """
 
 from __future__ import annotations
@@ -14,54 +18,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_ENTRIES, M, as_bytes, map_arrow, mixed, read_table, stored
+from .common import M, as_bytes, map_arrow, mixed, read_table, stored, words_of_rows
 
-#: Buckets of the hashed models (two arrays of this length are sent to the executors: 4 MB), and labelled rows used at most.
-BUCKETS, MAX_LABELS = 1 << 18, 40_000
-SIGNIFICANCE, PSEUDO, CLIP = 2.5, 1.0, 0.0
+#: Buckets of the hashed models (one array of this length is sent to the executors: 2 MB), and labelled rows used at most.
+BUCKETS, MAX_LABELS = 1 << 19, 40_000
+SIGNIFICANCE, LEAST_FACTOR, PSEUDO, REFERENCE = 4.0, 2.0, 0.3, 300
 #: Share of the labelled rows that sets the size of the draw and is kept from the target model, as 1 in HELD_OUT.
 HELD_OUT = 4
-#: Log weights are divided by this before Gumbel noise is added: smaller draws are closer to a plain ranking.
-TEMPERATURE = 0.002
-
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"A" * 26 + b"0" * 10)
-
-
-class _Folded(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[w] = v = xxhash.xxh64_intdigest(w.lower().strip(b".,;:!?\"'()"))
-        return v
-
-
-class _Shapes(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[w] = v = xxhash.xxh64_intdigest(re.sub(rb"(.)\1+", rb"\1", re.sub(rb"[a-z\x80-\xff]+", b"a", w.translate(_FOLD))))
-        return v
-
-
-_folded, _shapes = _Folded(), _Shapes()
-
-
-def features(text: bytes) -> np.ndarray:
-    """Buckets of a text's n-grams; none for a text without words."""
-    ws = text.split()
-    if not ws:
-        return np.zeros(0, np.int64)
-    a = np.fromiter(map(_folded.__getitem__, ws), np.uint64, len(ws))
-    f = mixed(a)
-    if len(ws) > 1:
-        b = np.fromiter(map(_shapes.__getitem__, ws), np.uint64, len(ws))
-        f = np.concatenate([f, mixed(b[1:] * M + b[:-1] + (a[1:] == a[:-1]))])
-    return (f % np.uint64(BUCKETS)).astype(np.int64)
+#: What is stripped from a word's edges before it is folded, and the runs of characters that are one in a word's shape.
+EDGE = ".,;:!?\"'()"
+_SHAPE = ((r"[a-z\x{80}-\x{10FFFF}]+", "a"), (r"[A-Z]+", "A"), (r"[0-9]+", "0"))
+
+
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all texts' n-grams, one text after another, and how many each text has: a word has one, and one more with the word before it.
+    Words are folded and shaped once for each distinct word of the batch, by Arrow."""
+    words, n = words_of_rows(texts)
+    distinct = words.dictionary_encode()
+    names, at = distinct.dictionary, distinct.indices.to_numpy(zero_copy_only=False)
+    if not len(names):
+        return np.zeros(0, np.int64), np.zeros(len(n), np.int64)
+    folded = pc.ascii_trim(pc.ascii_lower(names), characters=EDGE).to_numpy(zero_copy_only=False)
+    shapes = names
+    for pattern, one in _SHAPE:
+        shapes = pc.replace_substring_regex(shapes, pattern, one)
+    shapes = shapes.dictionary_encode()
+    shape = np.array([xxhash.xxh64_intdigest(re.sub(r"(.)\1+", r"\1", x)) for x in shapes.dictionary.to_pylist()], np.uint64)[shapes.indices.to_numpy(zero_copy_only=False)]
+    a, b = np.fromiter(map(xxhash.xxh64_intdigest, folded.tolist()), np.uint64, len(names))[at], shape[at]
+    f, is_gram = np.zeros((len(a), 2), np.uint64), np.ones((len(a), 2), bool)
+    f[1:, 0] = mixed(b[1:] * M + b[:-1] + (a[1:] == a[:-1]))
+    f[:, 1] = mixed(a)
+    is_gram[(np.cumsum(n) - n)[n > 0], 0] = False
+    return (f[is_gram] % np.uint64(BUCKETS)).astype(np.int64), np.maximum(2 * n - 1, 0)
 
 
 def sampled_labels(labels: DataFrame, limit: int = MAX_LABELS) -> dict[int, tuple[bool, bool]]:
@@ -72,41 +66,37 @@ def sampled_labels(labels: DataFrame, limit: int = MAX_LABELS) -> dict[int, tupl
 
 
 def fit(docs: DataFrame, labels: dict[int, tuple[bool, bool]]) -> np.ndarray:
-    """Log ratio of each bucket. Counts cover every document; each task sums its own before anything is shuffled."""
+    """Log ratio of each bucket in millionths. Counts cover every document; each task sums its own before anything is shuffled."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(labels)
+    known = spark.sparkContext.broadcast({k for k, v in labels.items() if v == (True, False)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, waiting, held = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), [], 0
-        any_rows = False
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            any_rows = True
-            for k, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                f = features(t)
-                waiting.append(f)
-                held += len(f)
-                if known.value.get(k) == (True, False):
-                    target += np.bincount(f, minlength=BUCKETS)
-                if held > 1 << 20:
-                    raw += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
-                    waiting, held = [], 0
-        if waiting:
-            raw += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
-        if any_rows:
-            at = np.flatnonzero(raw)
-            for i in range(0, len(at), 1 << 15):
-                x = at[i : i + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(raw[x]), pa.array(target[x])], names=["bucket", "raw", "target"])
+            f, n = features(b.column(1))
+            raw += np.bincount(f, minlength=BUCKETS)
+            chosen = np.array([k in known.value for k in b.column(0).to_pylist()], bool)
+            if chosen.any():
+                target += np.bincount(f[np.repeat(chosen, n)], minlength=BUCKETS)
+        at = np.flatnonzero(raw)
+        for i in range(0, len(at), 1 << 15):
+            x = at[i : i + (1 << 15)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(raw[x]), pa.array(target[x])], names=["bucket", "raw", "target"])
 
     # at most BUCKETS rows, whatever the corpus
     rows = map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = rows["bucket"].to_numpy()
     raw[at], target[at] = rows["raw"].to_numpy(), rows["target"].to_numpy()
+    return log_ratios(raw, target)
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of target over raw probability in millionths; 0 where it isn't significant or the factor is less than LEAST_FACTOR."""
     expected = target.sum() * raw / max(1.0, raw.sum())
     ratio = np.log((target + PSEUDO) / (expected + PSEUDO))
-    ratio[np.abs(expected - target) < SIGNIFICANCE * np.sqrt(expected)] = 0
-    return np.minimum(ratio, CLIP).astype(np.float32)
+    ratio[(np.abs(expected - target) < SIGNIFICANCE * np.sqrt(expected)) | (np.abs(ratio) < np.log(LEAST_FACTOR))] = 0
+    return np.round(ratio * 1e6).astype(np.int32)
 
 
 def _gumbel(keys: list[int | None], texts: list[bytes], seed: int) -> np.ndarray:
@@ -116,7 +106,7 @@ def _gumbel(keys: list[int | None], texts: list[bytes], seed: int) -> np.ndarray
 
 
 def with_scores(docs: DataFrame, ratio: np.ndarray, seed: int = 7, keep_columns: bool = False) -> DataFrame:
-    """doc_id (or all columns) with n_features, log_weight (mean log ratio; 0 without words) and draw (the Gumbel key, in millionths).
+    """doc_id (or all columns) with n_features, log_weight (mean log ratio times REFERENCE; 0 without words) and draw (the Gumbel key, in millionths).
 
     Added columns are named n_features, log_weight and draw, or with a leading underscore each while such a column exists.
     """
@@ -132,13 +122,11 @@ def with_scores(docs: DataFrame, ratio: np.ndarray, seed: int = 7, keep_columns:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lr = model.value
         for b in batches:
-            texts, keys = as_bytes(b.column(at[1])), b.column(at[0]).to_pylist()
-            n, s = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for i, t in enumerate(texts):
-                f = features(t)
-                n[i] = len(f)
-                s[i] = lr[f].mean(dtype=float) if len(f) else 0.0
-            draw = np.round((s / TEMPERATURE + _gumbel(keys, texts, seed)) * 1e6).astype(np.int64)
+            f, n = features(b.column(at[1]))
+            total = np.concatenate([[0], np.cumsum(lr[f], dtype=np.int64)])
+            end = np.cumsum(n)
+            s = (total[end] - total[end - n]) * (REFERENCE / 1e6) / np.maximum(n, 1)
+            draw = np.round((s + _gumbel(b.column(at[0]).to_pylist(), as_bytes(b.column(at[1])), seed)) * 1e6).astype(np.int64)
             cols = b.columns if keep_columns else b.columns[:1]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(s), pa.array(draw)], names=[*b.schema.names[: len(cols)], *names.values()])
 
@@ -184,30 +172,29 @@ def cut_of(scored: DataFrame, labels: dict[int, tuple[bool, bool]]) -> float | N
     return float((at[i] + at[i - 1]) / 2) if i else float(at[0])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame, int | None]:
-    """Ratio model, stored scores, and the draw's least key: k is how many documents weigh at least the cut, and the k
-    largest Gumbel keys are drawn; ties at the last place are all drawn. Without labels of both kinds all are drawn (None)."""
+def train(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) -> tuple[DataFrame, int | None]:
+    """Stored scores (with_scores) and the draw's least key: k is how many documents weigh at least the cut, and the k
+    largest Gumbel keys are drawn; ties at the last place are all drawn. Without labels of both kinds all are drawn (None).
+    Texts are read twice, once for the models and once for the weights."""
     known = sampled_labels(labels)
-    ratio = fit(docs, known)
-    scored = stored(with_scores(docs, ratio), "scores")
-    cut = cut_of(scored, known)
-    if cut is None:
-        return ratio, scored, None
-    return ratio, scored, kth_largest(scored, "draw", scored.where(F.col("log_weight") >= cut).count())
+    scored = stored(with_scores(docs, fit(docs, known), keep_columns=keep_columns), "scores")
+    weight, draw = scored.columns[-2:]
+    plain = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(weight).alias("log_weight"))
+    cut = cut_of(plain, known)
+    return scored, None if cut is None else kth_largest(scored, draw, plain.where(F.col("log_weight") >= cut).count())
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_features, log_weight, draw, kept: every document with its decision. Null or wordless text weighs 0."""
-    _, scored, least = train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    scored, least = train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return scored.withColumn("kept", F.lit(True) if least is None else F.col("draw") >= least)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are drawn, with their columns as they are."""
-    ratio, _, least = train(docs, labels)
-    out = with_scores(docs, ratio, keep_columns=True)
-    draw = out.columns[-1]
-    return (out if least is None else out.where(F.col(draw) >= least)).select(*docs.columns)
+    """The documents that are drawn, with their columns as they are. A null doc_id or text is a document like others (a null text weighs 0); rows
+    that are equal have one key and stay or go together. An empty table gives no rows."""
+    scored, least = train(docs, labels, keep_columns=True)
+    return (scored if least is None else scored.where(F.col(scored.columns[-1]) >= least)).select(*docs.columns)
 
 
 QUERIES = {"op8_quality": op8_quality}

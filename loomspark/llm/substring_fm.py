@@ -3,11 +3,14 @@
 1. Each window of WINDOW words is routed by its minimizer, the least hash of the SEED-word grams in it: equal windows have equal
    minimizers. Minimizers that one document alone holds route nothing further.
 2. The stretches of documents under the other minimizers are dealt to shards by minimizer. A shard indexes its distinct
-   stretches (suffix array, Burrows-Wheeler transform over word numbers, wavelet matrix with packed bits and block counts) and
-   streams every stretch through the index by backward search. Windows whose interval of the suffix array holds a smaller doc_id are reported.
+   stretches (Burrows-Wheeler transform over word numbers and the documents in suffix order, each a wavelet matrix of packed bits with block
+   counts; the suffix array isn't kept) and streams every stretch through the index by backward search. Windows whose interval holds a
+   smaller doc_id, which the documents' wavelet matrix gives without listing the interval, are reported.
 3. Each document drops the words that its reported windows cover.
 Stretches that repeat word for word are told apart from the first of them while the rows stream by, so that groups of
 copies don't grow an index; a minimizer with more distinct stretches than an index takes is searched block by block.
+
+Minimizers and the rows that share a doc_id are told apart by 64-bit hashes; the index compares words.
 """
 
 from __future__ import annotations
@@ -20,27 +23,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, gram_hashes, map_arrow, read_table, shuffle_partitions, signed, wide_batches
+from .common import as_bytes, gram_hashes, map_arrow, read_table, shuffle_partitions, signed, tune, word_hashes, words_of_rows
 
 WINDOW, SEED = 13, 5
 #: Words of an index; a shard has as many indexes as it needs, one after the other.
 INDEX_WORDS = 150_000
 
-_words = WordHashes()
-
-
-def routes(words: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimizer: the minimizers, first windows, numbers of windows."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    g = gram_hashes(_words.of(words), seed)
-    w = window - seed + 1
-    least = g[:n].copy()
-    for i in range(1, w):
-        np.minimum(least, g[i : i + n], out=least)
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[first], first, np.diff(np.append(first, n))
+Routes = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def routes(texts: pa.Array, window: int = WINDOW, seed: int = SEED) -> list[Routes]:
+    """Of each text the runs of windows with one minimizer: the minimizers, first windows, numbers of windows."""
+    words, size = words_of_rows(texts)
+    h = word_hashes(words)
+    least = g = gram_hashes(h, seed) if len(h) >= window else np.zeros(0, np.uint64)
+    if len(g):
+        n = len(h) - window + 1
+        least = g[:n].copy()
+        for i in range(1, window - seed + 1):
+            np.minimum(least, g[i : i + n], out=least)
+    out = []
+    for a, m in zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
+        n = m - window + 1
+        if n <= 0:
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            continue
+        mine = least[a : a + n]
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        out.append((mine[first], first, np.diff(np.append(first, n))))
+    return out
 
 
 class WaveletMatrix:
@@ -57,19 +68,33 @@ class WaveletMatrix:
             self.levels.append((b, packed, before.astype(np.uint32), zeros))
             cur = np.concatenate([cur[~bit], cur[bit]])
 
+    @staticmethod
+    def _ones(packed: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
+        k = i >> 6
+        return before[k].astype(np.int64) + np.bitwise_count(packed[k] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often c stands before i, minus where c's block begins at the lowest level: add start(c) of the same kind."""
         for b, packed, before, zeros in self.levels:
-            k = i >> 6
-            ones = before[k].astype(np.int64) + np.bitwise_count(packed[k] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+            ones = self._ones(packed, before, i)
             i = np.where((c >> b) & 1 == 1, zeros + ones, i - ones)
         return i
 
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The smallest number from lo to hi; no interval is empty."""
+        out = np.zeros(len(lo), np.int64)
+        for b, packed, before, zeros in self.levels:
+            x, y = self._ones(packed, before, lo), self._ones(packed, before, hi)
+            small = hi - y > lo - x
+            out += np.where(small, 0, 1 << b)
+            lo, hi = np.where(small, lo - x, zeros + x), np.where(small, hi - y, zeros + y)
+        return out
+
 
 class FMIndex:
-    """Over stretches (lists of word numbers from 1 on, each ended by a 0)."""
+    """Over stretches (lists of word numbers from 1 on, each ended by a 0); owner: each place's document."""
 
-    def __init__(self, text: np.ndarray, depth: int = WINDOW + 1):
+    def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int = WINDOW + 1):
         n = len(text)
         rank = text.astype(np.int64)
         k = 1
@@ -78,15 +103,17 @@ class FMIndex:
             second = np.zeros(n, np.int64)
             second[: n - k] = rank[k:] + 1
             key = rank * (int(second.max()) + 1) + second
-            self.sa = np.argsort(key, kind="stable")
-            s = key[self.sa]
+            sa = np.argsort(key, kind="stable")
+            s = key[sa]
             new = np.empty(n, np.int64)
-            new[self.sa] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+            new[sa] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
             rank, k = new, 2 * k
             if rank.max() == n - 1:
                 break
         sigma = int(text.max()) + 1
-        self.wavelet = WaveletMatrix(text[self.sa - 1], sigma)
+        self.wavelet = WaveletMatrix(text[sa - 1], sigma)
+        self.owners, number = np.unique(owner, return_inverse=True)
+        self.documents = WaveletMatrix(number[sa], len(self.owners))
         counts = np.bincount(text, minlength=sigma)
         self.c = np.concatenate([[0], np.cumsum(counts)[:-1]])
         self.n = n
@@ -99,7 +126,7 @@ class FMIndex:
         return shift + self.wavelet.rank(symbol, lo), shift + self.wavelet.rank(symbol, hi)
 
     def matching(self, text: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each place ends (one past a window's last word): how many words before it, at most longest, stand at two or more places
+        """Matching statistics. For each place ends (one past a window's last word): how many words before it, at most longest, stand at two or more places
         of the index together, and the interval there. A search stops as soon as only its own place is left."""
         length = np.zeros(len(ends), np.int64)
         lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n)
@@ -126,7 +153,7 @@ def _flags(index: list[tuple[list[bytes], int]], queries: list[tuple[list[bytes]
     owner = np.full(len(text), np.iinfo(np.int64).max)
     for k in range(len(index)):
         owner[at[k] : at[k] + size[k]] = index[k][1]
-    fm = FMIndex(text, window + 1)
+    fm = FMIndex(text, owner, window + 1)
     asked = range(len(both)) if queries is index else range(len(index), len(both))
     ends = np.concatenate([np.arange(at[k] + window, at[k] + size[k] + 1) for k in asked])
     mine = np.concatenate([np.full(size[k] - window + 1, both[k][1]) for k in asked])
@@ -138,8 +165,7 @@ def _flags(index: list[tuple[list[bytes], int]], queries: list[tuple[list[bytes]
         starts, back = np.unique(lo[full], return_inverse=True)
         past = np.zeros(len(starts), np.int64)
         past[back] = hi[full]
-        cuts = np.stack([starts, past], 1).ravel()
-        least = np.minimum.reduceat(np.append(owner[fm.sa], np.iinfo(np.int64).max), cuts)[::2]
+        least = fm.owners[fm.documents.least(starts, past)]
         out[full] = least[back] < mine[full]
     return np.split(out, np.cumsum([size[k] - window + 1 for k in asked])[:-1])
 
@@ -260,6 +286,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, index_words:
     doc_id don't remove each other's words; those with equal texts give equal rows. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    tune(spark)
     n = shuffle_partitions(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     # a key that is never null: else one join would filter nulls, and the two could not share an exchange
@@ -267,22 +294,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, index_words:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ms = [np.unique(routes(t.split(), window, seed)[0]) for t in as_bytes(b.column(1))]
+            ms = [np.unique(m) for m, _, _ in routes(b.column(1), window, seed)]
             owners = np.repeat(b.column(0).to_numpy(), [len(m) for m in ms])
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(ms))), pa.array(owners)], names=["m", "doc_id"])
 
     routed = map_arrow(base.where("doc_id is not null").select("doc_id", "text"), route, "m long, doc_id long").repartition(n, "m").sortWithinPartitions("m", "doc_id")
-    wide_batches(spark)
     flagged = routed.mapInArrow(_shared, "doc_id long, m long").groupBy("doc_id").agg(F.collect_set("m").alias("ms"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, h, t, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3), strict=True):
+            for d, h, t, (m, first, count), ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), routes(b.column(2), window, seed), b.column(3), strict=True):
                 if d is None:
                     continue
                 words = t.split()
-                m, first, count = routes(words, window, seed)
                 key = signed(m)
                 for i in np.flatnonzero(np.isin(key, ms.values.to_numpy())).tolist():
                     a = int(first[i])

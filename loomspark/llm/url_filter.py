@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, wide_batches
+from .common import map_arrow, read_table, tune
 
 DEFAULT_VERDICT = "allow"
 #: Stands after each label of a reversed host; no host name holds it.
@@ -100,7 +100,7 @@ def _judged(sorted_rows: DataFrame, rules: list[Rule], default: str) -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([r and r.text for r in found], pa.string()), pa.array([r.verdict if r else default for r in found], pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     out = map_arrow(sorted_rows, run, f"page_id {sorted_rows.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
-    wide_batches(sorted_rows.sparkSession)
+    tune(sorted_rows.sparkSession)
     return out
 
 
