@@ -2,7 +2,8 @@
 
 A chromosome is a list of bins. Crossover injects whole well-filled bins of one parent into the other, removes the bins that hold
 duplicates, and best-fits the displaced pieces. Each shard has a bounded number of pieces; its islands are rows of their own,
-evolve in tasks of their own, and after each epoch the elite of an island moves to the next island of the ring.
+evolve in tasks of their own, and after each epoch the elite of an island moves to the next island of the ring. The emptiest bins of all
+shards are then opened and their pieces packed again together, level by level, until one shard holds them: shards cost next to no sequences.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_text, map_arrow, read_table, shuffle_partitions, stored, tune
-from .tokens import TokenIds, token_file
+from .tokens import TokenIds, grouped, token_file
 
 CAPACITY, END_ID = 2048, 0
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces a shard holds on average; a shard is one row, so this bounds a row.
 SHARD_PIECES = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 4, 6
+#: The share of a shard's bins, the emptiest ones, that is packed again with those of other shards, as 1 in LOOSE.
+LOOSE = 4
 
 
 def best_fit(bins: list[list[int]], room: list[int], items: list[int], size: list[int], capacity: int) -> None:
@@ -116,12 +121,13 @@ def _to_bins(row: np.ndarray | None) -> list[list[int]] | None:
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids (with the end id), cut so that only the first
-    piece is shorter than capacity. Null text is empty: a piece of the end id alone."""
+    piece is shorter than capacity. Null text is empty: a piece of the end id alone. A null doc_id stays null; repeated rows give equal pieces
+    each. An empty table gives no rows."""
     file = file or token_file("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TokenIds.of(file, True)
-        for b in batches:
+        for b in grouped(batches):
             rows = []
             ids, at = enc.encode(as_text(b.column(1)), end_id)
             view, at = memoryview(ids).cast("B"), at.tolist()
@@ -132,52 +138,99 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, file: str | None = None
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, PIECE)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Pieces are dealt to shards at random (by hash), so that each shard has the corpus's mix of lengths; a shard wastes less than one
-    sequence against one packing of all. Repeated rows are pieces of their own. An empty table gives no rows.
+    Pieces are dealt to shards at random (by hash), so that each shard has the corpus's mix of lengths. Repeated rows are pieces of their own,
+    null doc_ids too. An empty table gives no rows.
+    """
+    rest, done, level = stored(pieces, "pieces"), [], 0
+    while True:
+        n = rest.count()
+        if not n and done:
+            break
+        shards = max(1, -(-n // shard_pieces))
+        packed = stored(_packed(rest, capacity, shards, level), f"level{level}")
+        done.append(packed.where("not loose").drop("loose"))
+        if shards == 1:
+            break
+        rest, level = packed.where("loose").select("doc_id", "piece", "start", "length", "ids_crc32"), level + 1
+    return reduce(DataFrame.unionByName, done)
+
+
+def _lists(column: pa.ListArray, field: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A field of all rows' structs, and where each row's begin and end."""
+    at = column.offsets.to_numpy()
+    return column.values.field(field).to_numpy(zero_copy_only=False), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def _packed(rows: DataFrame, capacity: int, shards: int, level: int) -> DataFrame:
+    """rows with sequence_id, offset and loose: whether the piece's bin is one of its shard's emptiest, where there are other shards.
+
+    Each shard is packed by best fit first; islands evolve those that need more sequences than their tokens fill.
     """
-    spark = pieces.sparkSession
-    kept = stored(pieces, "pieces")
-    shards = max(1, -(-kept.count() // shard_pieces))
+    n = shuffle_partitions(rows.sparkSession)
+    tune(rows.sparkSession)
     # a row's own number parts repeated rows; reading a stored table numbers them alike each time
-    dealt = kept.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id()), F.lit(shards)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id()), F.lit(shards)))
     members = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("length", "doc_id", "piece", "start", "ids_crc32"))).alias("m"))
     members = stored(members, "shards")
-    state = members.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("m.length").alias("sizes"), F.lit(None).cast("array<int>").alias("own"), F.lit(None).cast("array<int>").alias("immigrant"))
-    n = shuffle_partitions(spark)
-    for epoch in range(EPOCHS):
-        def run(frames: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                best, bins = [], []
-                for shard, island, sizes, own, guest in zip(f["shard"], f["island"], f["sizes"], f["own"], f["immigrant"], strict=True):
-                    got = evolve([int(x) for x in sizes], capacity, int(shard) * 1009 + int(island) * 31 + epoch, _to_bins(guest), _to_bins(own))
-                    best.append(_to_row(got, len(sizes)))
-                    bins.append(len(got))
-                yield f[["shard", "island", "sizes"]].assign(own=best, bins=bins)
-
-        tune(spark)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-        evolved = stored(state.repartition(n, "shard", "island").mapInPandas(run, "shard long, island int, sizes array<long>, own array<int>, bins int"), f"epoch{epoch}")
-        guests = evolved.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("own").alias("immigrant"))
-        state = evolved.drop("bins").join(guests, ["shard", "island"])
-    best = evolved.groupBy("shard").agg(F.min_by("own", F.struct("bins", "island")).alias("own"))
-
-    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for shard, m, own in zip(f["shard"], f["m"], f["own"], strict=True):
-                fill = np.zeros(len(m) + 1, np.int64)
-                rows = []
-                for x, b in zip(m, own, strict=True):
-                    rows.append((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"], (int(shard) << 32) + int(b), int(fill[b])))
-                    fill[b] += x["length"]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
-
-    return members.join(best, "shard").mapInPandas(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths, spans = _lists(b.column(1), "length")
+            own, bins, least = [], [], []
+            for i, j in spans:
+                size, packed, room = lengths[i:j].tolist(), [], []
+                best_fit(packed, room, range(j - i - 1, -1, -1), size, capacity)
+                own.append(_to_row(packed, j - i))
+                bins.append(len(packed))
+                least.append(-(-sum(size) // capacity))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(bins, pa.int32()), pa.array(least, pa.int32())], names=["shard", "own", "bins", "least"])
+
+    best = stored(members.mapInArrow(first, "shard long, own array<int>, bins int, least int"), "first")
+    open_ = best.where("bins > least")
+    if not open_.isEmpty():
+        state = members.join(open_, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("m.length").alias("sizes"), "own", F.lit(None).cast("array<int>").alias("immigrant"))
+        for epoch in range(EPOCHS):
+            def run(frames: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    found, bins = [], []
+                    for shard, island, sizes, own, guest in zip(f["shard"], f["island"], f["sizes"], f["own"], f["immigrant"], strict=True):
+                        got = evolve([int(x) for x in sizes], capacity, int(shard) * 1009 + int(island) * 31 + epoch, _to_bins(guest), _to_bins(own))
+                        found.append(_to_row(got, len(sizes)))
+                        bins.append(len(got))
+                    yield f[["shard", "island", "sizes"]].assign(own=found, bins=bins)
+
+            evolved = stored(state.repartition(n, "shard", "island").mapInPandas(run, "shard long, island int, sizes array<long>, own array<int>, bins int"), f"epoch{epoch}")
+            guests = evolved.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("own").alias("immigrant"))
+            state = evolved.drop("bins").join(guests, ["shard", "island"])
+        best = best.where("bins <= least").select("shard", "own").unionByName(evolved.groupBy("shard").agg(F.min_by("own", F.struct("bins", "island")).alias("own")))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths, spans = _lists(b.column(1), "length")
+            sequence, offset, loose = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+            for shard, (i, j), own in zip(b.column(0).to_pylist(), spans, b.column(2), strict=True):
+                bins = own.values.to_numpy().astype(np.int64)
+                order = np.argsort(bins, kind="stable")
+                sizes = lengths[i:j][order]
+                before = np.cumsum(sizes) - sizes
+                first_of = np.concatenate([[True], np.diff(bins[order]) > 0])
+                offset[i + order] = before - np.maximum.accumulate(np.where(first_of, before, 0))
+                sequence[i:j] = (level << 56) + (shard << 24) + bins
+                if shards > 1:
+                    fill = np.bincount(bins, weights=lengths[i:j])
+                    emptiest = np.argsort(fill, kind="stable")[: max(1, len(fill) // LOOSE)]
+                    loose[i:j] = np.isin(bins, emptiest[fill[emptiest] < capacity])
+            m = b.column(1).values
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*(m.field(x) for x in names), pa.array(sequence), pa.array(offset), pa.array(loose)], names=[*names, "sequence_id", "offset", "loose"])
+
+    return members.join(best.select("shard", "own"), "shard").mapInArrow(placed, PIECE + ", sequence_id long, offset long, loose boolean")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

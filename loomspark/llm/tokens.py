@@ -4,10 +4,9 @@ stated size and page indexes, so that ids and metadata can be read apart and by
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import as_text, map_arrow, new_path, read_table, shuffle_partitions
 
-#: Words a worker remembers with their ids (about 200 bytes each).
-REMEMBERED = 600_000
-#: Latin letters (those that lower-case to one letter) after a space or none, then marks of ASCII or none.
-_LETTERS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-/:-@\[-`{-~]*)").fullmatch
+#: Words that a worker remembers with their ids, at most (about 50 bytes each), and bytes of text that are encoded at once.
+REMEMBERED, AT_ONCE = 1_000_000, 8 << 20
+#: Latin letters (those that lower-case to one letter), and ASCII's marks.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-įı-ſ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def plain(t: str) -> bool:
@@ -28,13 +27,22 @@ def plain(t: str) -> bool:
     return bool(t) and t.replace("\n", "").isprintable() and t[0] not in " \n" and t[-1] not in " \n" and not any(x in t for x in ("  ", "\n\n", " \n", "\n ", "<|"))
 
 
+def runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs of numbers, one run after another."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size)
+    at += np.arange(len(at))
+    return at
+
+
 class TokenIds:
-    """Ids of texts by the tokenizers library, packed as little-endian unsigned 32-bit integers.
+    """Ids of texts by the tokenizers library.
 
     A text of words parted by lone spaces and line feeds is encoded word by word, each distinct word once while it
-    stays in the cache: pre-tokens never span such a boundary, so the ids are those of the whole text. Any other text (other white
+    is remembered: pre-tokens never span such a boundary, so the ids are those of the whole text. Any other text (other white
     space, runs of it, special strings) goes to the library whole. spaced: whether a word keeps the space before it
-    (byte-level vocabularies) or white space is dropped.
+    (byte-level vocabularies) or white space is dropped. Remembered words are an Arrow array, looked up by Arrow; when there are
+    REMEMBERED of them, the half that was used last stays.
     """
 
     _made: dict[tuple[str, bool], TokenIds] = {}
@@ -44,7 +52,8 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(file), spaced
-        self.cache: dict[str, bytes] = {}
+        self.words, self.ids, self.at = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)  # ids of word i: from at[i] to at[i + 1]
+        self.used, self.turn = np.zeros(0, np.int32), 0
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on; words are parted by line feeds
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown) if b != 10}
@@ -52,46 +61,79 @@ class TokenIds:
 
     @classmethod
     def of(cls, file: str, spaced: bool) -> TokenIds:
-        """One for a worker, so that its cache lasts from task to task."""
+        """One for a worker, so that its words last from task to task; another vocabulary's takes its place."""
         if (file, spaced) not in cls._made:
+            cls._made.clear()
             cls._made[file, spaced] = cls(file, spaced)
         return cls._made[file, spaced]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Remembers the ids of distinct words. Both vocabularies part a run of letters from the marks after it, so such a word's letters go
-        to the library's model at once, as bytes in its alphabet and without the pattern matching before it; other words go the whole way."""
-        cache, model, stems, alone, joined = self.cache, self.model, set(), set(), []
-        for w in new:
-            m = _LETTERS(w)
-            if not m:
-                alone.add(w)
-            elif m[2]:
-                joined.append((w, m[1], m[2]))
-                stems.add(m[1])
-                alone.add(m[2])
-            else:
-                stems.add(w)
-        wanted = [w for w in stems if w not in cache]
-        shown = "\n".join(wanted)
+        return [e.ids for i in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+
+    def _learn(self, new: pa.Array) -> None:
+        """Remembers the ids of distinct words. A run of letters goes to the library's model at once, as bytes in its alphabet and without the
+        pattern matching before it; other words go the whole way."""
+        is_run = pc.match_substring_regex(new, f"^ ?[{LETTERS}]+$")
+        letters, rest = new.filter(is_run), new.filter(pc.invert(is_run))
+        shown = "\n".join(letters.to_numpy(zero_copy_only=False).tolist())
         shown = (shown if self.spaced else shown.lower()).encode().decode("latin-1").translate(self.alphabet)
-        for w, raw in zip(wanted, shown.split("\n"), strict=bool(wanted)):
-            cache[w] = array("I", [t.id for t in model.tokenize(raw)]).tobytes()
-        rest = [w for w in alone if w not in cache]
-        for i in range(0, len(rest), 4096):
-            cache.update((w, array("I", x).tobytes()) for w, x in zip(rest[i : i + 4096], self._ids(rest[i : i + 4096]), strict=True))
-        for w, letters, marks in joined:
-            cache[w] = cache[letters] + cache[marks]
+        tokenize = self.model.tokenize
+        lists = [[t.id for t in tokenize(raw)] for raw in shown.split("\n")] if len(letters) else []
+        lists += self._ids(rest.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.words = pa.concat_arrays([self.words, letters, rest])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), "<u4", int(size.sum()))])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+        self.used = np.concatenate([self.used, np.full(len(lists), self.turn, np.int32)])
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+        size = np.diff(self.at)[keep]
+        self.ids = self.ids[runs(self.at[keep], size)]
+        self.words, self.used, self.at = self.words.take(pa.array(keep)), self.used[keep], np.concatenate([[0], np.cumsum(size)])
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words; those that aren't remembered are learnt."""
+        found = pc.index_in(words, value_set=self.words)
+        if found.null_count:
+            self._learn(words.filter(pc.is_null(found)))
+            found = pc.index_in(words, value_set=self.words)
+        i = found.to_numpy(zero_copy_only=False)
+        self.used[i] = self.turn
+        return i
+
+    def _word_ids(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one word after another, and how many each has. Both vocabularies part a letter from the marks after it, so
+        marks at a word's end are looked up apart."""
+        stems = pc.ascii_rtrim(names, characters=MARKS)
+        cut = np.flatnonzero(pc.not_equal(pc.binary_length(names), pc.binary_length(stems)).to_numpy(zero_copy_only=False))
+        after = stems.take(pa.array(cut))
+        is_letter = pc.match_substring_regex(after, f"[{LETTERS}]$").to_numpy(zero_copy_only=False)
+        cut, after = cut[is_letter], after.filter(pa.array(is_letter))
+        whole = names.take(pa.array(cut)).to_numpy(zero_copy_only=False).tolist()
+        marks = pa.array([w[n:] for w, n in zip(whole, pc.utf8_length(after).to_numpy(zero_copy_only=False).tolist(), strict=True)], pa.large_string()).dictionary_encode()
+        has_marks = np.zeros(len(names), bool)
+        has_marks[cut] = True
+        heads = pc.if_else(pa.array(has_marks), stems, names).dictionary_encode()
+        # both are found in one go; a mark may be a word too
+        both = pa.concat_arrays([heads.dictionary, marks.dictionary]).dictionary_encode()
+        number = self._known(both.dictionary)[both.indices.to_numpy(zero_copy_only=False)]
+        k = len(heads.dictionary)
+        part = np.zeros((len(names), 2), np.int64)
+        part[:, 0] = number[:k][heads.indices.to_numpy(zero_copy_only=False)]
+        part[cut, 1] = number[k:][marks.indices.to_numpy(zero_copy_only=False)]
+        size = self.at[part + 1] - self.at[part]
+        size[~has_marks, 1] = 0
+        return self.ids[runs(self.at[part].ravel(), size.ravel())], size.sum(axis=1)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end_id, one after another, and the places where texts begin (with the total last).
 
         The texts' distinct words are found by Arrow's dictionary encoding, looked up or learnt once, and their ids gathered by arrays.
         """
-        if len(self.cache) > REMEMBERED:
-            self.cache.clear()
+        self.turn += 1
+        if len(self.words) > REMEMBERED:
+            self._forget()
         is_plain = np.array([plain(t) for t in texts], bool)
         cut = [t for t, p in zip(texts, is_plain, strict=True) if p]
         if self.spaced:
@@ -99,33 +141,39 @@ class TokenIds:
         else:
             words = pc.ascii_split_whitespace(pa.array(cut, pa.large_string()))
         distinct = words.flatten().dictionary_encode()
-        names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
-        parts = list(map(self.cache.get, names))
-        missing = [i for i, x in enumerate(parts) if x is None]
-        if missing:
-            self._learn([names[i] for i in missing])
-            for i in missing:
-                parts[i] = self.cache[names[i]]
-        # a text that goes whole is one more part, and so is the end id
-        first_whole = len(parts)
-        parts += [np.array(x, "<u4").tobytes() for x in self._ids([t for t, p in zip(texts, is_plain, strict=True) if not p])]
-        parts.append(np.array([end_id], "<u4").tobytes())
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(parts), "<u4")
-        # the parts of each text in turn
+        ids, size = self._word_ids(distinct.dictionary) if len(distinct.dictionary) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        # a text that goes whole is one more word, and so is the end id
+        first_whole = len(size)
+        lists = [*self._ids([t for t, p in zip(texts, is_plain, strict=True) if not p]), [end_id]]
+        size = np.concatenate([size, np.fromiter(map(len, lists), np.int64, len(lists))])
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(lists), "<u4")])
+        begin = np.cumsum(size) - size
+        # the words of each text in turn
         n = np.ones(len(texts), np.int64)
         n[is_plain] = np.diff(words.offsets.to_numpy())
         last = np.cumsum(n + 1) - 1
-        seq, of_word = np.empty(int(last[-1]) + 1 if len(texts) else 0, np.int64), np.ones(int(last[-1]) + 1 if len(texts) else 0, bool)
+        seq, of_word = np.empty(int(last[-1]) + 1 if len(texts) else 0, np.int32), np.ones(int(last[-1]) + 1 if len(texts) else 0, bool)
         of_word[last] = of_word[last[~is_plain] - 1] = False
         seq[of_word] = distinct.indices.to_numpy(zero_copy_only=False)
         seq[last[~is_plain] - 1] = first_whole + np.arange(int((~is_plain).sum()))
-        seq[last] = len(parts) - 1
+        seq[last] = len(size) - 1
         run = size[seq]
-        ends = np.cumsum(run)
-        at = np.repeat(begin[seq] - (ends - run), run)
-        at += np.arange(len(at))
-        return ids[at], np.concatenate([[0], ends[last]])
+        ends = np.concatenate([[0], np.cumsum(run)[last]])
+        return ids[runs(begin[seq], run)], ends
+
+
+def grouped(batches: Iterator[pa.RecordBatch], size: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to some bytes: more texts share their distinct words."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def token_file(name: str) -> str:
@@ -147,7 +195,7 @@ def write_token_table(docs: DataFrame, path: str, file: str, end_id: int, row_gr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TokenIds.of(file, False)
-        for b in batches:
+        for b in grouped(batches):
             ids, at = enc.encode(as_text(b.column(1)), end_id)
             values, offsets, sizes = pa.array(ids.view("<i4"), pa.int32()), pa.array(at, pa.int32()), np.diff(at).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_tokens", "ids"])
