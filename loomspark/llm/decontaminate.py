@@ -1,8 +1,11 @@
 """Benchmark decontamination by a distributed positional inverted index, with DataFrame operations only.
 
-The index holds the corpus's postings (term, doc_id, pos) of the terms that tests ask for, as segments sorted by term: each input
-partition is a segment, so building it shuffles nothing. A phrase is looked up from its rarest terms: their lists, moved by the
-terms' offsets, are intersected pair by pair; what is left is compared with the words in place.
+The index holds the corpus's postings (term, doc_id, pos) as segments sorted by term: each input partition is a segment, so building it
+shuffles nothing. A phrase is looked up from its rarest terms: their lists, moved by the terms' offsets, are intersected pair by pair;
+what is left is compared with the words in place. For a stated set of tests, terms are counted over the whole corpus first, and only the
+terms that some test is looked up from are posted; build_index without terms posts all.
+
+Rows that share a doc_id are told apart by a 64-bit hash of their texts, and phrases by one of their words.
 """
 
 from __future__ import annotations
@@ -10,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_path, read_table
+from .common import ascii_lower, new_path, read_table, stored
 
 WINDOW = 10
 #: Terms of a phrase whose lists are intersected before the words in place are compared.
 RAREST = 2
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Test sides of at most so many terms (counted, not guessed) are broadcast; beyond it the joins shuffle.
-BROADCAST_TERMS = 1_000_000
+#: Test sides of at most so many rows and bytes (counted, not guessed) are broadcast; beyond it the joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -35,7 +38,7 @@ def windows_of(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def build_index(docs: DataFrame, path: str, terms: DataFrame | None = None) -> DataFrame:
     """Writes the postings (term, doc_id, h, pos) of docs, of the given terms (term) alone where these are given, and reads them back. h, a
-    hash of the text, tells rows that share a doc_id apart."""
+    hash of the text, tells rows that share a doc_id apart. Null texts have no postings; an empty table gives an empty index."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
     if terms is not None:
@@ -44,23 +47,34 @@ def build_index(docs: DataFrame, path: str, terms: DataFrame | None = None) -> D
     return spark.read.schema("term string, doc_id long, h long, pos int").parquet(path)
 
 
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, df: how often each of terms (term) stands in all of docs; terms that docs lack are left out."""
+    return docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(_small(terms.distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+
 def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast where its rows, counted, are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+    """df, marked for broadcast where its rows and bytes, counted, are few enough."""
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
-def rarest_terms(phrases: DataFrame, index: DataFrame, k: int = RAREST) -> DataFrame:
-    """phrases (p, words) with anchors: their k rarest (term, offset), rarest first. A phrase with a term that the index lacks can't occur
-    and is left out. Frequencies count the whole index; tests' terms alone are looked up."""
-    freq = index.groupBy("term").agg(F.count("*").alias("df"))
+def rarest_terms(phrases: DataFrame, freq: DataFrame, k: int = RAREST) -> DataFrame:
+    """phrases (p, words) with anchors: their k rarest (term, offset) by freq (term, df), rarest first. A phrase with a term that freq lacks can't
+    occur and is left out."""
     at = phrases.select("p", "words", F.posexplode("words").alias("offset", "term"))
     known = at.join(freq, "term").groupBy("p").agg(F.first("words").alias("words"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("df", "offset", "term"))).alias("a"))
-    return known.where("n = size(words)").select("p", "words", F.slice("a", 1, k).alias("anchors"))
+    return known.where("n = size(words)").select("p", "words", F.transform(F.slice("a", 1, k), lambda a: F.struct(a["term"].alias("term"), a["offset"].alias("offset"))).alias("anchors"))
+
+
+def frequencies(index: DataFrame) -> DataFrame:
+    return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def phrase_matches(index: DataFrame, docs: DataFrame, phrases: DataFrame, k: int = RAREST) -> DataFrame:
-    """doc_id, h, p, start, n: where each phrase (p, words) stands in docs, exactly."""
-    anchored = rarest_terms(phrases, index, k).select("p", "words", F.transform("anchors", lambda a: F.struct(a["term"].alias("term"), a["offset"].alias("offset"))).alias("anchors"))
+def phrase_matches(index: DataFrame, docs: DataFrame, anchored: DataFrame) -> DataFrame:
+    """doc_id, h, p, start, n: where each phrase stands in docs, exactly. anchored: rarest_terms of the phrases, stored, as it is read several
+    times; the index has to hold its terms."""
+    phrases = anchored.select("p", "words")
+    longest, k = anchored.agg(F.coalesce(F.max(F.size("words")), F.lit(0)), F.coalesce(F.max(F.size("anchors")), F.lit(1))).first()
     spots = None
     for i in range(k):
         # phrases that share an anchor and its offset are looked up once each; a phrase of fewer terms has fewer lists
@@ -69,23 +83,22 @@ def phrase_matches(index: DataFrame, docs: DataFrame, phrases: DataFrame, k: int
         if spots is None:
             spots = moved
         else:
+            both, short = spots.join(moved, ["doc_id", "h", "p", "start"], "left_semi"), anchored.where(F.size("anchors") <= i).select("p")
             # phrases without an i-th anchor pass
-            short = anchored.where(F.size("anchors") <= i).select("p")
-            spots = spots.join(moved, ["doc_id", "h", "p", "start"], "left_semi").unionByName(spots.join(_small(short), "p", "left_semi"))
+            spots = both if short.isEmpty() else both.unionByName(spots.join(_small(short), "p", "left_semi"))
     # one row a document: the spots of its phrases are bounded by its own length
     by_doc = spots.groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "start")).alias("spots")).withColumnRenamed("doc_id", "d_").withColumnRenamed("h", "h_")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     cand = texts.join(by_doc, (F.col("doc_id") == F.col("d_")) & (F.col("h") == F.col("h_"))).select("doc_id", "h", words_of(F.col("text")).alias("w"), "spots")
-    longest = phrases.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
     flat = cand.select("doc_id", "h", F.expr("inline(transform(spots, s -> named_struct('p', s.p, 'start', s.start, 'here', slice(w, s.start + 1, %d))))" % longest))
-    return flat.join(_small(phrases), "p").where("slice(here, 1, size(words)) = words").select("doc_id", "h", "p", "start", F.size("words").alias("n"))
+    return flat.join(_small(phrases), "p").where("slice(here, 1, size(words)) = words").select("doc_id", "h", "p", "start", F.size("words").alias("n")).distinct()
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
     """doc_id, h, p, at: where all terms of a phrase stand within span words of its rarest term, in any order. Each occurrence of the
     rarest term is one row at most; other terms' postings are looked up in the same and the neighbouring stretches of span words."""
-    first = rarest_terms(phrases, index, 1).select("p", "words", F.get("anchors", F.lit(0))["term"].alias("term"))
-    centre = index.join(_small(first.select("p", "term")), "term").select("doc_id", "h", "p", F.col("pos").alias("at"))
+    first = stored(rarest_terms(phrases, frequencies(index), 1).select("p", F.get("anchors", F.lit(0))["term"].alias("term")), "anchors")
+    centre = index.join(_small(first), "term").select("doc_id", "h", "p", F.col("pos").alias("at"))
     near = centre.select("*", F.explode(F.array(*[F.floor(F.col("at") / span) + i for i in (-1, 0, 1)])).alias("cell"))
     need = phrases.select("p", F.explode(F.array_distinct("words")).alias("term"))
     there = index.join(_small(need), "term").select("doc_id", "h", "p", "term", "pos", F.floor(F.col("pos") / span).alias("cell"))
@@ -107,8 +120,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     path = new_path(spark, "phrases")
     found.write.parquet(path)
     found = spark.read.schema("words array<string>, items array<string>, p long").parquet(path)
-    index = build_index(docs, new_path(spark, "postings"), found.select(F.explode("words").alias("term")))
-    hits = phrase_matches(index, docs, found.select("p", "words"))
+    counts = stored(term_counts(docs, found.select(F.explode("words").alias("term"))), "counts")
+    anchored = stored(rarest_terms(found.select("p", "words"), counts), "anchors")
+    index = build_index(docs, new_path(spark, "postings"), anchored.select(F.explode("anchors.term").alias("term")))
+    hits = phrase_matches(index, docs, anchored)
     # a document's hits and items are bounded by its own length and by the benchmark
     per = hits.join(_small(found.select("p", "items")), "p").groupBy("doc_id", "h").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.expr("start + n - 1")))))).alias("n_hit"),
