@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -282,16 +283,25 @@ def trained() -> tuple[tuple[tuple[int, str], float], ...]:
 def all_spans(t: str, base: list[tuple[int, int, int]], w: Weights) -> list[tuple[int, int, int]]:
     """The base, and the field's segments that touch no base span."""
     out = list(base)
-    taken = sorted((a, b) for a, _, b in base)
+    starts: list[int] = []  # the base's spans, those that overlap as one
+    ends: list[int] = []
+    for a, _, b in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for lo, hi in islands(t):
-        if any(a <= lo and hi <= b for a, b in taken):
+        i = bisect_right(starts, lo) - 1
+        if i >= 0 and hi <= ends[i]:
             continue
         toks = [m.span() for m in _TOKEN.finditer(t, lo, hi)]
         # the best labelling holds no segment of a score that isn't positive; features of the others needn't be kept
         segs = [x for x in segments(t, toks) if max(_scores([x], w)[0]) > 0]
         for i, j, k in decode(len(toks), segs, w):
             a, b = toks[i][0], toks[j - 1][1]
-            if not any(x < b and a < y for x, y in taken):
+            i = bisect_left(starts, b) - 1
+            if i < 0 or ends[i] <= a:
                 out.append((a, k, b))
     return sorted(out)
 
