@@ -11,20 +11,6 @@ def years(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b((?:19|20)[0-9]{2})\b"), 1), lambda x: x.cast("int"))))
 
 
-# Fixed values: (type, pattern, confidence), first match wins.
-PATH_TYPES = (("cover_letter", "cover letter", 0.98), ("cv", r"\b(cv|resume)\b", 0.97), ("research_paper", "paper|journal", 0.95), ("invoice", "invoice|rechnung", 0.96), ("contract", "contract|agreement", 0.96), ("policy", "policy", 0.95))
-TEXT_TYPES = (("cv", "curriculum vitae", 0.88), ("contract", "agreement|licensed under", 0.80), ("invoice", "invoice number|amount due", 0.82), ("policy", "policy|public license", 0.78))
-
-
-def doc_type(path: Column, text: Column) -> Column:
-    """struct(doc_type, confidence): rules on the path, then on the text's first 4000 characters, else other."""
-    p = F.lower(F.regexp_replace(path, r"[_/\\.\-]+", " "))
-    t = F.lower(F.substring(text, 1, 4000))
-    rules = [(p, r) for r in PATH_TYPES] + [(t, r) for r in TEXT_TYPES]
-    first = F.coalesce(*[F.when(c.rlike(pattern), F.struct(F.lit(name).alias("doc_type"), F.lit(conf).alias("confidence"))) for c, (name, pattern, conf) in rules], F.struct(F.lit("other").alias("doc_type"), F.lit(0.25).alias("confidence")))
-    return first
-
-
 def length_bucket(n: Column) -> Column:
     return F.when(n <= 3000, "short").when(n <= 20000, "medium").otherwise("long")
 
@@ -100,23 +86,3 @@ def highlighted(text: Column, terms: list[str], size: int = 200) -> Column:
     at = F.greatest(F.regexp_instr(text, F.lit(pattern)) - 40, F.lit(1))
     escaped = F.replace(F.replace(F.replace(F.substr(text, at, F.lit(size)), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.regexp_replace(escaped, pattern, "<mark>$1</mark>")
-
-
-# Fixed values: (family, pattern), first match wins.
-FAMILIES = (("invoice", "invoice|rechnung"), ("receipt", "receipt|quittung"), ("bank_statement", "bank statement|kontoauszug"), ("payment_confirmation", "payment confirm"), ("tax_document", "tax|steuer"), ("publication", "license|copyright"), ("cv", "curriculum"))
-
-
-def source_family(path: Column, text: Column) -> Column:
-    t = F.lower(F.concat_ws(" ", path, F.substring(text, 1, 4000)))
-    return F.coalesce(*[F.when(t.rlike(r), F.lit(n)) for n, r in FAMILIES], F.lit("archive_misc"))
-
-
-def expense_category(text: Column) -> Column:
-    t = F.lower(text)
-    return F.when(t.rlike("hotel|flight|train"), "travel").when(t.rlike("license|version|software"), "software").when(t.rlike("school|course"), "education").otherwise("other")
-
-
-def scrubbed(text: Column) -> Column:
-    """Mail addresses, long digit runs and hashes give way to their kind."""
-    t = F.regexp_replace(text, r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,64}", "[email]")
-    return F.regexp_replace(F.regexp_replace(t, r"\b[0-9a-f]{16,64}\b", "[hash]"), r"[0-9]{6,}", "[number]")

@@ -156,11 +156,14 @@ def _(spark, sf):
     return c.where(F.col("expires_s") > NOW).groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("hits"), F.max("expires_s").alias("expires_s"))
 
 
-@query("tree_fingerprint", f"SELECT sha256(string_agg(path || chr(1) || size_bytes || chr(1) || modified_s, chr(2) ORDER BY path)) AS fingerprint FROM {FT} WHERE source = 'src3'")
-def _(spark, sf):
-    rows = F.concat_ws("\x01", "path", F.col("size_bytes").cast("string"), F.col("modified_s").cast("string"))
-    one = fx.fulltext(spark, sf).where("source = 'src3'").agg(F.array_sort(F.collect_list(F.struct("path", rows.alias("r")))).alias("a"))
-    return one.select(F.sha2(F.concat_ws("\x02", F.transform("a", lambda x: x["r"])), 256).alias("fingerprint"))
+@query("tree_fingerprint", f"SELECT sha256(string_agg(bucket || digest, '' ORDER BY bucket)) AS fingerprint, count(*) AS buckets FROM (SELECT substring(sha256(path), 1, 4) AS bucket, sha256(string_agg(path || chr(1) || size_bytes || chr(1) || modified_s, chr(2) ORDER BY path)) AS digest FROM {FT} GROUP BY 1)")
+def _(spark, sf):
+    # files are dealt to 65,536 buckets by a hash of the path; the one row at the end holds the buckets' digests alone
+    line = F.concat_ws("\x01", "path", F.col("size_bytes").cast("string"), F.col("modified_s").cast("string"))
+    b = fx.fulltext(spark, sf).groupBy(F.substring(F.sha2("path", 256), 1, 4).alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("path", line.alias("r")))).alias("a"))
+    b = b.select("bucket", F.sha2(F.concat_ws("\x02", F.transform("a", lambda x: x["r"])), 256).alias("digest"))
+    one = b.agg(F.array_sort(F.collect_list(F.struct("bucket", "digest"))).alias("a"), F.count("*").alias("buckets"))
+    return one.select(F.sha2(F.array_join(F.transform("a", lambda x: F.concat(x["bucket"], x["digest"])), ""), 256).alias("fingerprint"), "buckets")
 
 
 @query("record_merge_duplicates", f"""SELECT counterparty, year, record_type, count(*) AS n, round(sum(amount), 2) AS total, max(confidence) AS confidence, min(amount) AS least_amount FROM {fx.RECORDS} GROUP BY counterparty, year, record_type""")

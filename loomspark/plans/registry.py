@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    for m in ("catalog", "retrieval", "texts", "topics", "sync"):
+    for m in ("catalog", "retrieval", "texts", "documents", "endtoend", "topics", "helpers", "sync", "mutations", "evaluation", "scans", "clusters"):
         import_module(f"loomspark.plans.{m}")

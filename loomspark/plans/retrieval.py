@@ -4,75 +4,94 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import retrieve as r
 from ..operators import search as s
 from ..sources import fixtures as fx
+from . import endtoend as e2e
 from .registry import query
 
 H = fx.HITS
-N_QUERIES, TERMS = 20, 6
+#: The questions: all benchmark items with their whole texts; for searches by vector alone, every vector whose id EVERY divides.
+EVERY, EACH = 50, 20
 
 
 def questions(spark, sf):
-    """The first words of twenty benchmark items."""
-    return fx.table(spark, sf, "benchmark").where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, TERMS), " ").alias("text"))
+    return fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
-BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format(f"array_to_string(list_slice(string_split(text, ' '), 1, {TERMS}), ' ')")})) AS term FROM benchmark WHERE item_id < {N_QUERIES}),
+BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM benchmark),
 d AS (SELECT doc_id, {_TOK.format('text')} AS w FROM documents), size AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
-t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT query_id, term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM t JOIN q USING (term) GROUP BY ALL),
-df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
-bm25 AS (SELECT query_id, doc_id AS id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM tf JOIN df USING (query_id, term), size GROUP BY ALL)"""
-COS = """v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), qv AS (SELECT id AS query_id, e AS q FROM v WHERE id < 20),
-cos AS (SELECT query_id, id, list_cosine_similarity(e, q) AS score FROM v, qv)"""
+tf AS (SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm25 AS (SELECT query_id, doc_id AS id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), size GROUP BY ALL)"""
+_V = "v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v)"
+
+
+def _cos_sql(which: str) -> str:
+    return f"{_V}, cos AS (SELECT b.id AS query_id, a.id, round(list_dot_product(a.u, b.u), 9) AS score FROM u a, u b WHERE b.id {which})"
+
+
+ALL, STATED = "IN (SELECT item_id FROM benchmark)", f"% {EVERY} = 0"
 
 
 def _bm25(spark, sf):
-    return s.bm25(fx.table(spark, sf, "documents"), questions(spark, sf)).withColumnRenamed("doc_id", "id")
+    return s.bm25(fx.table(spark, sf, "documents"), questions(spark, sf)).select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
 
 
-def _cosine(spark, sf):
+def _cosine(spark, sf, stated):
     v = fx.table(spark, sf, "embeddings")
-    return s.cosine_hits(v, v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    mine = v.where(F.col("vec_id") % EVERY == 0) if stated else v.join(fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return s.cosine_hits(v, mine.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "vec_id").withColumn("score", F.round("score", 9))
 
 
 def _r(c="score"):
     return F.round(c, 6).alias(c)
 
 
-@query("bm25_topk", f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm25) WHERE rank <= 10")
-def _(spark, sf):
-    return s.top_k(_bm25(spark, sf), 10, F.round("score", 9).desc(), F.asc("id")).select("query_id", "id", _r(), "rank")
+def _best(hits, k):
+    return s.top_k(hits, k, F.desc("score"), F.asc("id"))
 
 
-@query("fulltext_gauss_recency", f"""WITH {BM25} SELECT query_id, id, round(score + 0.5::DOUBLE * exp(ln(0.5::DOUBLE) * pow((max(id) OVER (PARTITION BY query_id) - id) / 24.0::DOUBLE / 90, 2)), 6) AS score FROM bm25""")
+_TOP = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {0})"
+
+
+@query("bm25_topk", f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM {_TOP.format('bm25')} WHERE rank <= 10")
 def _(spark, sf):
-    from pyspark.sql import Window
+    return _best(_bm25(spark, sf), 10).select("query_id", "id", _r(), "rank")
 
-    age = (F.max("id").over(Window.partitionBy("query_id")) - F.col("id")) / 24.0
-    return _bm25(spark, sf).select("query_id", "id", F.round(s.gauss_recency(F.col("score"), age), 6).alias("score"))
 
+@query("fulltext_gauss_recency", f"""WITH {BM25}, g AS (SELECT query_id, id, round(score + 0.5::DOUBLE * exp(ln(0.5::DOUBLE) * pow(((SELECT max(doc_id) FROM documents) - id) / 24.0::DOUBLE / 90.0::DOUBLE, 2)), 9) AS score FROM bm25) SELECT query_id, id, round(score, 6) AS score, rank FROM {_TOP.format('g')} WHERE rank <= 10""")
+def _(spark, sf):
+    # a document is an hour younger than the one before it; now is the youngest's time
+    newest = fx.table(spark, sf, "documents").agg(F.max("doc_id").alias("newest"))
+    age = (F.col("newest") - F.col("id")) / 24.0
+    g = _bm25(spark, sf).crossJoin(F.broadcast(newest)).select("query_id", "id", F.round(s.gauss_recency(F.col("score"), age), 9).alias("score"))
+    return _best(g, 10).select("query_id", "id", _r(), "rank")
 
-@query("cosine_topk", f"WITH {COS} SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM cos) WHERE rank <= 10")
+
+@query("cosine_topk", f"WITH {_cos_sql(STATED)} SELECT query_id, id, round(score, 6) AS score, rank FROM {_TOP.format('cos')} WHERE rank <= 10")
 def _(spark, sf):
-    return s.top_k(_cosine(spark, sf), 10, F.round("score", 9).desc(), F.asc("id")).select("query_id", "id", _r(), "rank")
+    return _best(_cosine(spark, sf, True), 10).select("query_id", "id", _r(), "rank")
 
 
-@query("cosine_threshold_dedup", f"WITH {COS} SELECT query_id, label, round(max(score), 6) AS score FROM cos JOIN v USING (id) WHERE score >= 0.2 GROUP BY query_id, label")
+@query("cosine_threshold_dedup", f"WITH {_cos_sql(STATED)} SELECT query_id, id, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS n FROM cos JOIN v USING (id) WHERE score >= 0.25) WHERE n <= 1")
 def _(spark, sf):
+    # labels stand for checksums; the least cosine is this data's, whose vectors are almost at random
     labels = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    h = _cosine(spark, sf).where("score >= 0.2").join(labels, "id")
-    return s.first_per_key(h, "label", F.desc("score"), F.asc("id")).select("query_id", "label", _r())
+    h = _cosine(spark, sf, True).where("score >= 0.25").join(labels, "id")
+    return s.first_per_key(h, "label", F.desc("score"), F.asc("id")).select("query_id", "id", "label", _r())
 
 
 def _fused_sql(wd, ws):
-    return f"""WITH {BM25}, {COS}, nb AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS b FROM bm25), nv AS (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS v FROM cos),
- f AS (SELECT coalesce(nb.query_id, nv.query_id) AS query_id, coalesce(nb.id, nv.id) AS id, {wd}::DOUBLE * coalesce(v, 0) + {ws}::DOUBLE * coalesce(b, 0) AS score, CASE WHEN b IS NULL THEN 'semantic' WHEN v IS NULL THEN 'keyword' ELSE 'semantic/keyword' END AS found_by FROM nb FULL JOIN nv ON nb.query_id = nv.query_id AND nb.id = nv.id)
- SELECT query_id, id, round(score, 6) AS score, found_by, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f) WHERE rank <= 20"""
+    return f"""WITH {BM25}, {_cos_sql(ALL)}, b20 AS (SELECT * FROM {_TOP.format('bm25')} WHERE rank <= {EACH}), v20 AS (SELECT * FROM {_TOP.format('cos')} WHERE rank <= {EACH}), nb AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS b FROM b20), nv AS (SELECT query_id, id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS v FROM v20),
+ f AS (SELECT coalesce(nb.query_id, nv.query_id) AS query_id, coalesce(nb.id, nv.id) AS id, round({wd}::DOUBLE * coalesce(v, 0) + {ws}::DOUBLE * coalesce(b, 0), 9) AS score, CASE WHEN b IS NULL THEN 'semantic' WHEN v IS NULL THEN 'keyword' ELSE 'semantic/keyword' END AS found_by FROM nb FULL JOIN nv ON nb.query_id = nv.query_id AND nb.id = nv.id)
+ SELECT query_id, id, round(score, 6) AS score, found_by, rank FROM {_TOP.format('f')} WHERE rank <= 20"""
 
 
 def _fused(spark, sf, wd, ws):
-    return s.top_k(s.fuse(_cosine(spark, sf), _bm25(spark, sf), wd, ws), 20, F.round("score", 9).desc(), F.asc("id")).select("query_id", "id", _r(), "found_by", "rank")
+    # each channel is cut before they meet
+    d, b = _best(_cosine(spark, sf, False), EACH), _best(_bm25(spark, sf), EACH)
+    return _best(s.fuse(d, b, wd, ws).withColumn("score", F.round("score", 9)), 20).select("query_id", "id", _r(), "found_by", "rank")
 
 
 @query("hybrid_fusion", _fused_sql(0.7, 0.3))
@@ -174,17 +193,6 @@ def _(spark, sf):
     return s.abstain(_hits(spark, sf)).select("query_id", "id")
 
 
-@query("sibling_expand", f"""SELECT h.query_id, h.id, x.id AS sibling_id, round(h.score - 1e-6::DOUBLE, 7) AS score FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id {_ORDER}) AS r FROM {FUSED}) WHERE r <= 2) h JOIN {H} x ON h.person = x.person AND h.query_id = x.query_id AND x.id <> h.id AND x.title_overlap > h.title_overlap QUALIFY row_number() OVER (PARTITION BY h.query_id, h.id ORDER BY x.title_overlap DESC, abs(x.id - h.id), x.id) <= 1""")
-def _(spark, sf):
-    from pyspark.sql import Window
-
-    best = s.top_k(_hits(spark, sf), 2, F.desc("score"), F.asc("id")).select("query_id", "person", "id", "score", F.col("title_overlap").alias("own"))
-    near = fx.hits(spark, sf).select("query_id", "person", F.col("id").alias("sibling_id"), "title_overlap")
-    pairs = best.join(near, ["query_id", "person"]).where("sibling_id <> id and title_overlap > own")
-    n = F.row_number().over(Window.partitionBy("query_id", "id").orderBy(F.desc("title_overlap"), F.abs(F.col("sibling_id") - F.col("id")), "sibling_id"))
-    return pairs.withColumn("n", n).where("n <= 1").select("query_id", "id", "sibling_id", F.round(F.col("score") - 1e-6, 7).alias("score"))
-
-
 @query("finance_gate_stages", f"""WITH s AS (SELECT *, CASE WHEN doc_type = 'other' THEN 'suppressed' WHEN doc_type = 'invoice' AND title_overlap > 0 AND NOT generic_title THEN 'strict' WHEN title_overlap > 0 AND NOT generic_title THEN 'relax_family' WHEN doc_type = 'invoice' AND NOT generic_title THEN 'relax_year' ELSE 'relax_both' END AS stage FROM {FUSED}),
  n AS (SELECT *, row_number() OVER (PARTITION BY query_id, stage = 'strict' ORDER BY CASE stage WHEN 'strict' THEN 0 WHEN 'relax_family' THEN 1 WHEN 'relax_year' THEN 2 ELSE 3 END, score DESC, id) AS i FROM s WHERE stage <> 'suppressed')
  SELECT query_id, id, stage FROM n WHERE i <= CASE WHEN stage = 'strict' THEN 5 ELSE 2 END""")
@@ -199,25 +207,36 @@ def _(spark, sf):
     return h.withColumn("i", i).where("i <= if(strict, 5, 2)").select("query_id", "id", "stage")
 
 
-def _with_vectors(spark, sf):
-    v = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    q = v.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return _hits(spark, sf).select("query_id", "id", "score", F.greatest(F.lit(1), (F.length("path") * 20 / 4).cast("long")).alias("n_tokens")).join(v, "id").join(F.broadcast(q), "query_id")
+#: Vectors of this data are almost at random: as near as this counts as near.
+NEAR, BUDGET, LEAST = 0.3, 1200, 3
+_X = f"""{e2e.CANDIDATES.replace("WITH ch", "WITH RECURSIVE ch", 1)}, x AS (SELECT h1.query_id, h1.id, round(h1.score, 9) AS score, u AS v, greatest(1, CAST(length(c.text) // 4 AS BIGINT)) AS tokens FROM h1 JOIN ve ON ve.vec_id * 1000 = h1.id JOIN ch c ON c.id = h1.id),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM x)"""
+_LAST = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC) AS l FROM f) WHERE l = 1"
+
+
+def _pool(spark, sf):
+    """The fused hits that have a vector: a question has two channels' first hits at most."""
+    c, v, asked, qv = e2e.inputs(spark, sf)
+    h = r.candidates(c, v, asked, qv, e2e.PLAIN)[1].select("query_id", "id", F.round("score", 9).alias("score"))
+    tokens = c.select("id", F.greatest(F.lit(1), F.expr("cast(length(text) div 4 as bigint)")).alias("n_tokens"))
+    return h.join(v.select("id", F.col("embedding").alias("v")), "id").join(tokens, "id").join(s.small(qv), "query_id")
 
 
-@query("near_dup_collapse")
+@query("near_dup_collapse", f"""{_X}, near AS (SELECT a.query_id, a.id, list(b.id) AS near FROM x a JOIN x b ON a.query_id = b.query_id AND a.id <> b.id AND list_dot_product(a.v, b.v) >= {NEAR} GROUP BY a.query_id, a.id), o AS (SELECT p.*, near FROM p LEFT JOIN near USING (query_id, id)),
+f AS (SELECT query_id, n, [id] AS kept FROM o WHERE n = 1 UNION ALL SELECT o.query_id, o.n, CASE WHEN near IS NULL OR NOT list_has_any(kept, near) THEN list_append(kept, id) ELSE kept END FROM f JOIN o ON o.query_id = f.query_id AND o.n = f.n + 1) SELECT query_id, array_to_string(kept, ',') AS ids FROM {_LAST}""")
 def _(spark, sf):
-    return s.near_duplicate_fold(_with_vectors(spark, sf), 0.82)
+    return s.near_duplicate_fold(_pool(spark, sf), NEAR).select("query_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("mmr_select")
 def _(spark, sf):
-    return s.mmr(_with_vectors(spark, sf), 5)
+    return s.mmr(_pool(spark, sf), 5)
 
 
-@query("token_budget_pack")
+@query("token_budget_pack", f"""{_X}, f AS (SELECT query_id, n, tokens AS used, [id] AS ids FROM p WHERE n = 1 UNION ALL SELECT p.query_id, p.n, CASE WHEN len(ids) < {LEAST} OR used + tokens <= {BUDGET} THEN used + tokens ELSE used END, CASE WHEN len(ids) < {LEAST} OR used + tokens <= {BUDGET} THEN list_append(ids, id) ELSE ids END FROM f JOIN p ON p.query_id = f.query_id AND p.n = f.n + 1)
+ SELECT query_id, used, array_to_string(ids, ',') AS ids FROM {_LAST}""")
 def _(spark, sf):
-    return s.budget_pack(_with_vectors(spark, sf), 1200, 3)
+    return s.budget_pack(_pool(spark, sf), BUDGET, LEAST).select("query_id", "used", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 _EXPECT = "(SELECT query_id, min(id) AS expected FROM hitsview WHERE title_overlap = 3 GROUP BY query_id)"

@@ -9,35 +9,12 @@ from ..sources import fixtures as fx
 from .registry import query
 
 FT = fx.FULLTEXT
-_P = r"lower(regexp_replace(path, '[_/\\.\-]+', ' ', 'g'))"
-_CASES = " ".join([f"WHEN regexp_matches({_P}, '{r}') THEN {{{i}}}" for i, (_, r, _c) in enumerate(tx.PATH_TYPES)] + [f"WHEN regexp_matches(lower(substring(text, 1, 4000)), '{r}') THEN {{{i + len(tx.PATH_TYPES)}}}" for i, (_, r, _c) in enumerate(tx.TEXT_TYPES)])
-_ALL = tx.PATH_TYPES + tx.TEXT_TYPES
-_KIND = _CASES.format(*[f"'{n}'" for n, _, _ in _ALL])
-_CONF = _CASES.format(*[f"{c}::DOUBLE" for _, _, c in _ALL])
-
-
-@query("doc_type_classify", f"SELECT doc_id, CASE {_KIND} ELSE 'other' END AS doc_type, CASE {_CONF} ELSE 0.25::DOUBLE END AS confidence FROM {FT}")
-def _(spark, sf):
-    return fx.fulltext(spark, sf).select("doc_id", tx.doc_type(F.col("path"), F.col("text")).alias("t")).select("doc_id", "t.doc_type", "t.confidence")
-
 
 @query("years_extract", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b((?:19|20)[0-9]{2})\\b', 1))), ',') AS years FROM documents")
 def _(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", F.array_join(tx.years(F.col("text")).cast("array<string>"), ",").alias("years"))
 
 
-@query("tax_signals", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '(license|copyright|password|token|version)', 1))), ',') AS signals FROM documents")
-def _(spark, sf):
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(license|copyright|password|token|version)"), 1)))
-    return fx.table(spark, sf, "documents").select("doc_id", F.array_join(found, ",").alias("signals"))
-
-
-@query("amounts_extract", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]{3})*(?:[.,][0-9]{1,2})?', 0)) AS a FROM documents) GROUP BY doc_id")
-def _(spark, sf):
-    a = fx.table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+(?:[.,][0-9]{3})*(?:[.,][0-9]{1,2})?"), 0)).alias("a"))
-    return a.groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query("chunk_fixed_window", """SELECT doc_id, i // 700 AS chunk_index, substring(text, i + 1, 800) AS chunk, round(100.0::DOUBLE * (i // 700) / greatest(greatest(length(text) - 1, 0) // 700, 1), 6) AS location_percent FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) + 1, 700)) AS i FROM documents)""")
 def _(spark, sf):
     return tx.fixed_windows(fx.table(spark, sf, "documents"))
@@ -56,35 +33,6 @@ def _(spark, sf):
     return d.groupBy("source", "line").agg(F.count_distinct("doc_id").alias("n")).where("n >= 3")
 
 
-@query("near_duplicate_text", """WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS s FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS x, len(b.s) AS y FROM w a JOIN w b ON a.doc_id + 1 = b.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0)
- SELECT a, b, round(i / (x + y - i)::DOUBLE, 6) AS jaccard, round(i / least(x, y)::DOUBLE, 6) AS containment FROM p""")
-def _(spark, sf):
-    from ..operators.search import tokens
-
-    w = fx.table(spark, sf, "documents").select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("s")).where("size(s) > 0")
-    p = w.select(F.col("doc_id").alias("a"), F.col("s").alias("s1"), (F.col("doc_id") + 1).alias("b")).join(w.select(F.col("doc_id").alias("b"), F.col("s").alias("s2")), "b")
-    i = F.size(F.array_intersect("s1", "s2"))
-    return p.select("a", "b", F.round(i / (F.size("s1") + F.size("s2") - i), 6).alias("jaccard"), F.round(i / F.least(F.size("s1"), F.size("s2")), 6).alias("containment"))
-
-
-_FAM = "CASE " + " ".join(f"WHEN regexp_matches(lower(path || ' ' || substring(text, 1, 4000)), '{r}') THEN '{n}'" for n, r in tx.FAMILIES) + " ELSE 'archive_misc' END"
-
-
-@query("source_family", f"SELECT doc_id, {_FAM} AS family FROM {FT}")
-def _(spark, sf):
-    return fx.fulltext(spark, sf).select("doc_id", tx.source_family(F.col("path"), F.col("text")).alias("family"))
-
-
-@query("expense_category", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'hotel|flight|train') THEN 'travel' WHEN regexp_matches(lower(text), 'license|version|software') THEN 'software' WHEN regexp_matches(lower(text), 'school|course') THEN 'education' ELSE 'other' END AS category FROM documents")
-def _(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", tx.expense_category(F.col("text")).alias("category"))
-
-
-@query("scrub_text", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,64}', '[email]', 'g'), '\b[0-9a-f]{16,64}\b', '[hash]', 'g'), '[0-9]{6,}', '[number]', 'g')) AS scrubbed FROM documents")
-def _(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.sha2(tx.scrubbed(F.col("text")), 256).alias("scrubbed"))
-
-
 @query("highlight_terms")
 def _(spark, sf):
     d = fx.table(spark, sf, "documents")

@@ -60,9 +60,13 @@ _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w
 
 @query("keyword_bigrams_topn", f"SELECT lang, term, c AS n FROM (SELECT lang, term, count(*) AS c, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r FROM (SELECT lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT lang, {_WORDS} AS w FROM documents)) GROUP BY lang, term) WHERE r <= 20")
 def _(spark, sf):
+    # terms are counted by hash, and only the winners (with all that tie) are spelt out: strings of all terms are never shuffled
     w = fx.table(spark, sf, "documents").select("lang", F.filter(s.tokens(F.col("text")), lambda x: F.length(x) >= 3).alias("w"))
     pairs = F.zip_with(F.col("w"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    t = w.select("lang", F.explode(F.concat("w", F.filter(pairs, lambda x: x.isNotNull()))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    terms = w.select("lang", F.explode(F.concat("w", F.filter(pairs, lambda x: x.isNotNull()))).alias("term")).withColumn("h", F.xxhash64("term"))
+    n = terms.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    best = n.withColumn("r", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("n")))).where("r <= 20").select("lang", "h")
+    t = terms.join(s.small(best), ["lang", "h"], "left_semi").groupBy("lang", "term").agg(F.count("*").alias("n"))
     return t.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))).where("r <= 20").select("lang", "term", "n")
 
 
@@ -76,13 +80,6 @@ def _(spark, sf):
     return t.where("f >= 3").crossJoin(F.broadcast(n)).where(p > q).select("term", "f", "b", F.round((p - q) * (p / q), 6).alias("score")).orderBy(F.desc("score"), "term").limit(30)
 
 
-@query("name_disambiguate", "SELECT vec_id, CASE WHEN n = 1 THEN name ELSE name || ' (' || n || ')' END AS name FROM (SELECT vec_id, 'topic ' || label AS name, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)")
-def _(spark, sf):
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    name = F.concat(F.lit("topic "), F.col("label").cast("string"))
-    return fx.table(spark, sf, "embeddings").withColumn("n", n).select("vec_id", F.when(F.col("n") == 1, name).otherwise(F.concat(name, F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("name"))
-
-
 @query("review_metrics", "SELECT count(*) AS n, round(avg(CAST(toxic = 1 AS INT)), 6) AS toxic_share, count(*) FILTER (WHERE quality = 0) AS poor, round(quantile_cont(n_chars, 0.5), 6) AS median_chars, round(quantile_cont(n_chars, 0.1), 6) AS p10_chars FROM labels JOIN documents USING (doc_id)")
 def _(spark, sf):
     j = fx.table(spark, sf, "documents").select("doc_id", "n_chars").join(fx.table(spark, sf, "labels"), "doc_id")

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder in the one all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-")
+    """A fresh folder in the one all executors share (spark.checkpoint.dir of the session or its context); a temporary one only where that is unset and Spark runs in one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="loomspark-")
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
