@@ -74,6 +74,23 @@ def test_decontamination(spark, case):
     assert kept == {r[0] for r in brute.contamination(rows, bench) if not r[-1]}
 
 
+def test_phrases_in_a_full_index(spark, case):
+    rows, docs = case
+    index = decontaminate.build_index(docs, decontaminate.new_path(spark, "full"))
+    words = [decontaminate_words(t) for _, t in rows]
+    phrases = [(i, w[:n]) for i, (w, n) in enumerate(zip(words[10:40], [1, 2, 3, 5, 13] * 6)) if len(w) >= n] + [(99, ["absent", "of"])]
+    df = spark.createDataFrame(phrases, "p long, words array<string>")
+    anchored = decontaminate.stored(decontaminate.rarest_terms(df, decontaminate.frequencies(index)), "anchors")
+    got = {(r["doc_id"], r["p"], r["start"]) for r in decontaminate.phrase_matches(index, docs.union(docs.limit(5)), anchored).collect()}
+    assert got == {(d, p, s) for (d, _), w in zip(rows, words) for p, x in phrases for s in range(len(w) - len(x) + 1) if w[s : s + len(x)] == x}
+
+
+def decontaminate_words(t):
+    import re
+
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(brute.LOW))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x b y c z z z z z z"), (2, "c q b q q a"), (3, "a q q q q q q q b c"), (4, "a b")], "doc_id long, text string")
     index = decontaminate.build_index(docs, decontaminate.new_path(spark, "p"))
@@ -217,6 +234,28 @@ def test_packing(spark, case):
     assert len(seqs) <= 1.05 * least + -(-len(got) // 64) + 1
 
 
+def test_remainders_are_packed_together(spark):
+    r = random.Random(2)
+    rows = [(i, 0, 0, r.randint(1, 900), 0) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECE).repartition(3), shard_pieces=150).collect()
+    assert sorted(tuple(x)[:5] for x in got) == sorted(rows)
+    seqs = {}
+    for x in got:
+        seqs.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for x in map(sorted, seqs.values()):
+        assert [o for o, _ in x] == np.cumsum([0, *(n for _, n in x)])[:-1].tolist() and sum(n for _, n in x) <= 2048
+    assert len(seqs) <= -(-sum(x[3] for x in rows) // 2048) + 1  # 20 shards alone leave one sequence more each
+
+
+def test_search_gains_on_best_fit():
+    for seed in (11, 25, 30, 46, 48):
+        r = random.Random(seed)
+        size = [r.randint(300, 1024) for _ in range(60)]
+        bins, room = [], []
+        packing.best_fit(bins, room, sorted(range(60), key=lambda i: -size[i]), size, 2048)
+        assert len(packing.evolve(size, 2048, 1, generations=200)) < len(bins)
+
+
 def test_evolution_beats_or_equals_best_fit():
     r = random.Random(5)
     for _ in range(5):
@@ -246,6 +285,28 @@ def test_gif_round_trip(data, compress):
     assert b"".join(f.samples.tobytes() for f in frames) == data
 
 
+def test_gif_code_widths_grow_between_clears():
+    # another encoder's stream: literals only, up to the place where codes get ten bits wide, and beyond
+    for runs in ([254, 3], [255, 3], [256, 3], [255, 600, 2], [700]):
+        acc = bits = 0
+        want = []
+        for k, n in enumerate(runs):
+            table, width = 258, 9
+            if k == 0:
+                acc, bits = 256, 9
+            for i in range(n):
+                code = (i * 7 + k) % 250
+                want.append(code)
+                acc |= code << bits
+                bits += width
+                table += i > 0
+                width = max(width, min(12, table.bit_length()))
+            acc |= (256 if k + 1 < len(runs) else 257) << bits
+            bits += width
+        data = acc.to_bytes(-(-bits // 8), "little")
+        assert media_gif.lzw_decode(data, 8, len(want)).tolist() == want
+
+
 def test_gif_disposal_transparency_and_interlace(spark):
     import struct
 
@@ -290,6 +351,69 @@ def test_wrapper_inference():
     assert html_wrapper.main_text(page(2), tuple(html_wrapper.main_path(w))) == "T2 " + " ".join(["text of its own 2"] * 3)
 
 
+def wrapper_regex(g):
+    """The wrapper as a regular expression over the tokens of tokens_of; texts may be missing."""
+    import re
+
+    if g[0] is None:
+        return "(?:\x01[^\x01]*\x01)*" if g[1] is None else f"(?:\x01{re.escape(g[1])}\x01)*"
+    inner = "".join(map(wrapper_regex, g[1]))
+    if not g[0]:
+        return inner
+    one = f"(?:\x02{re.escape(g[0])}\x03{inner}\x04)"
+    return one + {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[bool(g[2]), bool(g[3])]
+
+
+def tokens_of(page):
+    out, depth = [], 0
+    for kind, a, b, _, n in html_wrapper.read(page):
+        out += {"text": [f"\x01{html_wrapper.marked(a)}\x01"], "open": [f"\x02{b}\x03"], "close": ["\x04"] * n}[kind]
+        depth += {"text": 0, "open": 1, "close": -n}[kind]
+    return "".join([*out, *["\x04"] * depth])
+
+
+def test_wrapper_matches_its_pages():
+    import re
+
+    r = random.Random(9)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return r.choice(["x", "y", "same text", f"t{r.randrange(99)}"])
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in r.choices(["div", "ul", "section", "td"], k=r.randint(1, 3)))
+
+    for _ in range(60):
+        pages = [f"<html><body>{tree(3)}</body></html>" for _ in range(r.randint(2, 5))]
+        w = html_wrapper.infer(pages)
+        if w is None:
+            continue
+        pattern = re.compile(wrapper_regex(w), re.S)
+        for p in pages:
+            assert pattern.fullmatch(tokens_of(p)), (pages, html_wrapper.expression(w))
+
+
+def test_wrapper_decides(spark):
+    """Template strings inside the region, which no name or tag tells apart, go by the wrapper alone."""
+    words = lambda i: " ".join(f"w{(i * 37 + k * k) % 97}" for k in range(30))
+    page = lambda i: f"<html><body><div class='a1'>Site of things</div><div class='b2'><div>Share this story with friends</div><h1>Title {i}</h1><p>{words(i)}</p><p>{words(i + 500)}</p><div>Read our <b>terms</b> before writing</div></div></body></html>"
+    rows = [(i, f"https://tpl.org/{i}", page(i)) for i in range(12)] + [(50, "https://one.org/", page(3))]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} {words(i)} {words(i + 500)}" for i in range(12))
+    alone = [html_wrapper.main_text(page(i)) for i in range(12)]
+    assert sum(a != got[i] for i, a in enumerate(alone)) == 12
+    assert got[50].startswith("Site of things Share this story") and "terms before writing" in got[50]  # one page tells nothing
+
+
+def test_names_are_a_prior():
+    t = html_wrapper.main_text
+    assert t('<div class="content has-sidebar"><p>Real article text here.</p></div>') == "Real article text here."
+    assert t('<article><p>a</p><div class="related-work">kept</div><div class="related">gone</div></article>') == "a kept"
+    assert t('<p>t <span class="ads"><span>x</span>LEAK</span> u</p>') == "t u"
+    assert t('<div class="main-content widget"><p>Only this text and nothing else on it</p></div><nav>n</nav>') == "Only this text and nothing else on it"
+    assert t('<article><p>short</p><section class="comments">' + "<p>long comment</p>" * 50 + "</section></article>") == "short"
+    assert t("<p>body</p>" + "".join(f"<div class='{c}'>gone</div>" for c in ("site-nav", "nav_menu", "sidebar-left", "comments-area", "cookie-banner", "ad", "ad-box", "post-comments", "newsletter-form", "share-buttons", "notice"))) == "body"
+
+
 def test_wrapper_covers_all_pages(spark):
     teaser = lambda i: f"<div class='teaser'>Teaser {i} {'of many words ' * 9}</div>"
     # a rare layout shares the first one's box: its article stays, whatever pages the wrapper is made of
@@ -349,7 +473,7 @@ def test_url_filter(spark):
 
 def test_quality(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    _, scored, least = quality.train(docs, labels)
+    scored, least = quality.train(docs, labels)
     got = {r["doc_id"]: r["draw"] >= least for r in scored.collect()}
     rows = labels.collect()
     good = [got[r["doc_id"]] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
@@ -361,6 +485,93 @@ def test_quality(spark):
     assert quality.kth_largest(scored, "draw", 17) == sorted(values)[-17]
 
 
+def plain_features(text):
+    import re
+
+    import xxhash
+
+    mix = lambda h: int(quality.mixed(np.array([h & (2**64 - 1)], np.uint64))[0])
+    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    low = [w.translate(brute.LOW).strip(quality.EDGE) for w in ws]
+    shape = [re.sub(r"(.)\1+", r"\1", re.sub("[0-9]+", "0", re.sub("[A-Z]+", "A", re.sub("[a-z\x80-\U0010ffff]+", "a", w)))) for w in ws]
+    h = lambda x: xxhash.xxh64_intdigest(x.encode())
+    out = []
+    for i, w in enumerate(low):
+        if i:
+            out.append(mix(h(shape[i]) * int(quality.M) + h(shape[i - 1]) + (w == low[i - 1])) % quality.BUCKETS)
+        out.append(mix(h(w)) % quality.BUCKETS)
+    return out
+
+
+def test_quality_against_a_plain_version(spark, case):
+    import math
+    from collections import Counter
+
+    rows, _ = case
+    rows = [(d, t) for d, t in rows] * 3 + [(None, "no id. No id."), (None, None), (7, "other text of a repeated id")]
+    docs = frame(spark, rows)
+    labelled = [(d, int(d % 5 > 0), int(d % 7 == 0)) for d, _ in rows[:40]] + [(3, 0, 0), (None, 1, 0), (5, None, 0)]
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int, toxic int")
+    known = quality.sampled_labels(labels)
+    target_ids = {k for k, v in known.items() if v == (True, False)}
+    assert known[3][0] is False and None not in known
+    feats = [(d, t, plain_features(t)) for d, t in rows]
+    raw, target = Counter(), Counter()
+    for d, _, f in feats:
+        raw.update(f)
+        if d in target_ids:
+            target.update(f)
+    a, b, ratio = sum(target.values()), max(1, sum(raw.values())), {}
+    for x in raw:
+        e = a * raw[x] / b
+        r = math.log((target[x] + quality.PSEUDO) / (e + quality.PSEUDO))
+        ratio[x] = 0 if abs(e - target[x]) < quality.SIGNIFICANCE * math.sqrt(e) or abs(r) < math.log(quality.LEAST_FACTOR) else round(r * 1e6)
+    assert min(ratio.values()) < 0 or len(rows) > 300
+    scored, least = quality.train(docs, labels)
+    want = []
+    for d, t, f in feats:
+        w = sum(ratio[x] for x in f) * (quality.REFERENCE / 1e6) / max(1, len(f))
+        import xxhash
+
+        u = (xxhash.xxh64_intdigest((t or "").encode(), 7 ^ (d or 0) & 0xFFFFFFFF) >> 11) / 2**53 + 2**-54
+        want.append((d, len(f), w, round((w - math.log(-math.log(u))) * 1e6)))
+    key = lambda r: (repr(r[0]), r[3])
+    for x, y in zip(sorted(map(tuple, scored.collect()), key=key), sorted(want, key=key), strict=True):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-9 and abs(x[3] - y[3]) <= 1
+    kept = quality.keep_good(spark, docs, labels)
+    assert kept.columns == docs.columns
+    assert kept.count() == (len(rows) if least is None else sum(w[3] >= least for w in want))
+    # ties at the cut: equal rows stay or go together
+    by = {}
+    for r in kept.collect():
+        by[r["doc_id"], r["text"]] = by.get((r["doc_id"], r["text"]), 0) + 1
+    assert all(n % 3 == 0 for (d, t), n in by.items() if (d, t) in set(rows[: len(rows) // 3]))
+
+
+def test_pii_accuracy_of_whole_lines():
+    w, right, seen = dict(pii.trained()), 0, 0
+    for line, spans in pii.training_lines(200, seed=78):
+        got, true = set(pii.all_spans(line, pii.base_spans(line), w)), {(a, k, b) for a, b, k in spans}
+        right += len(got & true)
+        seen += len(got | true)
+    assert right / seen > 0.8
+
+
+def test_media_of_odd_rows(spark):
+    rows = [(None, None), (None, "x"), (1, "same"), (1, "same"), (2, "é" * 100_000)]
+    got = sorted(map(tuple, media_gif.media_of_documents(frame(spark, rows)).collect()), key=repr)
+    assert len(got) == 5 and sum(r[0] is None for r in got) == 2 and len({r for r in got if r[0] == 1}) == 1
+    assert next(r for r in got if r[0] == 2)[1] == 200_000
+
+
+def test_urls_without_rules_and_with_repeated_rules(spark):
+    df = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id long, url string")
+    none = spark.createDataFrame([], "verdict string, text string")
+    assert sorted(tuple(r) for r in url_filter.judge_in_ranges(df, none).select("page_id", "rule", "verdict").collect()) == [(1, None, "allow"), (2, None, "allow")]
+    twice = spark.createDataFrame([("block", "org/"), ("block", "org/")], "verdict string, text string")
+    assert sorted(tuple(r) for r in url_filter.judge_in_ranges(df, twice).select("page_id", "rule", "verdict").collect()) == [(1, "org/", "block"), (2, None, "allow")]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
