@@ -369,6 +369,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op5_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document: near_duplicates."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 

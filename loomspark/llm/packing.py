@@ -234,6 +234,7 @@ def _packed(rows: DataFrame, capacity: int, shards: int, level: int) -> DataFram
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of CAPACITY tokens: pack of pieces_of."""
     return pack(pieces_of(read_table(spark, sf_dir, "documents")))
 
 

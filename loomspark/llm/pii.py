@@ -355,6 +355,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: find_pii."""
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 

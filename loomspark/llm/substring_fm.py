@@ -343,6 +343,7 @@ def _removed(base: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def op7_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that a smaller doc_id has: dedup."""
     return dedup(read_table(spark, sf_dir, "documents"))
 
 

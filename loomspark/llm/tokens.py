@@ -214,7 +214,8 @@ def token_ids(spark: SparkSession, path: str, first: int | None = None, last: in
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, all from the files' rows.
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, all from the files' rows. Null doc_ids come first, as the writer dealt them; repeated
+    rows follow one another; an empty table gives no rows.
 
     A part is a range of doc_id in one task's hands; the sums of parts, as many rows as there are parts, are
     added up in order, and inside a part the rows are in order already.
@@ -239,6 +240,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written by write_token_table and read back by token_digests."""
     path = new_path(spark, "tokens")
     write_token_table(read_table(spark, sf_dir, "documents"), path, token_file("word_bpe_49k.json"), 2)
     return token_digests(spark, path)

@@ -158,6 +158,7 @@ def judge_in_ranges(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_V
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url: judge with RULES."""
     return judge(read_table(spark, sf_dir, "pages"))
 
 
