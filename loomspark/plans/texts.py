@@ -43,5 +43,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..functions.pages import with_clean_pages
 
-    d = fx.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("pages"))
-    return with_clean_pages(d).select("doc_id", F.array_join("pages", "\n\n").alias("text"))
+    # a conversation's turns are its pages, each with the same head and a number at its foot
+    page = F.concat(F.lit("Conversation record\n"), F.coalesce("text", F.lit("")), F.lit("\n\nPage "), F.col("turn").cast("string"))
+    c = fx.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", page.alias("p")))).alias("a"))
+    return with_clean_pages(c.select("conv_id", F.transform("a", lambda x: x["p"]).alias("pages")), "conv_id").select("conv_id", F.array_join("pages", "\n\n").alias("text"))

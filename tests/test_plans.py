@@ -83,12 +83,15 @@ def test_null_and_empty_text(spark):
 
 
 def test_page_cleaning():
-    from loomspark.functions.pages import clean_pages
+    from loomspark.functions import pages as pg
 
-    body = ["A sen-\ntence goes\non here.", "x | y\n1 | 2\n***\n• item", "Ends."]
+    body = ["A sen-\ntence goes\non here.", "x | y\n1 | 2\n***\n•\nitem", "Ends."]
     pages = [f"Head line\n{b}\n\n\n\nPage {i} of 3" for i, b in enumerate(body)]
-    assert clean_pages(pages) == ["A sentence goes on here.", "x | y\n1 | 2\n- item", "Ends."]
-    assert clean_pages(None) == [] and clean_pages([None]) == [""]
+    assert pg.clean_pages(pages) == ["A sentence goes on here.", "[TABLE]\nx | y\n1 | 2\n[/TABLE]\n\n• item", "Ends."]
+    assert pg.clean_pages(None) == [] and pg.clean_pages([None]) == [""]
+    assert pg.unwrapped("one goes\non and\non.\nHEAD\nlow\nlead:\nlow\n- item\nlow") == "one goes on and\non.\nHEAD\nlow lead:\nlow - item\nlow"
+    assert [pg.joined_words("state-of-\nart up-\nto it-\nself", m) for m in ("smart", "merge", "space", "keep")] == ["state-of art up-to itself", "state-ofart upto itself", "state-of art up to it self", "state-of-\nart up-\nto it-\nself"]
+    assert pg.tidy("a\tb\nc\td\n====\nx | y") == "[TABLE]\na\tb\nc\td\n[/TABLE]\n\nx | y"
 
 
 def test_files(spark, tmp_path):
