@@ -52,8 +52,24 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATEMENT_FILES = ("invoice", "receipt", "kontoauszug", "payment confirmation", "steuerbescheid", "tuition", "form", "lecture", "cv", "CV_Anna_Weber", "Reference_Letter_Jonas_Keller", "scan")
 
 
+#: Where a session's statements of a data folder are.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters and bills written from orders: doc_id, customer, path, text, checksum. Dates and amounts come in several spellings."""
+    """Letters and bills written from orders: doc_id, customer, path, text, checksum. Dates and amounts come in several spellings. They are written to the shared folder once a session: rules are
+    to read texts, and a text that is made by an expression would be made again for each rule that looks at it."""
+    from ..streaming.jobs import folder
+
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _WRITTEN:
+        path = folder(spark)
+        _letters(spark, sf_dir).write.option("compression", "zstd").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema("doc_id long, customer long, path string, text string, checksum string").parquet(_WRITTEN[key])
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, kind = F.col("o_orderkey"), F.col("o_orderkey") % len(STATEMENT_FILES)
     year = F.year("o_orderdate").cast("string")
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
