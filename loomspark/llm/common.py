@@ -134,6 +134,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Tables of at most so many rows and bytes, counted and not guessed, are broadcast by small(); beyond it joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast where its rows and bytes, counted, are few enough."""
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+#: Parts over which the rows of one hot key are dealt.
+SALTS = 64
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, by: Column) -> DataFrame:
+    """rows with the other columns of table (one row a key; null where it lacks the key). A key may be on any number of rows: these are dealt
+    by `by`, a column that tells a key's rows apart, and the table's row is copied once for each part that a key's rows fill, SALTS at most."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copies = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u long, v long): rows (u, root), root the smallest vertex; vertices without an edge don't appear.
 

@@ -13,14 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_path, read_table, stored
+from .common import ascii_lower, new_path, read_table, small, stored
 
 WINDOW = 10
 #: Terms of a phrase whose lists are intersected before the words in place are compared.
 RAREST = 2
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Test sides of at most so many rows and bytes (counted, not guessed) are broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -42,20 +40,14 @@ def build_index(docs: DataFrame, path: str, terms: DataFrame | None = None) -> D
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
     if terms is not None:
-        rows = rows.join(_small(terms.distinct()), "term", "left_semi")
+        rows = rows.join(small(terms.distinct()), "term", "left_semi")
     rows.select("term", "doc_id", "h", "pos").sortWithinPartitions("term").write.option("compression", "zstd").parquet(path)
     return spark.read.schema("term string, doc_id long, h long, pos int").parquet(path)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, df: how often each of terms (term) stands in all of docs; terms that docs lack are left out."""
-    return docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(_small(terms.distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast where its rows and bytes, counted, are few enough."""
-    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+    return docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(small(terms.distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def rarest_terms(phrases: DataFrame, freq: DataFrame, k: int = RAREST) -> DataFrame:
@@ -79,29 +71,29 @@ def phrase_matches(index: DataFrame, docs: DataFrame, anchored: DataFrame) -> Da
     for i in range(k):
         # phrases that share an anchor and its offset are looked up once each; a phrase of fewer terms has fewer lists
         a = anchored.where(F.size("anchors") > i).select("p", F.get("anchors", F.lit(i))["term"].alias("term"), F.get("anchors", F.lit(i))["offset"].alias("offset"))
-        moved = index.join(_small(a), "term").select("doc_id", "h", "p", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+        moved = index.join(small(a), "term").select("doc_id", "h", "p", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
         if spots is None:
             spots = moved
         else:
             both, short = spots.join(moved, ["doc_id", "h", "p", "start"], "left_semi"), anchored.where(F.size("anchors") <= i).select("p")
             # phrases without an i-th anchor pass
-            spots = both if short.isEmpty() else both.unionByName(spots.join(_small(short), "p", "left_semi"))
+            spots = both if short.isEmpty() else both.unionByName(spots.join(small(short), "p", "left_semi"))
     # one row a document: the spots of its phrases are bounded by its own length
     by_doc = spots.groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "start")).alias("spots")).withColumnRenamed("doc_id", "d_").withColumnRenamed("h", "h_")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     cand = texts.join(by_doc, (F.col("doc_id") == F.col("d_")) & (F.col("h") == F.col("h_"))).select("doc_id", "h", words_of(F.col("text")).alias("w"), "spots")
     flat = cand.select("doc_id", "h", F.expr("inline(transform(spots, s -> named_struct('p', s.p, 'start', s.start, 'here', slice(w, s.start + 1, %d))))" % longest))
-    return flat.join(_small(phrases), "p").where("slice(here, 1, size(words)) = words").select("doc_id", "h", "p", "start", F.size("words").alias("n")).distinct()
+    return flat.join(small(phrases), "p").where("slice(here, 1, size(words)) = words").select("doc_id", "h", "p", "start", F.size("words").alias("n")).distinct()
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
     """doc_id, h, p, at: where all terms of a phrase stand within span words of its rarest term, in any order. Each occurrence of the
     rarest term is one row at most; other terms' postings are looked up in the same and the neighbouring stretches of span words."""
     first = stored(rarest_terms(phrases, frequencies(index), 1).select("p", F.get("anchors", F.lit(0))["term"].alias("term")), "anchors")
-    centre = index.join(_small(first), "term").select("doc_id", "h", "p", F.col("pos").alias("at"))
+    centre = index.join(small(first), "term").select("doc_id", "h", "p", F.col("pos").alias("at"))
     near = centre.select("*", F.explode(F.array(*[F.floor(F.col("at") / span) + i for i in (-1, 0, 1)])).alias("cell"))
     need = phrases.select("p", F.explode(F.array_distinct("words")).alias("term"))
-    there = index.join(_small(need), "term").select("doc_id", "h", "p", "term", "pos", F.floor(F.col("pos") / span).alias("cell"))
+    there = index.join(small(need), "term").select("doc_id", "h", "p", "term", "pos", F.floor(F.col("pos") / span).alias("cell"))
     hits = near.join(there, ["doc_id", "h", "p", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= span)
     full = phrases.select("p", F.size(F.array_distinct("words")).alias("want"))
     return hits.groupBy("doc_id", "h", "p", "at").agg(F.count_distinct("term").alias("got")).join(full, "p").where("got = want").select("doc_id", "h", "p", "at")
@@ -125,7 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     index = build_index(docs, new_path(spark, "postings"), anchored.select(F.explode("anchors.term").alias("term")))
     hits = phrase_matches(index, docs, anchored)
     # a document's hits and items are bounded by its own length and by the benchmark
-    per = hits.join(_small(found.select("p", "items")), "p").groupBy("doc_id", "h").agg(
+    per = hits.join(small(found.select("p", "items")), "p").groupBy("doc_id", "h").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.expr("start + n - 1")))))).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     ).withColumnsRenamed({"doc_id": "d_", "h": "h_"})
