@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, read_table, stored, words_of_rows
+from .decontaminate import _SPLIT
 from .quality import kth_largest
+from .sql import crc32
 
 BUCKETS, LEAST_WORDS, SHARE, SEED = 10_000, 20, 25, 7
 #: Features of a stream after which the next document begins a new one (2 MB); a longer document is a stream of its own.
@@ -204,5 +206,17 @@ def op12_target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_target_draw": op12_target_draw}
-#: DuckDB has no CRC-32; a test holds the query against a plain version.
-SQL: dict[str, str] = {}
+_FEATURES = "unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])))"
+SQL = {
+    "op12_target_draw": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT} AS ws FROM documents),
+df AS (SELECT r, {_FEATURES} AS f FROM d), bf AS (SELECT {_FEATURES} AS f FROM (SELECT {_SPLIT} AS ws FROM benchmark)),
+fb AS (SELECT f, {crc32("f")} % {BUCKETS} AS b FROM (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM bf))),
+s AS (SELECT b, count(*) AS n FROM df JOIN fb USING (f) GROUP BY b), t AS (SELECT b, count(*) AS n FROM bf JOIN fb USING (f) GROUP BY b),
+g AS (SELECT s.b, CAST(floor(CAST(1000 AS DOUBLE) * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM df) + {BUCKETS}) / (CAST(s.n + 1 AS DOUBLE) * ((SELECT count(*) FROM bf) + {BUCKETS})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b)),
+w AS (SELECT r, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM df JOIN fb USING (f) JOIN g USING (b) GROUP BY r),
+x AS (SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (r)),
+y AS (SELECT *, weight + CAST(floor(CAST(-1000 AS DOUBLE) * ln(-ln((CAST(h AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {LEAST_WORDS} ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS k, count(*) OVER (PARTITION BY n_words >= {LEAST_WORDS}) AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {LEAST_WORDS} AND k <= {SHARE} * n // 100 THEN k END AS rank FROM z""",
+}
