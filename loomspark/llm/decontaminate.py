@@ -5,7 +5,8 @@ shuffles nothing. A phrase is looked up from its rarest terms: their lists, move
 what is left is compared with the words in place. For a stated set of tests, terms are counted over the whole corpus first, and only the
 terms that some test is looked up from are posted; build_index without terms posts all.
 
-Rows that share a doc_id are told apart by a 64-bit hash of their texts, and phrases by one of their words.
+Rows that share a doc_id are told apart by a 64-bit hash of their texts, and phrases by one of their words. In the index a null doc_id is 0, which makes
+no difference to any row, since rows of one doc_id and one text have the same hits.
 """
 
 from __future__ import annotations
@@ -34,11 +35,15 @@ def windows_of(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return w.select("item_id", "w", start.alias("s")).select("item_id", F.expr(f"slice(w, s + 1, {n})").alias("words")).distinct()
 
 
+def _key(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(0))
+
+
 def build_index(docs: DataFrame, path: str, terms: DataFrame | None = None) -> DataFrame:
     """Writes the postings (term, doc_id, h, pos) of docs, of the given terms (term) alone where these are given, and reads them back. h, a
     hash of the text, tells rows that share a doc_id apart. Null texts have no postings; an empty table gives an empty index."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    rows = docs.select(_key().alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
     if terms is not None:
         rows = rows.join(small(terms.distinct()), "term", "left_semi")
     rows.select("term", "doc_id", "h", "pos").sortWithinPartitions("term").write.option("compression", "zstd").parquet(path)
@@ -80,7 +85,7 @@ def phrase_matches(index: DataFrame, docs: DataFrame, anchored: DataFrame) -> Da
             spots = both if short.isEmpty() else both.unionByName(spots.join(small(short), "p", "left_semi"))
     # one row a document: the spots of its phrases are bounded by its own length
     by_doc = spots.groupBy("doc_id", "h").agg(F.collect_list(F.struct("p", "start")).alias("spots")).withColumnRenamed("doc_id", "d_").withColumnRenamed("h", "h_")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    texts = docs.select(_key().alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     cand = texts.join(by_doc, (F.col("doc_id") == F.col("d_")) & (F.col("h") == F.col("h_"))).select("doc_id", "h", words_of(F.col("text")).alias("w"), "spots")
     flat = cand.select("doc_id", "h", F.expr("inline(transform(spots, s -> named_struct('p', s.p, 'start', s.start, 'here', slice(w, s.start + 1, %d))))" % longest))
     return flat.join(small(phrases), "p").where("slice(here, 1, size(words)) = words").select("doc_id", "h", "p", "start", F.size("words").alias("n")).distinct()
@@ -103,8 +108,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs (doc_id, text).
 
     Null texts have no words; items without words or item_id have no windows. Rows that share a doc_id are told apart by their texts, and rows that are equal
-    give equal rows. A null doc_id is a document without hits. Empty tables give no rows, or rows without hits.
+    give equal rows. A null doc_id is a document like others. Empty tables give no rows, or rows without hits.
     """
+    return _marked(docs, benchmark, window).drop("h")
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """contamination with h, the hash of the row's text."""
     spark = docs.sparkSession
     wins = windows_of(benchmark, window)
     # windows of several items are searched once
@@ -122,9 +132,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     ).withColumnsRenamed({"doc_id": "d_", "h": "h_"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), _count(F.col("text")).alias("n_words"))
-    joined = rows.join(per, (F.col("doc_id") == F.col("d_")) & (F.col("h") == F.col("h_")), "left")
+    joined = rows.join(per, (_key() == F.col("d_")) & (F.col("h") == F.col("h_")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select("doc_id", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return joined.select("doc_id", "h", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def _count(text: Column) -> Column:
@@ -134,9 +144,11 @@ def _count(text: Column) -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without contaminated documents; columns stay. Of rows that share a doc_id all go when one's text is contaminated."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad_id"], "left_anti")
+    """docs without contaminated documents; columns stay. Of rows that share a doc_id all go when one's text is contaminated; of those without a doc_id
+    the ones with a contaminated text."""
+    row = lambda doc_id, h: F.coalesce(doc_id.cast("long").cast("string"), F.concat(F.lit("text "), h.cast("string")))
+    bad = _marked(docs, benchmark, window).where("contaminated").select(row(F.col("doc_id"), F.col("h")).alias("_bad_row")).distinct()
+    return docs.join(bad, row(docs["doc_id"], F.xxhash64(docs["text"])) == bad["_bad_row"], "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

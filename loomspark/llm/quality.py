@@ -3,10 +3,12 @@ one of target text and one of raw text, and drawn by Gumbel top-k.
 
 Target text is a bounded sample of labelled documents of good quality that aren't toxic; raw text is the whole corpus.
 N-grams are words (case and edge punctuation folded) and pairs of neighbouring word shapes with whether the words are
-equal. A bucket's log ratio, of either sign, counts where the counts differ by SIGNIFICANCE standard errors and by LEAST_FACTOR or more: else
-rare n-grams' noise, and the small lead that all target words have because poor text takes a share of the raw model, would drown the rest.
+equal. Both models count an n-gram once for each document that has it: a document that repeats a line a hundred times says no more than another. A bucket's log
+ratio, of either sign, counts where the counts differ by SIGNIFICANCE signed roots of the Poisson deviance and by LEAST_FACTOR or more: else
+rare n-grams' noise, and the small lead that all target words have because poor text takes a share of the raw model, would drown the rest. The deviance
+of n-grams that the target lacks, such as insults, grows as their expected count does, so five expected documents are enough to notice them.
 
-The length rule: a document weighs as REFERENCE n-grams of its make-up would, the mean log ratio times REFERENCE, so that long documents aren't
+The length rule: a document weighs as REFERENCE distinct n-grams of its make-up would, the mean log ratio times REFERENCE, so that long documents aren't
 drawn or left for their length. The draw: Gumbel noise of scale 1 is added to the log weights and the k largest are taken, which is sampling
 without replacement by weight. Log ratios are whole millionths, so sums don't depend on batches.
 """
@@ -28,16 +30,18 @@ from .common import M, as_bytes, map_arrow, mixed, read_table, stored, words_of_
 
 #: Buckets of the hashed models (one array of this length is sent to the executors: 2 MB), and labelled rows used at most.
 BUCKETS, MAX_LABELS = 1 << 19, 40_000
-SIGNIFICANCE, LEAST_FACTOR, PSEUDO, REFERENCE = 4.0, 2.0, 0.3, 300
+SIGNIFICANCE, LEAST_FACTOR, PSEUDO, REFERENCE = 2.5, 2.0, 0.3, 200
 #: Share of the labelled rows that sets the size of the draw and is kept from the target model, as 1 in HELD_OUT.
 HELD_OUT = 4
+#: Held-out rows of a kind that are few: their share counts half in setting the cut.
+FEW_ROWS = 20
 #: What is stripped from a word's edges before it is folded, and the runs of characters that are one in a word's shape.
 EDGE = ".,;:!?\"'()"
 _SHAPE = ((r"[a-z\x{80}-\x{10FFFF}]+", "a"), (r"[A-Z]+", "A"), (r"[0-9]+", "0"))
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all texts' n-grams, one text after another, and how many each text has: a word has one, and one more with the word before it.
+    """Buckets of each text's distinct n-grams, one text after another, and how many each text has: a word has one, and one more with the word before it.
     Words are folded and shaped once for each distinct word of the batch, by Arrow."""
     words, n = words_of_rows(texts)
     distinct = words.dictionary_encode()
@@ -55,20 +59,26 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     f[1:, 0] = mixed(b[1:] * M + b[:-1] + (a[1:] == a[:-1]))
     f[:, 1] = mixed(a)
     is_gram[(np.cumsum(n) - n)[n > 0], 0] = False
-    return (f[is_gram] % np.uint64(BUCKETS)).astype(np.int64), np.maximum(2 * n - 1, 0)
+    row = np.repeat(np.arange(len(n)), np.maximum(2 * n - 1, 0))
+    row, f = np.divmod(np.unique(row * BUCKETS + (f[is_gram] % np.uint64(BUCKETS)).astype(np.int64)), BUCKETS)
+    return f, np.bincount(row, minlength=len(n))
 
 
-def sampled_labels(labels: DataFrame, limit: int = MAX_LABELS) -> dict[int, tuple[bool, bool]]:
-    """doc_id -> (is target, is held out) of at most limit labelled rows, by hash order. Rows with nulls are left out;
-    a document labelled twice counts as its worst label."""
+TARGET, TOXIC, POOR = range(3)
+Labels = dict[int, tuple[int, bool]]
+
+
+def sampled_labels(labels: DataFrame, limit: int = MAX_LABELS) -> Labels:
+    """doc_id -> (TARGET, TOXIC or POOR, is held out) of at most limit labelled rows, by hash order. Rows with nulls are left out;
+    a document labelled twice counts as its worst label, and one that is both poor and toxic as poor."""
     rows = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    return {r["doc_id"]: (r["q"] == 1 and r["t"] == 0, i % HELD_OUT == 0) for i, r in enumerate(rows)}
+    return {r["doc_id"]: (POOR if r["q"] != 1 else TARGET if r["t"] == 0 else TOXIC, i % HELD_OUT == 0) for i, r in enumerate(rows)}
 
 
-def fit(docs: DataFrame, labels: dict[int, tuple[bool, bool]]) -> np.ndarray:
+def fit(docs: DataFrame, labels: Labels) -> np.ndarray:
     """Log ratio of each bucket in millionths. Counts cover every document; each task sums its own before anything is shuffled."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast({k for k, v in labels.items() if v == (True, False)})
+    known = spark.sparkContext.broadcast({k for k, v in labels.items() if v == (TARGET, False)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -95,7 +105,8 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of target over raw probability in millionths; 0 where it isn't significant or the factor is less than LEAST_FACTOR."""
     expected = target.sum() * raw / max(1.0, raw.sum())
     ratio = np.log((target + PSEUDO) / (expected + PSEUDO))
-    ratio[(np.abs(expected - target) < SIGNIFICANCE * np.sqrt(expected)) | (np.abs(ratio) < np.log(LEAST_FACTOR))] = 0
+    deviance = 2 * (target * np.log(np.where(target > 0, target, 1) / np.where(expected > 0, expected, 1)) - (target - expected))
+    ratio[(deviance < SIGNIFICANCE**2) | (np.abs(ratio) < np.log(LEAST_FACTOR))] = 0
     return np.round(ratio * 1e6).astype(np.int32)
 
 
@@ -106,7 +117,7 @@ def _gumbel(keys: list[int | None], texts: list[bytes], seed: int) -> np.ndarray
 
 
 def with_scores(docs: DataFrame, ratio: np.ndarray, seed: int = 7, keep_columns: bool = False) -> DataFrame:
-    """doc_id (or all columns) with n_features, log_weight (mean log ratio times REFERENCE; 0 without words) and draw (the Gumbel key, in millionths).
+    """doc_id (or all columns) with n_features (distinct n-grams), log_weight (mean log ratio times REFERENCE; 0 without words) and draw (the Gumbel key, in millionths).
 
     Added columns are named n_features, log_weight and draw, or with a leading underscore each while such a column exists.
     """
@@ -152,21 +163,22 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     return lo
 
 
-def cut_of(scored: DataFrame, labels: dict[int, tuple[bool, bool]]) -> float | None:
-    """The log weight that best parts held-out target rows from others (sum of both shares rightly placed, first such from below); None without both."""
+def cut_of(scored: DataFrame, labels: Labels) -> float | None:
+    """The log weight that best parts held-out target rows from toxic and from poor ones: the sum of the three kinds' shares that it places rightly, first
+    such from below, so that few toxic rows count as much as many poor ones. The share of n rows counts n / (n + FEW_ROWS). None without target rows or
+    without others."""
     held = {k: v[0] for k, v in labels.items() if v[1]}
     if not held:
         return None
     spark = scored.sparkSession
     ids = spark.createDataFrame([(int(k),) for k in held], "doc_id long")
     rows = scored.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w")).collect()
-    s = np.array([r["w"] for r in rows])
-    y = np.array([held[r["doc_id"]] for r in rows], bool)
-    if not y.any() or y.all():
+    by_kind = {kind: np.sort([r["w"] for r in rows if held[r["doc_id"]] == kind]) for kind in (TARGET, TOXIC, POOR)}
+    good, others = by_kind[TARGET], [x for kind, x in by_kind.items() if kind != TARGET and len(x)]
+    if not len(good) or not others:
         return None
-    at = np.unique(s)
-    good, bad = np.sort(s[y]), np.sort(s[~y])
-    gain = (len(good) - np.searchsorted(good, at)) / len(good) + np.searchsorted(bad, at) / len(bad)
+    at = np.unique([r["w"] for r in rows])
+    gain = (len(good) - np.searchsorted(good, at)) / (len(good) + FEW_ROWS) + sum(np.searchsorted(x, at) / (len(x) + FEW_ROWS) for x in others)
     i = int(np.argmax(gain))
     # half way down to the next lower weight: the cut itself is no document's
     return float((at[i] + at[i - 1]) / 2) if i else float(at[0])

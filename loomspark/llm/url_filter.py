@@ -2,7 +2,8 @@
 sorted URLs keeps a stack of the rules that are open.
 
 Hosts are compared label by label from the right, so a rule's host and all its subdomains are one interval of reversed
-hosts; inside a host, a rule's path prefix is one interval of paths. Either kind of interval nests, so a stack holds those that are open.
+hosts; inside a host, a rule's path prefix is one interval of paths. Either kind of interval nests, so a stack holds those that are open. In a key SEP ends
+each label; labels that hold SEP themselves have it escaped.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, read_table, tune
 
 DEFAULT_VERDICT = "allow"
-#: Stands after each label of a reversed host; no host name holds it.
-SEP = "\x01"
+#: Stands after each label of a reversed host, and what escapes it within a label.
+SEP, ESCAPE = "\x01", "\x02"
 #: Rules of at most so many bytes in all are sent to each task; more are refused by judge() and need judge_in_ranges().
 RULE_BYTES = 64 << 20
 
@@ -37,18 +38,26 @@ class Rule:
         return self.host + self.path
 
 
+def escaped(host: str) -> str:
+    return host.replace(ESCAPE, ESCAPE + ESCAPE).replace(SEP, ESCAPE + "s")
+
+
 def rule(verdict: str, text: str) -> Rule:
+    """A rule of a host, which may be empty, and a path. It fits hosts that are the same and those that end with a dot and it."""
     host, slash, path = text.partition("/")
     host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
-    return Rule(SEP.join(reversed(host.split("."))) + SEP if host else "", slash + path, host, verdict)
+    return Rule(SEP.join(reversed(escaped(host).split("."))) + SEP, slash + path, host, verdict)
 
 
 RULES = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block", "example.org/en/1"), rule("allow", "com/fr/"), rule("block", "com/de/")]
 
 
 def host_of(url: Column) -> Column:
-    part = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(part, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
+
+
+def _lower(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
@@ -56,16 +65,35 @@ def path_of(url: Column) -> Column:
 
 
 def reversed_key(host: Column) -> Column:
+    host = F.replace(F.replace(host, F.lit(ESCAPE), F.lit(ESCAPE + ESCAPE)), F.lit(SEP), F.lit(ESCAPE + "s"))
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), SEP), F.lit(SEP))
 
 
+class Paths:
+    """The rule that holds for each of a host's paths, which come in ascending order: a stack of the path prefixes that are open."""
+
+    def __init__(self, rules: list[Rule]):
+        self.rules, self.at, self.active = sorted(rules, key=lambda r: (r.path, -len(r.text), r.key)), 0, []
+
+    def of(self, path: str) -> Rule | None:
+        while self.active and not path.startswith(self.active[-1].path):
+            self.active.pop()
+        while self.at < len(self.rules) and self.rules[self.at].path <= path:
+            r = self.rules[self.at]
+            self.at += 1
+            if path.startswith(r.path):
+                self.active.append(r)
+        # longest text wins; of equally long ones the longer host
+        return max(self.active, key=lambda r: (len(r.text), len(r.host)), default=None)
+
+
 class Sweep:
     """Judges (key, path) pairs that come in ascending order; rules that end before the current pair are off the stacks for good."""
 
     def __init__(self, rules: list[Rule], default: str = DEFAULT_VERDICT):
         # of rules with one host and path the last stated holds
         self.rules, self.default = sorted({(r.key, r.path): r for r in rules}.values()), default
-        self.next, self.open, self.key, self.inner, self.at, self.active = 0, [], None, [], 0, []
+        self.next, self.open, self.key, self.paths = 0, [], None, None
 
     def of(self, key: str, path: str) -> Rule | None:
         if key != self.key:
@@ -79,17 +107,8 @@ class Sweep:
                     self.next += 1
                 if key.startswith(k):
                     self.open.append((k, same))
-            # the host's path intervals, in order; a new host starts its own inner sweep
-            self.key, self.inner, self.at, self.active = key, sorted((r.path, -len(r.text), r.key, r) for _, rs in self.open for r in rs), 0, []
-        while self.active and not path.startswith(self.active[-1][0]):
-            self.active.pop()
-        while self.at < len(self.inner) and self.inner[self.at][0] <= path:
-            p, *_, r = self.inner[self.at]
-            self.at += 1
-            if path.startswith(p):
-                self.active.append((p, r))
-        # longest text wins; of equally long ones the longer host
-        return max((r for _, r in self.active), key=lambda r: (len(r.text), len(r.host)), default=None)
+            self.key, self.paths = key, Paths([r for _, rs in self.open for r in rs])
+        return self.paths.of(path)
 
 
 def _judged(sorted_rows: DataFrame, rules: list[Rule], default: str) -> DataFrame:
@@ -109,7 +128,7 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, default: str = DEFAULT_VE
 
     The rules, within RULE_BYTES, go to each task, which sorts its own rows and sweeps both: no shuffle, and a host with very many
     pages stays spread over the tasks that read them. Null urls and urls without :// have empty host and path, which no
-    rule with a host fits. Repeated rows are judged alike.
+    rule with a host fits; a rule without a host fits an empty one, and hosts that end with a dot. Repeated rows are judged alike.
     """
     if sum(len(r.text) * 4 + 64 for r in rules) > RULE_BYTES:
         raise ValueError("too many rules for one task; use judge_in_ranges")
@@ -118,39 +137,46 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, default: str = DEFAULT_VE
     return _judged(rows.sortWithinPartitions("key", "path"), rules, default)
 
 
+#: Parts over which the urls of one site are dealt.
+SITE_PARTS = 16
+
+
 def judge_in_ranges(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, partitions: int = 0) -> DataFrame:
     """The same for rules (verdict, text) in a table of any size: rules and urls are dealt by the first two labels of the reversed
     host, rules of one label go to every part (they are few: one a top-level domain), and each part sweeps its sorted rows.
-    A hot site is dealt over several parts, each with the site's rules."""
+    A hot site is dealt over SITE_PARTS parts, each with the site's rules. Of rules with one host and path the verdict last in order holds."""
     spark = pages.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = 8
     host = host_of(F.col("url"))
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), host.alias("host"), path_of(F.col("url")).alias("path"), reversed_key(host).alias("key"), F.lit(None).cast("string").alias("verdict"), F.pmod(F.xxhash64("url"), F.lit(salts)).alias("salt"))
-    rule_host = F.lower(F.substring_index("text", "/", 1))
-    base = rules.select(F.lit(None).cast("string").alias("page_id"), rule_host.alias("host"), F.expr("substring(text, length(substring_index(text, '/', 1)) + 1)").alias("path"), F.concat(F.array_join(F.reverse(F.split(rule_host, r"\.")), SEP), F.lit(SEP)).alias("key"), "verdict")
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), host.alias("host"), path_of(F.col("url")).alias("path"), reversed_key(host).alias("key"), F.lit(None).cast("string").alias("verdict"), F.pmod(F.xxhash64("url"), F.lit(SITE_PARTS)).alias("salt"))
+    rule_host = _lower(F.substring_index("text", "/", 1))
+    base = rules.where("text is not null and verdict is not null").select(F.lit(None).cast("string").alias("page_id"), rule_host.alias("host"), F.expr("substring(text, length(substring_index(text, '/', 1)) + 1)").alias("path"), "verdict")
+    base = base.groupBy("page_id", "host", "path").agg(F.max("verdict").alias("verdict")).select("page_id", "host", "path", reversed_key(F.col("host")).alias("key"), "verdict")
     site = F.concat_ws(SEP, F.slice(F.split("key", SEP), 1, 2))
-    deep = base.where(F.size(F.split("host", r"\.")) > 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("part", F.pmod(F.xxhash64(site, "salt"), F.lit(n)))
-    short = base.where(F.size(F.split("host", r"\.")) == 1).withColumn("salt", F.lit(0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    labels = F.size(F.split("host", r"\."))
+    deep = base.where(labels > 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SITE_PARTS - 1))).cast("long")).withColumn("part", F.pmod(F.xxhash64(site, "salt"), F.lit(n))).dropDuplicates(["host", "path", "part"])
+    short = base.where(labels == 1).withColumn("salt", F.lit(0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     events = rows.withColumn("part", F.pmod(F.xxhash64(site, "salt"), F.lit(n))).unionByName(deep).unionByName(short)
     dealt = events.repartition(n, "part").sortWithinPartitions("part", "key", F.col("verdict").isNull(), "path").select("part", "page_id", "host", "path", "key", "verdict")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stack = None, []  # (key, rules by path): nested hosts that are open
+        part, at, stack, paths = None, None, [], None  # stack: (key, rules) of nested hosts that are open
         for b in batches:
             out = []
             for p, page, host, path, key, verdict in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if p != part:
-                    part, stack = p, []
-                while stack and not key.startswith(stack[-1][0]):
-                    stack.pop()
+                    part, at, stack = p, None, []
+                if key != at:
+                    while stack and not key.startswith(stack[-1][0]):
+                        stack.pop()
+                    at, paths = key, None
                 if verdict is not None:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, {}))
-                    stack[-1][1][path] = Rule(key, path, host, verdict)
+                        stack.append((key, []))
+                    stack[-1][1].append(Rule(key, path, host, verdict))
                     continue
-                fits = [r[path[:i]] for _, r in stack for i in range(len(path) + 1) if path[:i] in r]
-                best = max(fits, key=lambda r: (len(r.text), len(r.host)), default=None)
+                paths = paths or Paths([r for _, rs in stack for r in rs])
+                best = paths.of(path)
                 out.append((page, host, path, best and best.text, best.verdict if best else default))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(5)], names=["page_id", "host", "path", "rule", "verdict"])
 

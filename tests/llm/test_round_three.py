@@ -17,7 +17,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomspark.llm import target_draw, warc
+from loomspark.llm import decontaminate, pii, target_draw, url_filter, warc
 
 SF = os.environ.get("LOOM_TEST_DIR", "/root/testdata/sf0.001")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -149,3 +149,69 @@ def test_run_lengths_and_sliced_columns():
     texts = pa.array(["skipped words", "Aé b", None, "c"]).slice(1)
     found, n = target_draw.words(texts)
     assert (found.to_pylist(), n.tolist()) == (["aé", "b", "c"], [2, 0, 1])
+
+
+# --- what earlier operators owed ---
+
+
+def test_contamination_of_rows_without_a_doc_id(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, item), (None, item), (None, "clean text"), (0, "x " + item + " y"), (None, None), (0, "clean too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()), key=repr)
+    assert got == sorted([(1, 10, True), (None, 10, True), (None, 0, False), (0, 10, True), (None, 0, False), (0, 0, False)], key=repr)
+    # without a doc_id the text alone decides; rows that share a doc_id go together
+    assert sorted((tuple(r) for r in decontaminate.clean(docs, bench).collect()), key=repr) == [(None, "clean text"), (None, None)]
+
+
+def judged(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        i = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, rest = rest[:i].translate(LOW), rest[i:]
+        path = rest[: min([rest.find(c) for c in "?#" if c in rest] or [len(rest)])]
+    fits = []
+    for verdict, text in rules:
+        h, slash, p = text.partition("/")
+        h = h.translate(LOW)
+        if (host == h or host.endswith("." + h)) and path.startswith(slash + p):
+            fits.append((len(h + slash + p), len(h), h + slash + p, verdict))
+    return (max(fits)[2], max(fits)[3]) if fits else (None, "allow")
+
+
+def test_urls_by_both_ways_on_random_rules(spark):
+    r = random.Random(9)
+    labels = ["a", "B", "a\x01", "\x01", "\x02", "\x02s", "ÄÖ", "org", "x-y", ""]
+    host = lambda: ".".join(r.choice(labels) for _ in range(r.randrange(1, 5)))
+    path = lambda: "".join(r.choice(["/", "/a", "b", "\x01", "é"]) for _ in range(r.randrange(4)))
+    rules = list({t: (r.choice(["allow", "block"]), t) for t in (host().translate(LOW) + "/" + path() for _ in range(120))}.values()) + [("block", "/"), ("allow", "org\x01evil/")]
+    rules = list({t: (v, t) for v, t in rules}.values())
+    urls = [f"http://{host()}/{path()}" for _ in range(400)] + ["http://org\x01evil/x", "http://evil\x01org/x", None, "no host", "://", "http:///x"] + ["http://hot.org/a/b"] * 100
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    want = {i: judged(u, rules) for i, u in enumerate(urls)}
+    table = spark.createDataFrame(rules, "verdict string, text string")
+    for got in (url_filter.judge(df, [url_filter.rule(*x) for x in rules]), url_filter.judge_in_ranges(df, table), url_filter.judge_in_ranges(df, table, partitions=1)):
+        assert {x["page_id"]: (x["rule"], x["verdict"]) for x in got.collect()} == want
+
+
+def test_pii_precision_on_documents(spark):
+    """Cards that the field adds pass the checksum; odd spellings planted in clean documents are found, and nothing else is added there."""
+    weights = dict(pii.trained())
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]]
+    planted = [("jane.doe @ example.com", 0), ("10[.]20[.]30[.]41", 1), ("4111.1111.1111.1111", 2), ("(212) 555-0187", 3)]
+    right = added = wanted = 0
+    for i, t in enumerate(texts):
+        base = pii.base_spans(t)
+        new = set(pii.all_spans(t, base, weights)) - set(base)
+        assert all(pii.luhn(re.sub("[^0-9]", "", t[a:b])) for a, k, b in new if k == 2)
+        if not re.search("[0-9@]", t) and len(t) > 40:
+            x, k = planted[i % 4]
+            at = t.find(" ", 20) + 1 or len(t)
+            text = f"{t[:at]}{x} {t[at:]}"
+            base = pii.base_spans(text)
+            got = set(pii.all_spans(text, base, weights)) - set(base)
+            want = {(at, k, at + len(x))}
+            right, added, wanted = right + len(got & want), added + len(got), wanted + 1
+    assert wanted > 100 and right / added >= 0.95 and right / wanted >= 0.9, (right, added, wanted)
