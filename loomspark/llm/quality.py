@@ -3,12 +3,12 @@ one of target text and one of raw text, and drawn by Gumbel top-k.
 
 Target text is a bounded sample of labelled documents of good quality that aren't toxic; raw text is the whole corpus.
 N-grams are words (case and edge punctuation folded) and pairs of neighbouring word shapes with whether the words are
-equal. Both models count an n-gram once for each document that has it: a document that repeats a line a hundred times says no more than another. A bucket's log
+equal. Both models and the weights count an n-gram MOST_TIMES a document at most: one that repeats a line a hundred times says little more than another. A bucket's log
 ratio, of either sign, counts where the counts differ by SIGNIFICANCE signed roots of the Poisson deviance and by LEAST_FACTOR or more: else
 rare n-grams' noise, and the small lead that all target words have because poor text takes a share of the raw model, would drown the rest. The deviance
-of n-grams that the target lacks, such as insults, grows as their expected count does, so five expected documents are enough to notice them.
+of n-grams that the target lacks, such as insults, grows as their expected count does, so an expected count of four is enough to notice them.
 
-The length rule: a document weighs as REFERENCE distinct n-grams of its make-up would, the mean log ratio times REFERENCE, so that long documents aren't
+The length rule: a document weighs as REFERENCE n-grams of its make-up would, the mean log ratio times REFERENCE, so that long documents aren't
 drawn or left for their length. The draw: Gumbel noise of scale 1 is added to the log weights and the k largest are taken, which is sampling
 without replacement by weight. Log ratios are whole millionths, so sums don't depend on batches.
 """
@@ -30,7 +30,7 @@ from .common import M, as_bytes, map_arrow, mixed, read_table, stored, words_of_
 
 #: Buckets of the hashed models (one array of this length is sent to the executors: 2 MB), and labelled rows used at most.
 BUCKETS, MAX_LABELS = 1 << 19, 40_000
-SIGNIFICANCE, LEAST_FACTOR, PSEUDO, REFERENCE = 2.5, 2.0, 0.3, 200
+SIGNIFICANCE, LEAST_FACTOR, PSEUDO, REFERENCE, MOST_TIMES = 2.5, 2.0, 0.3, 200, 5
 #: Share of the labelled rows that sets the size of the draw and is kept from the target model, as 1 in HELD_OUT.
 HELD_OUT = 4
 #: Held-out rows of a kind that are few: their share counts half in setting the cut.
@@ -41,7 +41,7 @@ _SHAPE = ((r"[a-z\x{80}-\x{10FFFF}]+", "a"), (r"[A-Z]+", "A"), (r"[0-9]+", "0"))
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each text's distinct n-grams, one text after another, and how many each text has: a word has one, and one more with the word before it.
+    """Buckets of each text's n-grams, each MOST_TIMES at most, one text after another, and how many each text has: a word has one, and one more with the word before it.
     Words are folded and shaped once for each distinct word of the batch, by Arrow."""
     words, n = words_of_rows(texts)
     distinct = words.dictionary_encode()
@@ -60,7 +60,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     f[:, 1] = mixed(a)
     is_gram[(np.cumsum(n) - n)[n > 0], 0] = False
     row = np.repeat(np.arange(len(n)), np.maximum(2 * n - 1, 0))
-    row, f = np.divmod(np.unique(row * BUCKETS + (f[is_gram] % np.uint64(BUCKETS)).astype(np.int64)), BUCKETS)
+    both, times = np.unique(row * BUCKETS + (f[is_gram] % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
+    row, f = np.divmod(np.repeat(both, np.minimum(times, MOST_TIMES)), BUCKETS)
     return f, np.bincount(row, minlength=len(n))
 
 
@@ -117,7 +118,7 @@ def _gumbel(keys: list[int | None], texts: list[bytes], seed: int) -> np.ndarray
 
 
 def with_scores(docs: DataFrame, ratio: np.ndarray, seed: int = 7, keep_columns: bool = False) -> DataFrame:
-    """doc_id (or all columns) with n_features (distinct n-grams), log_weight (mean log ratio times REFERENCE; 0 without words) and draw (the Gumbel key, in millionths).
+    """doc_id (or all columns) with n_features (n-grams, each MOST_TIMES at most), log_weight (mean log ratio times REFERENCE; 0 without words) and draw (the Gumbel key, in millionths).
 
     Added columns are named n_features, log_weight and draw, or with a leading underscore each while such a column exists.
     """

@@ -154,7 +154,7 @@ def judge_in_ranges(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_V
     base = base.groupBy("page_id", "host", "path").agg(F.max("verdict").alias("verdict")).select("page_id", "host", "path", reversed_key(F.col("host")).alias("key"), "verdict")
     site = F.concat_ws(SEP, F.slice(F.split("key", SEP), 1, 2))
     labels = F.size(F.split("host", r"\."))
-    deep = base.where(labels > 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SITE_PARTS - 1))).cast("long")).withColumn("part", F.pmod(F.xxhash64(site, "salt"), F.lit(n))).dropDuplicates(["host", "path", "part"])
+    deep = base.where(labels > 1).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SITE_PARTS - 1).cast("long")))).withColumn("part", F.pmod(F.xxhash64(site, "salt"), F.lit(n))).dropDuplicates(["host", "path", "part"])
     short = base.where(labels == 1).withColumn("salt", F.lit(0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     events = rows.withColumn("part", F.pmod(F.xxhash64(site, "salt"), F.lit(n))).unionByName(deep).unionByName(short)
     dealt = events.repartition(n, "part").sortWithinPartitions("part", "key", F.col("verdict").isNull(), "path").select("part", "page_id", "host", "path", "key", "verdict")
