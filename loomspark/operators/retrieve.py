@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import search as s
+from . import text_index as ti
 from ..functions.rules import ascii_letters, ascii_words
 from ..streaming.jobs import folder
 
@@ -107,15 +108,20 @@ def variants(q: DataFrame, cfg: Config) -> DataFrame:
     return raw.unionByName(rewritten)
 
 
-def sparse(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, variant, id, score of variants (query_id, variant, text) against chunks (id, text, path, filename): the best of the fields' BM25 scores by weight."""
+def sparse(chunks: DataFrame, asked: DataFrame, index: ti.TextIndex | None = None, k: int = 60) -> DataFrame:
+    """query_id, variant, id, score of variants (query_id, variant, text) against chunks (id, text, path, filename): the best of the fields' BM25 scores by weight. With
+    an index of the chunks' texts that field gives its first k chunks of a variant; whatever is among the first k by its text's score is among these."""
     ask = asked.select(F.struct("query_id", "variant").alias("query_id"), "text")
     out = None
     for field, boost in FIELDS:
         whole = field == "keyword"
         split = (lambda c: F.array(c)) if whole else s.tokens
-        rows = chunks.select(F.col("id").alias("doc_id"), split(F.col("filename" if whole else field)).alias("w"))
-        part = s.bm25_terms(rows, ask.select("query_id", split(F.col("text")).alias("terms"))).select("query_id", F.col("doc_id").alias("id"), (F.col("score") * boost).alias("score"))
+        terms = ask.select("query_id", split(F.col("text")).alias("terms"))
+        if field == "text" and index is not None:
+            part = ti.bm25_first(index, terms, k)
+        else:
+            part = s.bm25_terms(chunks.select(F.col("id").alias("doc_id"), split(F.col("filename" if whole else field)).alias("w")), terms)
+        part = part.select("query_id", F.col("doc_id").alias("id"), (F.col("score") * boost).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("query_id", "id").agg(F.round(F.max("score"), 9).alias("score")).select("query_id.query_id", "query_id.variant", "id", "score")
 
@@ -286,20 +292,18 @@ def abstaining(h: DataFrame, chunks: DataFrame, q: DataFrame) -> DataFrame:
     return h.join(out, "query_id", "left_anti")
 
 
-def candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """The questions' traits, and their fused hits with what later steps need."""
+def candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, cfg: Config = Config(), index: ti.TextIndex | None = None) -> tuple[DataFrame, DataFrame]:
+    """The questions' traits, and their fused hits with what later steps need. index: the chunks' texts, by id."""
     q = traits(queries)
-    asked = variants(q, cfg)
-    lexical = fetched(sparse(chunks, asked), chunks, cfg, "query_id", "variant").join(asked.select("query_id", "variant", "weight"), ["query_id", "variant"])
+    asked = kept(variants(q, cfg))
+    lexical = fetched(kept(sparse(chunks, asked, index, cfg.over_fetch * cfg.top_each)), chunks, cfg, "query_id", "variant").join(asked.select("query_id", "variant", "weight"), ["query_id", "variant"])
     # vectors of chunks that aren't there (any more) find nothing
     dense = s.cosine_hits(vectors.join(chunks.select("id"), "id", "left_semi"), query_vectors).where(F.col("score") >= cfg.least_cosine).withColumn("score", F.round("score", 9))
     return q, kept(described(fused(fetched(dense, chunks, cfg, "query_id"), lexical, q, cfg), chunks, q))
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """query_id, id, rank, score, found_by of the hits that answer each question (query_id, text). chunks: id, doc_id, chunk_index, text, path, filename, checksum, modified_s, doc_type,
-    person_name, authority_rank; vectors: id, embedding; query_vectors: query_id, q."""
-    q, h = candidates(chunks, vectors, queries, query_vectors, cfg)
+def answered(q: DataFrame, h: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """What retrieve makes of candidates: query_id, id, rank, score, found_by."""
     h = kept(collapsed(untied(kept(guarded(suppressed(rescued(boosted(h))))))))
     if cfg.collapse:
         h = folded(h, vectors, cfg)
@@ -316,3 +320,10 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_ve
     late = [F.when(F.col("guard"), F.col("artefact").cast("int")), F.when(F.col("guard"), -F.col("score")), F.when(F.col("guard"), -F.col("modified_s")), F.when(~F.col("guard"), F.col("place")), F.col("id")]
     h = kept(placed(h.withColumn("guard", F.coalesce("guard", F.lit(False))), *late))
     return abstaining(kept(with_siblings(h, chunks, cfg)), chunks, q)
+
+
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, cfg: Config = Config(), index: ti.TextIndex | None = None) -> DataFrame:
+    """query_id, id, rank, score, found_by of the hits that answer each question (query_id, text). chunks: id, doc_id, chunk_index, text, path, filename, checksum, modified_s, doc_type,
+    person_name, authority_rank; vectors: id, embedding; query_vectors: query_id, q; index: the chunks' texts, by id."""
+    q, h = candidates(chunks, vectors, queries, query_vectors, cfg, index)
+    return answered(q, h, chunks, vectors, query_vectors, cfg)

@@ -7,26 +7,46 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieve as r
 from ..operators import search as s
+from ..operators import text_index as ti
 from ..sources import fixtures as fx
+from ..streaming.jobs import once
 from .documents import ascii_sql, q
 from .registry import query
 
 #: Without folding and greedy choice, which SQL can't say; retrieve_full has both.
 PLAIN = r.Config(collapse=False, mmr=False)
 SIZE, STEP = 800, 700
+#: A chunk's id is doc_id * STRIDE + chunk_index. A text is a cell of two thousand million bytes at most, so it has fewer windows than that.
+STRIDE = 1 << 22
 
 
 def chunks(spark, sf) -> DataFrame:
-    """Fixed windows of the catalogue's texts: id is doc_id * 1000 + chunk_index for the texts' first thousand windows and beyond."""
+    """The catalogue's chunks, made once and read by all queries."""
+    path = once(spark, "chunks", [f"{sf}/documents.parquet"], lambda at: _chunks(spark, sf).write.option("compression", "zstd").parquet(at))
+    return spark.read.schema(_chunks(spark, sf).schema).parquet(path)
+
+
+def chunk_index(spark, sf) -> ti.TextIndex:
+    """The inverted index of the chunks' texts."""
+    return ti.index_once(chunks(spark, sf).select(F.col("id").alias("doc_id"), s.tokens(F.col("text")).alias("w")), "chunks", [f"{sf}/documents.parquet"])
+
+
+def document_index(spark, sf) -> ti.TextIndex:
+    """The inverted index of the documents, built once."""
+    return ti.index_once(fx.table(spark, sf, "documents").select("doc_id", s.tokens(F.col("text")).alias("w")), "documents", [f"{sf}/documents.parquet"])
+
+
+def _chunks(spark, sf) -> DataFrame:
+    """Fixed windows of the catalogue's texts."""
     c = fx.catalog(spark, sf).where("text is not null")
     at = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(STEP))
     c = c.withColumn("chunk_index", F.explode(at)).withColumn("text", F.expr(f"substring(text, chunk_index + 1, {SIZE})")).withColumn("chunk_index", F.expr(f"cast(chunk_index div {STEP} as long)"))
-    return c.withColumn("id", F.col("doc_id") * 1000 + F.col("chunk_index"))
+    return c.withColumn("id", F.col("doc_id") * STRIDE + F.col("chunk_index"))
 
 
 def vectors(spark, sf) -> DataFrame:
     """Vectors of documents' first chunks."""
-    return fx.table(spark, sf, "embeddings").select((F.col("vec_id") * 1000).alias("id"), "embedding")
+    return fx.table(spark, sf, "embeddings").select((F.col("vec_id") * STRIDE).alias("id"), "embedding")
 
 
 def question_vectors(spark, sf) -> DataFrame:
@@ -58,7 +78,7 @@ t1 AS (SELECT query_id, text, tokens, {_MINUS.format(arr(r.STOPWORDS), "(length(
 tr AS (SELECT *, NOT discovery AND (contains(text, '?') OR {has('tokens', r.CONTENT_CUES)}) AS question, {has('tokens', r.CANONICAL)} AND (anchored OR {has('tokens', r.PRONOUNS)}) AS canonical, profile AND list_contains(tokens, 'when') AS when_, profile AND list_contains(tokens, 'where') AS where_,
  {has('content', r.OUT_OF_CORPUS)} AS abroad, {has('content', r.RECENT)} AS recent, {has('content', r.DOMAIN)} AS home, {has('tokens', r.FINANCIAL)} AS financial FROM t1)"""
 VARIANTS = f"""va AS (SELECT query_id, 0 AS variant, 1.0::DOUBLE AS weight, text FROM tr UNION ALL SELECT query_id, 1, {PLAIN.rewrite_weight}::DOUBLE, short FROM (SELECT query_id, text, array_to_string(list_filter({TOK.format('text')}, lambda x: list_contains(content, x)), ' ') AS short FROM tr WHERE NOT anchored) WHERE short <> '' AND short <> lower(text))"""
-CHUNKS = f"(SELECT doc_id * 1000 + at_ // {STEP} AS id, doc_id, CAST(at_ // {STEP} AS BIGINT) AS chunk_index, substring(text, at_ + 1, {SIZE}) AS text, path, filename, checksum, modified_s, doc_type, person_name, authority_rank FROM (SELECT *, unnest(range(0, greatest(length(text) - 1, 0) + 1, {STEP})) AS at_ FROM {fx.CATALOG} WHERE text IS NOT NULL))"
+CHUNKS = f"(SELECT doc_id * {STRIDE} + at_ // {STEP} AS id, doc_id, CAST(at_ // {STEP} AS BIGINT) AS chunk_index, substring(text, at_ + 1, {SIZE}) AS text, path, filename, checksum, modified_s, doc_type, person_name, authority_rank FROM (SELECT *, unnest(range(0, greatest(length(text) - 1, 0) + 1, {STEP})) AS at_ FROM {fx.CATALOG} WHERE text IS NOT NULL))"
 
 
 def _field(name: str, boost: float) -> str:
@@ -78,7 +98,7 @@ def _fetch(out: str, hits: str, keys: str) -> str:
 SPARSE = ",\n".join(_field(n, b) for n, b in r.FIELDS) + ",\nsparse AS (SELECT query_id, variant, id, round(max(score), 9) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM {n}_h" for n, _ in r.FIELDS) + ") GROUP BY ALL)"
 _UNIT = "CASE WHEN n > 0 THEN list_transform(e, lambda x: x / n) ELSE e END"
 DENSE = f"""ve AS (SELECT vec_id, {_UNIT} AS u FROM (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))),
-dense AS (SELECT b.item_id AS query_id, v.vec_id * 1000 AS id, round(list_dot_product(v.u, x.u), 9) AS score FROM ve v, ve x JOIN benchmark b ON x.vec_id = b.item_id)"""
+dense AS (SELECT b.item_id AS query_id, v.vec_id * {STRIDE} AS id, round(list_dot_product(v.u, x.u), 9) AS score FROM ve v, ve x JOIN benchmark b ON x.vec_id = b.item_id)"""
 _T, _W = "list_distinct(" + TOK.format("filename") + ")", PLAIN.fusion + PLAIN.anchored_fusion
 FUSED = f"""lex AS (SELECT query_id, id, arg_max(score, score * 10 - variant) AS score, arg_max(weight, score * 10 - variant) AS weight, list_sort(list(DISTINCT variant)) AS variants FROM sp JOIN va USING (query_id, variant) GROUP BY query_id, id),
 nb AS (SELECT *, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END AS b FROM lex WINDOW w AS (PARTITION BY query_id)), nv AS (SELECT *, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END AS v FROM de WINDOW w AS (PARTITION BY query_id)),
@@ -168,23 +188,23 @@ def _(spark, sf):
 @query("bm25_fields", f"WITH ch AS MATERIALIZED {CHUNKS}, {TRAITS}, {VARIANTS}, {SPARSE}, {_fetch('sp', 'sparse', 'query_id, variant')} SELECT query_id, variant, id, round(score, 6) AS score FROM sp")
 def _(spark, sf):
     c = chunks(spark, sf)
-    return r.fetched(r.sparse(c, r.variants(r.traits(fx.asked(spark, sf)), PLAIN)), c, PLAIN, "query_id", "variant").withColumn("score", F.round("score", 6))
+    return r.fetched(r.sparse(c, r.variants(r.traits(fx.asked(spark, sf)), PLAIN), chunk_index(spark, sf)), c, PLAIN, "query_id", "variant").withColumn("score", F.round("score", 6))
 
 
 @query("fused_candidates", f"{CANDIDATES} SELECT query_id, id, round(score, 6) AS score, found_by, array_to_string(variants, ',') AS variants, title_overlap, round(title_ratio, 6) AS title_ratio, generic_title, artefact FROM h1")
 def _(spark, sf):
-    h = r.candidates(*inputs(spark, sf), PLAIN)[1]
+    h = r.candidates(*inputs(spark, sf), PLAIN, chunk_index(spark, sf))[1]
     return h.select("query_id", "id", F.round("score", 6).alias("score"), "found_by", F.array_join(F.col("variants").cast("array<string>"), ",").alias("variants"), F.col("title_overlap").cast("long"), F.round("title_ratio", 6).alias("title_ratio"), "generic_title", "artefact")
 
 
 @query("retrieve_e2e", f"{RETRIEVED} SELECT query_id, id, rank, round(score, 6) AS score, found_by FROM o4 WHERE query_id NOT IN (SELECT query_id FROM gone)")
 def _(spark, sf):
-    return r.retrieve(*inputs(spark, sf), PLAIN).withColumn("score", F.round("score", 6))
+    return r.retrieve(*inputs(spark, sf), PLAIN, chunk_index(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query("retrieve_full")
 def _(spark, sf):
-    return r.retrieve(*inputs(spark, sf)).withColumn("score", F.round("score", 6))
+    return r.retrieve(*inputs(spark, sf), index=chunk_index(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 # --- what is made of the hits ---
@@ -194,7 +214,7 @@ _ANSWERS = f"""{RETRIEVED}, an AS (SELECT o4.*, c.text, c.filename, c.path FROM
 
 def answers(spark, sf) -> DataFrame:
     c = chunks(spark, sf)
-    return r.retrieve(c, *inputs(spark, sf)[1:], PLAIN).join(c.select("id", "text", "filename", "path"), "id")
+    return r.retrieve(c, *inputs(spark, sf)[1:], PLAIN, chunk_index(spark, sf)).join(c.select("id", "text", "filename", "path"), "id")
 
 
 @query("answer_context", f"{_ANSWERS} SELECT query_id, string_agg('[' || rank || '] ' || filename || ': ' || substring(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n, string_agg(DISTINCT filename, ', ' ORDER BY filename) AS sources FROM an GROUP BY query_id")
@@ -208,22 +228,22 @@ def _(spark, sf):
 
 @query("sibling_expand", f"{RETRIEVED} SELECT query_id, id, rank, round(score, 6) AS score FROM o4 WHERE found_by = 'sibling'")
 def _(spark, sf):
-    return r.retrieve(*inputs(spark, sf), PLAIN).where("found_by = 'sibling'").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return r.retrieve(*inputs(spark, sf), PLAIN, chunk_index(spark, sf)).where("found_by = 'sibling'").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("abstentions", f"{RETRIEVED} SELECT query_id, recent FROM gone JOIN tr USING (query_id)")
 def _(spark, sf):
     c, v, asked, qv = inputs(spark, sf)
-    qs, h = r.candidates(c, v, asked, qv, PLAIN)
-    kept = r.retrieve(c, v, asked, qv, PLAIN).select("query_id").distinct()
+    qs = r.traits(asked)
+    kept = r.retrieve(c, v, asked, qv, PLAIN, chunk_index(spark, sf)).select("query_id").distinct()
     return qs.where("abroad and not home").join(kept, "query_id", "left_anti").select("query_id", "recent")
 
 
 @query("expected_rank", f"""{RETRIEVED}, ex AS (SELECT b.item_id AS query_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id)
- SELECT x.query_id, x.doc_id, min(rank) AS rank, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS reciprocal FROM ex x LEFT JOIN (SELECT query_id, id // 1000 AS doc_id, rank FROM o4 WHERE query_id NOT IN (SELECT query_id FROM gone)) o ON o.query_id = x.query_id AND o.doc_id = x.doc_id GROUP BY x.query_id, x.doc_id""")
+ SELECT x.query_id, x.doc_id, min(rank) AS rank, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS reciprocal FROM ex x LEFT JOIN (SELECT query_id, id // {STRIDE} AS doc_id, rank FROM o4 WHERE query_id NOT IN (SELECT query_id FROM gone)) o ON o.query_id = x.query_id AND o.doc_id = x.doc_id GROUP BY x.query_id, x.doc_id""")
 def _(spark, sf):
-    # the expected document holds the item's whole text; items are a stated query set
+    # the expected document holds the item's whole text
     items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
-    ex = fx.table(spark, sf, "documents").select("doc_id", "text").crossJoin(s.small(items, 100_000)).where(F.contains("text", "needle")).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
-    got = r.retrieve(*inputs(spark, sf), PLAIN).select("query_id", F.expr("id div 1000").alias("doc_id"), "rank")
+    ex = ti.holding(document_index(spark, sf), fx.table(spark, sf, "documents"), items).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    got = r.retrieve(*inputs(spark, sf), PLAIN, chunk_index(spark, sf)).select("query_id", F.expr(f"id div {STRIDE}").alias("doc_id"), "rank")
     return ex.join(got, ["query_id", "doc_id"], "left").groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank")).withColumn("reciprocal", F.round(F.coalesce(1.0 / F.col("rank"), F.lit(0.0)), 6))

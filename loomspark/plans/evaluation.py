@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieve as r
 from ..operators import search as s
+from ..operators import text_index as ti
 from ..sources import fixtures as fx
 from . import endtoend as e2e
 from .endtoend import PLAIN, RETRIEVED, TOK, arr
@@ -23,9 +24,8 @@ def items(spark, sf) -> DataFrame:
 
 
 def holders(spark, sf) -> DataFrame:
-    """query_id, doc_id: the documents that hold a benchmark item's whole text. Items are a stated query set, sent to all tasks while they are few."""
-    d = fx.table(spark, sf, "documents").select("doc_id", "text")
-    return d.crossJoin(s.small(items(spark, sf).select("query_id", "needle"), 100_000)).where(F.contains("text", "needle")).select("query_id", "doc_id")
+    """query_id, doc_id: the documents that hold a benchmark item's whole text."""
+    return ti.holding(e2e.document_index(spark, sf), fx.table(spark, sf, "documents"), items(spark, sf))
 
 
 def rows(spark, sf) -> DataFrame:
@@ -33,9 +33,11 @@ def rows(spark, sf) -> DataFrame:
     c, v, asked, qv = e2e.inputs(spark, sf)
     support = holders(spark, sf)
     expected = support.groupBy("query_id").agg(F.min("doc_id").alias("expected"))
-    got = r.retrieve(c, v, asked, qv, PLAIN).select("query_id", F.expr("id div 1000").alias("doc_id"), "rank")
+    traits, found = r.candidates(c, v, asked, qv, PLAIN, e2e.chunk_index(spark, sf))
+    doc_id = F.expr(f"id div {e2e.STRIDE}").alias("doc_id")
+    got = r.answered(traits, found, c, v, qv, PLAIN).select("query_id", doc_id, "rank")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("modified_s"), "id"))
-    pool = r.candidates(c, v, asked, qv, PLAIN)[1].select("query_id", F.expr("id div 1000").alias("doc_id"), place.alias("place"))
+    pool = found.select("query_id", doc_id, place.alias("place"))
     per = got.join(support.withColumn("s", F.lit(1)), ["query_id", "doc_id"], "left").join(expected, "query_id", "left")
     per = per.groupBy("query_id").agg(F.min(F.when(F.col("doc_id") == F.col("expected"), F.col("rank"))).alias("rank"), F.min(F.when(F.col("s") == 1, F.col("rank"))).alias("support_rank"), F.min(F.when(F.col("rank") == 1, F.col("doc_id"))).alias("top1"))
     near = pool.join(expected, "query_id").where("doc_id = expected").groupBy("query_id").agg(F.min("place").cast("long").alias("pool_rank"))
@@ -45,9 +47,9 @@ def rows(spark, sf) -> DataFrame:
 
 
 ROWS = f"""{RETRIEVED}, sup AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), ex AS (SELECT query_id, min(doc_id) AS expected FROM sup GROUP BY query_id),
-got AS (SELECT query_id, id // 1000 AS doc_id, rank FROM o4 WHERE query_id NOT IN (SELECT query_id FROM gone)),
+got AS (SELECT query_id, id // {e2e.STRIDE} AS doc_id, rank FROM o4 WHERE query_id NOT IN (SELECT query_id FROM gone)),
 per AS (SELECT g.query_id, min(rank) FILTER (WHERE g.doc_id = expected) AS rank, min(rank) FILTER (WHERE s.doc_id IS NOT NULL) AS support_rank, min(g.doc_id) FILTER (WHERE rank = 1) AS top1 FROM got g LEFT JOIN sup s ON s.query_id = g.query_id AND s.doc_id = g.doc_id LEFT JOIN ex ON ex.query_id = g.query_id GROUP BY g.query_id),
-pool AS (SELECT query_id, min(place) AS pool_rank FROM (SELECT query_id, id // 1000 AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, modified_s DESC, id) AS place FROM h1) JOIN ex USING (query_id) WHERE doc_id = expected GROUP BY query_id),
+pool AS (SELECT query_id, min(place) AS pool_rank FROM (SELECT query_id, id // {e2e.STRIDE} AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, modified_s DESC, id) AS place FROM h1) JOIN ex USING (query_id) WHERE doc_id = expected GROUP BY query_id),
 ev AS (SELECT b.item_id AS query_id, {_MODE} AS mode, expected, rank, support_rank, top1, pool_rank, CASE WHEN support_rank = 1 THEN 'hit' WHEN support_rank <= 3 THEN 'top3_not_top1' WHEN pool_rank <= 3 THEN 'ambiguous' WHEN pool_rank IS NOT NULL THEN 'retrieved_below_top3' WHEN expected IS NULL THEN 'corpus_absence' ELSE 'not_retrieved_text_available' END AS bucket
  FROM benchmark b LEFT JOIN ex ON ex.query_id = b.item_id LEFT JOIN per ON per.query_id = b.item_id LEFT JOIN pool ON pool.query_id = b.item_id)"""
 

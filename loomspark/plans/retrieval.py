@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieve as r
 from ..operators import search as s
+from ..operators import text_index as ti
 from ..sources import fixtures as fx
 from . import endtoend as e2e
 from .registry import query
@@ -34,8 +35,10 @@ def _cos_sql(which: str) -> str:
 ALL, STATED = "IN (SELECT item_id FROM benchmark)", f"% {EVERY} = 0"
 
 
-def _bm25(spark, sf):
-    return s.bm25(fx.table(spark, sf, "documents"), questions(spark, sf)).select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+def _bm25(spark, sf, k, slack=0.0):
+    """Each question's first k documents, and those within slack of them."""
+    hits = ti.bm25_first(e2e.document_index(spark, sf), questions(spark, sf).select("query_id", s.tokens(F.col("text")).alias("terms")), k, slack)
+    return hits.select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
 
 
 def _cosine(spark, sf, stated):
@@ -57,7 +60,7 @@ _TOP = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM {_TOP.format('bm25')} WHERE rank <= 10")
 def _(spark, sf):
-    return _best(_bm25(spark, sf), 10).select("query_id", "id", _r(), "rank")
+    return _best(_bm25(spark, sf, 10), 10).select("query_id", "id", _r(), "rank")
 
 
 @query("fulltext_gauss_recency", f"""WITH {BM25}, g AS (SELECT query_id, id, round(score + 0.5::DOUBLE * exp(ln(0.5::DOUBLE) * pow(((SELECT max(doc_id) FROM documents) - id) / 24.0::DOUBLE / 90.0::DOUBLE, 2)), 9) AS score FROM bm25) SELECT query_id, id, round(score, 6) AS score, rank FROM {_TOP.format('g')} WHERE rank <= 10""")
@@ -65,7 +68,8 @@ def _(spark, sf):
     # a document is an hour younger than the one before it; now is the youngest's time
     newest = fx.table(spark, sf, "documents").agg(F.max("doc_id").alias("newest"))
     age = (F.col("newest") - F.col("id")) / 24.0
-    g = _bm25(spark, sf).crossJoin(F.broadcast(newest)).select("query_id", "id", F.round(s.gauss_recency(F.col("score"), age), 9).alias("score"))
+    # the boost is 0.5 at most
+    g = _bm25(spark, sf, 10, 0.5).crossJoin(F.broadcast(newest)).select("query_id", "id", F.round(s.gauss_recency(F.col("score"), age), 9).alias("score"))
     return _best(g, 10).select("query_id", "id", _r(), "rank")
 
 
@@ -90,7 +94,7 @@ def _fused_sql(wd, ws):
 
 def _fused(spark, sf, wd, ws):
     # each channel is cut before they meet
-    d, b = _best(_cosine(spark, sf, False), EACH), _best(_bm25(spark, sf), EACH)
+    d, b = _best(_cosine(spark, sf, False), EACH), _best(_bm25(spark, sf, EACH), EACH)
     return _best(s.fuse(d, b, wd, ws).withColumn("score", F.round("score", 9)), 20).select("query_id", "id", _r(), "found_by", "rank")
 
 

@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def folder(spark: SparkSession) -> str:
-    """A fresh folder in the one all executors share (spark.checkpoint.dir of the session or its context); a temporary one only where that is unset and Spark runs in one process."""
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir of the session or its context); a temporary one, kept for the session, only where that is unset and Spark runs in one process."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="loomspark-")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return top.rstrip("/")
+
+
+def folder(spark: SparkSession) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def once(spark: SparkSession, name: str, sources: list[str], make: Callable[[str], None]) -> str:
+    """A folder that make(path) has written for the files of sources as they are now: made where it isn't there, else found again, by later
+    sessions too. It appears under its name when it is whole, so a failed or a second writer does no harm."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    seen = hashlib.md5()
+    for source in sources:
+        found, files = at(source).getFileSystem(conf).listFiles(at(source), True), []
+        while found.hasNext():
+            f = found.next()
+            files.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        seen.update("\n".join(sorted(files)).encode())
+    path = f"{shared(spark)}/{name}-{seen.hexdigest()}"
+    fs = at(path).getFileSystem(conf)
+    if not fs.exists(at(path)):
+        made = f"{path}-{uuid.uuid4().hex}"
+        make(made)
+        if not fs.exists(at(path)):
+            fs.rename(at(made), at(path))
+    return path
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
