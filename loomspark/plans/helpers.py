@@ -9,6 +9,7 @@ from ..functions import fields as fi
 from ..functions import rules as ru
 from ..operators import search as s
 from ..operators import tables as ops
+from ..operators.quantiles import quantiles
 from ..sources import fixtures as fx
 from .documents import ascii_sql, q
 from .endtoend import TOK, arr
@@ -212,7 +213,8 @@ def _(spark, sf):
 def _(spark, sf):
     pct = lambda c: F.round(100 * F.avg(c.cast("int")), 4)
     base = (~F.col("llm_used") & ~F.col("cache_hit")) | (F.coalesce("fallback_reason", F.lit("")) != "")
-    return reviews(spark, sf).groupBy("status").agg(F.count("*").alias("n"), pct(F.col("llm_used")).alias("llm_pct"), pct(F.col("cache_hit")).alias("cache_pct"), pct(base).alias("baseline_pct"), F.count_if(needs_review()).alias("reviews"), F.round(F.expr("percentile(confidence, 0.5)"), 6).alias("median_confidence"), F.round(F.expr("percentile(mixedness, 0.1)"), 6).alias("p10_mixedness"))
+    places = quantiles(reviews(spark, sf), ["status"], "confidence", {"median_confidence": 0.5}).join(quantiles(reviews(spark, sf), ["status"], "mixedness", {"p10_mixedness": 0.1}), "status").withColumns({c: F.round(c, 6) for c in ("median_confidence", "p10_mixedness")})
+    return reviews(spark, sf).groupBy("status").agg(F.count("*").alias("n"), pct(F.col("llm_used")).alias("llm_pct"), pct(F.col("cache_hit")).alias("cache_pct"), pct(base).alias("baseline_pct"), F.count_if(needs_review()).alias("reviews")).join(places, "status")
 
 
 @query("label_coalesce", "SELECT vec_id AS id, CASE vec_id % 3 WHEN 0 THEN 'child' WHEN 1 THEN 'parent' ELSE 'n/a' END AS level, 'topic ' || label AS name FROM embeddings")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieve as r
 from ..operators import search as s
 from ..operators import text_index as ti
+from ..operators import vector_index as vi
 from ..sources import fixtures as fx
 from . import endtoend as e2e
 from .registry import query
@@ -78,6 +79,14 @@ def _(spark, sf):
     return _best(_cosine(spark, sf, True), 10).select("query_id", "id", _r(), "rank")
 
 
+@query("vector_index_topk")
+def _(spark, sf):
+    # by inverted lists, so not what SQL gives to the last row: a test measures the recall against all rows
+    v = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    index = vi.index_once(v, "embeddings", [f"{sf}/embeddings.parquet"], ("label",))
+    return vi.nearest(index, v, v.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), EACH, probes=max(1, len(index.centroids) * 2 // 3)).select("query_id", "id", _r(), "rank")
+
+
 @query("cosine_threshold_dedup", f"WITH {_cos_sql(STATED)} SELECT query_id, id, label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS n FROM cos JOIN v USING (id) WHERE score >= 0.25) WHERE n <= 1")
 def _(spark, sf):
     # labels stand for checksums; the least cosine is this data's, whose vectors are almost at random

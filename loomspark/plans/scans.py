@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import path_index as pi
 from ..operators import search as s
 from ..operators import tables as ops
 from ..sources import files
@@ -171,9 +172,27 @@ def _(spark, sf):
 @query("path_query", f"SELECT q, count(*) AS n FROM (VALUES ('src1en'), ('sr'), ('Doc 77'), ('nowhere')) t(q), {FT} WHERE length(regexp_replace(lower(q), '[^a-z0-9]+', '', 'g')) < 3 OR contains(regexp_replace(lower(path), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(q), '[^a-z0-9]+', '', 'g')) GROUP BY q")
 def _(spark, sf):
     # a term of fewer than three characters filters nothing
-    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     t = spark.createDataFrame([("src1en",), ("sr",), ("Doc 77",), ("nowhere",)], "q string")
-    return fx.fulltext(spark, sf).select(plain(F.col("path")).alias("p")).crossJoin(F.broadcast(t)).where((F.length(plain(F.col("q"))) < 3) | F.contains("p", plain(F.col("q")))).groupBy("q").agg(F.count("*").alias("n"))
+    found = pi.find_paths(path_index(spark, sf), t.select(F.col("q").alias("term"))).groupBy(F.col("term").alias("q")).agg(F.count("*").alias("n"))
+    every = fx.fulltext(spark, sf).agg(F.count("path").alias("n"))
+    return found.unionByName(t.where(~pi.filters(F.col("q"))).crossJoin(F.broadcast(every)))
+
+
+def path_index(spark, sf):
+    return pi.index_once(fx.fulltext(spark, sf).select("path"), "fulltext", [f"{sf}/documents.parquet"])
+
+
+_PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
+_PATH_TERMS = "CASE item_id % 4 WHEN 0 THEN 'doc ' || item_id WHEN 1 THEN 'SRC' || item_id % 9 || '/En' WHEN 2 THEN item_id || '.PDF' ELSE 'x' || item_id END"
+
+
+@query("path_ngram_search", f"SELECT item_id, term, path FROM (SELECT item_id, {_PATH_TERMS} AS term FROM benchmark), {FT} WHERE length({_PLAIN.format('term')}) >= 3 AND contains({_PLAIN.format('path')}, {_PLAIN.format('term')})")
+def _(spark, sf):
+    # a term for each benchmark item
+    i = F.col("item_id").cast("string")
+    kinds = [F.concat(F.lit("doc "), i), F.concat(F.lit("SRC"), (F.col("item_id") % 9).cast("string"), F.lit("/En")), F.concat(i, F.lit(".PDF")), F.concat(F.lit("x"), i)]
+    t = fx.table(spark, sf, "benchmark").select("item_id", F.element_at(F.array(*kinds), (F.col("item_id") % 4 + 1).cast("int")).alias("term"))
+    return pi.find_paths(path_index(spark, sf), t).join(s.small(t), "term").select("item_id", "term", "path")
 
 
 @query("missing_within_roots", f"SELECT path FROM {INV} WHERE NOT exists_now AND (path = '/corpus/src2' OR starts_with(path, '/corpus/src2/') OR starts_with(path, '/corpus/src3/'))")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as s
 from ..operators import tables as ops
+from ..operators.quantiles import quantiles
 from ..sources import fixtures as fx
 from .registry import query
 
@@ -60,13 +61,9 @@ _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w
 
 @query("keyword_bigrams_topn", f"SELECT lang, term, c AS n FROM (SELECT lang, term, count(*) AS c, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS r FROM (SELECT lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT lang, {_WORDS} AS w FROM documents)) GROUP BY lang, term) WHERE r <= 20")
 def _(spark, sf):
-    # terms are counted by hash, and only the winners (with all that tie) are spelt out: strings of all terms are never shuffled
     w = fx.table(spark, sf, "documents").select("lang", F.filter(s.tokens(F.col("text")), lambda x: F.length(x) >= 3).alias("w"))
     pairs = F.zip_with(F.col("w"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = w.select("lang", F.explode(F.concat("w", F.filter(pairs, lambda x: x.isNotNull()))).alias("term")).withColumn("h", F.xxhash64("term"))
-    n = terms.groupBy("lang", "h").agg(F.count("*").alias("n"))
-    best = n.withColumn("r", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("n")))).where("r <= 20").select("lang", "h")
-    t = terms.join(s.small(best), ["lang", "h"], "left_semi").groupBy("lang", "term").agg(F.count("*").alias("n"))
+    t = w.select("lang", F.explode(F.concat("w", F.filter(pairs, lambda x: x.isNotNull()))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
     return t.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))).where("r <= 20").select("lang", "term", "n")
 
 
@@ -83,7 +80,8 @@ def _(spark, sf):
 @query("review_metrics", "SELECT count(*) AS n, round(avg(CAST(toxic = 1 AS INT)), 6) AS toxic_share, count(*) FILTER (WHERE quality = 0) AS poor, round(quantile_cont(n_chars, 0.5), 6) AS median_chars, round(quantile_cont(n_chars, 0.1), 6) AS p10_chars FROM labels JOIN documents USING (doc_id)")
 def _(spark, sf):
     j = fx.table(spark, sf, "documents").select("doc_id", "n_chars").join(fx.table(spark, sf, "labels"), "doc_id")
-    return j.agg(F.count("*").alias("n"), F.round(F.avg((F.col("toxic") == 1).cast("int")), 6).alias("toxic_share"), F.count_if(F.col("quality") == 0).alias("poor"), F.round(F.expr("percentile(n_chars, 0.5)"), 6).alias("median_chars"), F.round(F.expr("percentile(n_chars, 0.1)"), 6).alias("p10_chars"))
+    places = F.broadcast(quantiles(j, [], "n_chars", {"median_chars": 0.5, "p10_chars": 0.1}).withColumns({c: F.round(c, 6) for c in ("median_chars", "p10_chars")}))
+    return j.agg(F.count("*").alias("n"), F.round(F.avg((F.col("toxic") == 1).cast("int")), 6).alias("toxic_share"), F.count_if(F.col("quality") == 0).alias("poor")).crossJoin(places)
 
 
 @query("smart_sort_top2", f"""SELECT vec_id, label, round(score, 6) AS score, round(score - next, 6) AS margin FROM (SELECT vec_id, k.label, list_cosine_similarity(e, c) AS score, lead(list_cosine_similarity(e, c)) OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(e, c), 9) DESC, k.label) AS next, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(e, c), 9) DESC, k.label) AS n FROM {V} v, {CENTROIDS} k) WHERE n = 1""")
