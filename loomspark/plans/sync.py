@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import fixtures as fx
-from ..streaming import jobs
+from ..streaming import jobs, states
 from .registry import query
 
 FT = fx.FULLTEXT
@@ -77,3 +77,39 @@ def _(spark, sf):
 @query("stream_dedup_ingest", "SELECT sha256(text) AS checksum, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def _(spark, sf):
     return jobs.dedup_ingest(spark, sf)
+
+
+DAY, GAP, SCANNED = 86_400, 129_600, 1_710_000_000
+
+
+def _files(spark, sf):
+    return fx.fulltext(spark, sf, jobs.stream_of(spark, sf, "documents"))
+
+
+@query("stream_rescan", f"""WITH s AS (SELECT path, {SCANNED} + k * {DAY} AS t, CASE WHEN k = 2 AND doc_id % 5 = 0 THEN sha256(text || 'x') ELSE checksum END AS c FROM {fx.FULLTEXT}, range(4) r(k) WHERE doc_id % (k + 3) <> 1),
+w AS (SELECT *, lag(t) OVER p AS pt, lag(c) OVER p AS pc, lead(t) OVER p AS nt, first_value(t) OVER p AS f FROM s WINDOW p AS (PARTITION BY path ORDER BY t))
+SELECT path, t AS at_s, CASE WHEN pt IS NULL THEN 'new' WHEN t - pt >= {GAP} THEN 'back' ELSE 'changed' END AS change, c AS checksum, f AS first_s FROM w WHERE pt IS NULL OR t - pt >= {GAP} OR c <> pc
+UNION ALL SELECT path, t + {GAP}, 'missing', c, f FROM w WHERE nt - t >= {GAP} OR (nt IS NULL AND t + {GAP} < (SELECT max(t) FROM s))""")
+def _(spark, sf):
+    # four scans, each of which misses some files
+    f, k = _files(spark, sf), F.col("k")
+    seen = f.withColumn("k", F.explode(F.array(*map(F.lit, range(4))))).where(F.col("doc_id") % (k + 3) != 1)
+    checksum = F.when((k == 2) & (F.col("doc_id") % 5 == 0), F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.col("checksum"))
+    return states.file_changes(seen.select("path", (F.lit(SCANNED) + k * DAY).cast("long").alias("seen_s"), checksum.alias("checksum")), jobs.folder(spark), GAP).drop("batch")
+
+
+@query("stream_content_alias", f"SELECT checksum, path, modified_s AS seen_s, CASE WHEN row_number() OVER (PARTITION BY checksum ORDER BY modified_s, path) = 1 THEN 'ingest' ELSE 'alias' END AS action FROM {fx.FULLTEXT} WHERE checksum IS NOT NULL")
+def _(spark, sf):
+    return states.content_actions(_files(spark, sf).select("checksum", "path", F.col("modified_s").alias("seen_s")), jobs.folder(spark)).drop("batch")
+
+
+TTL = 259_200
+
+
+@query("stream_cache_entries", f"""WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+e AS (SELECT key, n, t, t AS stored FROM r WHERE n = 1 UNION ALL SELECT r.key, r.n, r.t, CASE WHEN r.t >= stored + {TTL} THEN r.t ELSE stored END FROM e JOIN r ON r.key = e.key AND r.n = e.n + 1)
+SELECT key, stored AS stored_s, count(*) - 1 AS hit_count, max(t) AS last_access_s FROM e GROUP BY key, stored""")
+def _(spark, sf):
+    # a user's events ask for what was made for the user; it is kept for three days
+    e = jobs.stream_of(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.floor(F.col("ts").cast("timestamp").cast("double")).cast("long").alias("asked_s"))
+    return states.cache_entries(e, jobs.folder(spark), TTL)

@@ -12,9 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fulltext(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """Documents (a stream of them, if one is given) as files."""
     ext = F.element_at(F.array(F.lit("txt"), F.lit("pdf"), F.lit("docx")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return (table(spark, sf_dir, "documents") if documents is None else documents).select(
         "doc_id", "text", "lang", "source", F.sha2("text", 256).alias("checksum"), ext.alias("ext"),
         F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"),
         F.octet_length("text").cast("long").alias("size_bytes"), (F.lit(BASE_S) + F.col("doc_id") * 3600).cast("long").alias("modified_s"),
