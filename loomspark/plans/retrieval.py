@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import highlights as hl
 from ..operators import retrieve as r
 from ..operators import search as s
 from ..operators import text_index as ti
@@ -64,6 +65,31 @@ def _(spark, sf):
     return _best(_bm25(spark, sf, 10), 10).select("query_id", "id", _r(), "rank")
 
 
+_SPACED = "trim(regexp_replace({0}, '\\s', ' ', 'g'))"
+_CUT = f"list_filter(flatten(list_transform(regexp_extract_all(text, '{hl.SENTENCE}'), lambda s: list_transform(range(0, (length(s) - 1) // {hl.SIZE} + 1), lambda i: {_SPACED.format(f'substring(s, i * {hl.SIZE} + 1, {hl.SIZE})')}))), lambda x: x <> '')"
+_WORDS_OF = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda w: lower(w))"
+
+
+def _escaped_sql(x: str) -> str:
+    for character, name in hl.ESCAPES:
+        x = f"replace({x}, {e2e.q(character)}, {e2e.q(name)})"
+    return x
+
+
+@query("fulltext_highlights", f"""WITH {BM25}, top AS (SELECT query_id, id FROM {_TOP.format('bm25')} WHERE rank <= 3), terms AS (SELECT item_id AS query_id, list_distinct({_TOK.format('text')}) AS terms FROM benchmark),
+h AS (SELECT t.query_id, t.id, terms, d.text FROM top t JOIN documents d ON d.doc_id = t.id JOIN terms USING (query_id)), f AS (SELECT query_id, id, terms, unnest(c) AS x, unnest(range(0, len(c))) AS i FROM (SELECT *, {_CUT} AS c FROM h)),
+w AS (SELECT *, list_filter({_WORDS_OF.format('x')}, lambda w: list_contains(terms, w)) AS found FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY len(list_distinct(found)) DESC, len(found) DESC, i) AS n FROM w WHERE len(found) > 0),
+m AS (SELECT query_id, id, n, array_to_string(list_transform(regexp_extract_all(x, '{hl.PIECE}'), lambda p: CASE WHEN list_contains(terms, lower(p)) THEN '<mark>' || p || '</mark>' ELSE {_escaped_sql('p')} END), '') AS x FROM b WHERE n <= {hl.MOST})
+SELECT h.query_id, h.id, coalesce(string_agg(m.x, chr(10) ORDER BY n), any_value({_escaped_sql(_SPACED.format(f'substring(text, 1, {hl.SIZE})'))})) AS fragments FROM h LEFT JOIN m USING (query_id, id) GROUP BY h.query_id, h.id""")
+def _(spark, sf):
+    # of each question's first three documents
+    terms = questions(spark, sf).select("query_id", F.array_distinct(s.tokens(F.col("text"))).alias("terms"))
+    top = _best(_bm25(spark, sf, 3), 3).select("query_id", F.col("id").alias("doc_id"))
+    shown = hl.highlighted(top, fx.table(spark, sf, "documents"), terms)
+    return shown.select("query_id", F.col("doc_id").alias("id"), F.array_join("fragments", "\n").alias("fragments"))
+
+
 @query("fulltext_gauss_recency", f"""WITH {BM25}, g AS (SELECT query_id, id, round(score + 0.5::DOUBLE * exp(ln(0.5::DOUBLE) * pow(((SELECT max(doc_id) FROM documents) - id) / 24.0::DOUBLE / 90.0::DOUBLE, 2)), 9) AS score FROM bm25) SELECT query_id, id, round(score, 6) AS score, rank FROM {_TOP.format('g')} WHERE rank <= 10""")
 def _(spark, sf):
     # a document is an hour younger than the one before it; now is the youngest's time

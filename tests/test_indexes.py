@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark.operators import highlights
 from loomspark.operators import path_index as pi
 from loomspark.operators import search as s
 from loomspark.operators import text_index as ti
@@ -133,3 +134,14 @@ def test_vectors_by_lists_have_recall(spark, tmp_path):
     labelled = vi.nearest(index, v.drop("label"), q, 5, probes=len(index.centroids), where=F.col("label") == 3).join(v.select("id", "label"), "id").collect()
     assert labelled and all(x["label"] == 3 for x in labelled)
     assert vi.nearest(index, v, q.limit(0), 5, probes=2).count() == 0
+
+
+def test_fragments(spark):
+    text = "Nothing here. The <b>cat</b> & the Cat's hat! Dog cat.\n" + "x" * 250 + " cat dog bird? It's over"
+    docs = spark.createDataFrame([(1, text), (2, "no words\tof it <i>"), (3, None), (4, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, ["cat", "dog", "bird", "hat"])], "query_id long, terms array<string>")
+    hits = spark.createDataFrame([(7, d) for d in (1, 2, 3, 4)], "query_id long, doc_id long")
+    got = {r["doc_id"]: r["fragments"] for r in highlights.highlighted(hits, docs, queries).collect()}
+    m = lambda x: f"<mark>{x}</mark>"
+    assert got[1] == ["x" * 50 + f" {m('cat')} {m('dog')} {m('bird')}?", f"The &lt;b&gt;{m('cat')}&lt;/b&gt; &amp; the {m('Cat')}&#x27;s {m('hat')}!", f"{m('Dog')} {m('cat')}."]
+    assert got[2] == ["no words of it &lt;i&gt;"] and got[3] == got[4] == []
