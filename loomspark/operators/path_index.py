@@ -36,7 +36,7 @@ def write_index(paths: DataFrame, path: str) -> None:
 
 def index_once(paths: DataFrame, name: str, sources: list[str]) -> tuple[DataFrame, DataFrame]:
     """Postings and counts of the grams of paths, which are made of the files of sources."""
-    at, read = once(paths.sparkSession, f"paths-{name}", sources, lambda p: write_index(paths, p)), paths.sparkSession.read
+    at, read = once(paths, f"paths-{name}", sources, lambda p: write_index(paths, p)), paths.sparkSession.read
     return read.schema("gram string, path string, plain string").parquet(f"{at}/postings"), read.schema("gram string, n long").parquet(f"{at}/grams")
 
 

@@ -41,6 +41,15 @@ TEMPORAL = r"(?i)\b(?:19|20)\d{2}\b|\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|a
 LOCATION = r"\b(?:in|at|from)\s+[A-Z][\w.-]+(?:\s+[A-Z][\w.-]+)?\b"
 LOCATION_CUES = ("university", "college", "city", "country", "state", "province", "region", "district", "campus", "location", "located", "address", "resides", "based", "headquartered")
 FINANCIAL = ("finance", "financial", "tax", "expense", "expenses", "payment", "payments", "paid", "receipt", "receipts", "invoice", "invoices", "deductible", "deduction", "refund", "bank", "statement", "tuition")
+# What financial questions ask for, the families of their sources, and what tells a family where the type doesn't.
+CONCEPTS = (("expenses", ("expense", "expenses", "receipt", "receipts", "invoice", "invoices")), ("payments", ("payment", "payments", "paid", "transfer", "transfers", "refund")), ("tax_relevant_items", ("tax",)))
+CONCEPT_TERMS = {"expenses": ("expense", "expenses", "receipt", "receipts", "invoice", "invoices", "paid", "payment"), "payments": ("payment", "payments", "paid", "transfer", "transfers", "refund"), "tax_relevant_items": ("tax", "vat", "deductible", "deduction", "expense")}
+PREFERRED = ("tax_document", "bank_statement", "receipt", "invoice", "payment_confirmation", "school_fee_letter", "official_letter")
+SUPPRESSED = ("book", "course_material", "publication", "cv", "reference", "archive_misc")
+TYPE_FAMILY = {"invoice": "invoice", "receipt": "receipt", "tax_document": "tax_document", "bank_statement": "bank_statement", "payment_confirmation": "payment_confirmation", "school_fee_letter": "school_fee_letter", "official_letter": "official_letter", "government_form": "official_letter", "insurance_letter": "official_letter", "payroll": "official_letter", "course_material": "course_material", "research_paper": "publication", "technical_report": "publication", "publication": "publication", "cv": "cv", "resume": "cv", "reference_letter": "reference", "reference": "reference", "book": "book", "archive_misc": "archive_misc"}
+#: family, words of paths, words of texts, in order.
+FAMILY_SIGNS = (("invoice", ("invoice",), ()), ("receipt", ("receipt",), ("receipt",)), ("tax_document", ("tax", "steuer"), ("tax", "steuer")), ("bank_statement", ("bank statement",), ("iban", "kontoauszug")), ("payment_confirmation", ("payment confirmation",), ("payment received",)), ("school_fee_letter", ("tuition",), ("school fee",)), ("book", ("book",), ()))
+YEAR = r"\b((?:19|20)[0-9]{2})\b"
 FIELDS = (("text", 1.0), ("path", 0.35), ("filename", 0.75), ("keyword", 1.10))
 
 
@@ -60,6 +69,8 @@ class Config:
     sibling_sources: int = 2
     sibling_candidates: int = 12
     per_source: int = 2
+    finance_gate: bool = True
+    finance_residual: int = 2
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -97,6 +108,7 @@ def traits(queries: DataFrame) -> DataFrame:
     return q.select(
         "*", (~F.col("discovery") & (t.contains("?") | any_of(tok, CONTENT_CUES))).alias("question"), (any_of(tok, CANONICAL) & (F.col("anchored") | any_of(tok, PRONOUNS))).alias("canonical"), profile.alias("profile"),
         (profile & F.array_contains(tok, "when")).alias("when_"), (profile & F.array_contains(tok, "where")).alias("where_"), any_of(F.col("content"), OUT_OF_CORPUS).alias("abroad"), any_of(F.col("content"), RECENT).alias("recent"), any_of(F.col("content"), DOMAIN).alias("home"), any_of(tok, FINANCIAL).alias("financial"),
+        F.nullif(F.regexp_extract(raw, YEAR, 1), F.lit("")).alias("year"), F.coalesce(*[F.when(any_of(tok, words), F.lit(name)) for name, words in CONCEPTS]).alias("concept"),
     )
 
 
@@ -239,18 +251,46 @@ def collapsed(h: DataFrame) -> DataFrame:
     return h.withColumn("_n", n).where("_family is null or _n = 1").select(*cols)
 
 
+def family_of(doc_type: Column, path: Column, text: Column) -> Column:
+    """A source's family by its type, else by words of its path and text."""
+    path, text = F.lower(path), F.lower(text)
+    by_type = F.element_at(F.create_map(*[F.lit(x) for pair in TYPE_FAMILY.items() for x in pair]), F.lower(F.trim(F.coalesce(doc_type, F.lit("")))))
+    signs = [F.when(F.coalesce(F.greatest(*[c.contains(w).cast("int") for c, words in ((path, on_path), (text, in_text)) for w in words], F.lit(0)), F.lit(0)) == 1, F.lit(name)) for name, on_path, in_text in FAMILY_SIGNS]
+    return F.coalesce(by_type, *signs, F.lit("archive_misc"))
+
+
+def gated(h: DataFrame, chunks: DataFrame, cfg: Config) -> DataFrame:
+    """h with stage: null for questions that aren't financial. Of those that are, sources of suppressed families go; the first top_k hits stay whose family, year and
+    concept fit (0); what is left of the places, finance_residual at most, goes to hits that fit but for the family (1) and, if the fitting ones are few, but for the
+    year (2), and others (3)."""
+    f = h.where("financial").join(chunks.select("id", "text"), "id")
+    family, plain = family_of(F.col("doc_type"), F.col("path"), F.col("text")), ascii_words(F.coalesce("text", F.lit("")))
+    year = F.col("year").isNull() | F.array_contains(F.regexp_extract_all(plain, F.lit(YEAR), 1), F.col("year")) | (F.year(F.timestamp_seconds("modified_s")).cast("string") == F.col("year"))
+    words = F.array_union(s.tokens(F.col("text")), s.tokens(F.coalesce("record_type", F.lit(""))))
+    concept = F.coalesce(*[F.when(F.col("concept") == name, any_of(words, terms)) for name, terms in CONCEPT_TERMS.items()], F.lit(True))
+    preferred = F.col("_family").isin(*PREFERRED)
+    stage = F.when(preferred & year & concept, 0).when(year & concept, 1).when(preferred & concept, 2).otherwise(3)
+    f = f.withColumn("_family", family).where(~F.col("_family").isin(*SUPPRESSED)).withColumn("stage", stage).drop("_family", "text")
+    n = F.row_number().over(_w("_strict").orderBy("stage", *_by()))
+    f = f.withColumn("_strict", F.col("stage") == 0).withColumn("_n", n).withColumn("_fit", F.least(F.count_if("_strict").over(_w()), F.lit(cfg.top_k)))
+    left = F.least(cfg.top_k - F.col("_fit"), F.lit(min(cfg.finance_residual, cfg.top_k)))
+    relaxed = (F.col("stage") == 1) | (F.col("_fit") < max(cfg.top_k - cfg.finance_residual, 1))
+    f = f.where(F.when(F.col("_strict"), F.col("_n") <= cfg.top_k).otherwise(relaxed & (F.col("_n") <= left)))
+    return h.where("not financial").withColumn("stage", F.lit(None).cast("int")).unionByName(f.drop("_strict", "_n", "_fit"))
+
+
 def placed(h: DataFrame, *order: Column) -> DataFrame:
     return h.withColumn("place", F.row_number().over(_w().orderBy(*(order or _by()))).cast("double"))
 
 
 def folded(h: DataFrame, vectors: DataFrame, cfg: Config) -> DataFrame:
-    """h without hits whose vector is as near as the threshold to one kept before, in rank order; hits without a vector stay. A question's list is bounded by the channels' cuts."""
+    """h with repeat: whether a hit's vector is as near as the threshold to one kept before, in rank order; hits without a vector are no repeats. A question's list is bounded by the channels' cuts."""
     v = placed(h).join(vectors.select("id", F.col("embedding").alias("v")), "id", "left")
     listed = v.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "v"))).alias("c"), F.first("canonical").alias("canonical"))
     near = "aggregate(zip_with(x.v, d.v, (a, b) -> cast(a as double) * b), 0D, (s, y) -> s + y) / greatest(1e-12D, sqrt(aggregate(x.v, 0D, (s, y) -> s + cast(y as double) * y)) * sqrt(aggregate(d.v, 0D, (s, y) -> s + cast(y as double) * y)))"
     kept = F.expr(f"aggregate(c, cast(array() as array<struct<place: double, id: bigint, v: array<float>>>), (k, d) -> if(exists(k, x -> coalesce({near} >= if(canonical, {cfg.similar_canonical}, {cfg.similar}), false)), k, concat(k, array(d))))")
     ids = listed.select("query_id", F.explode(F.transform(kept, lambda x: x["id"])).alias("id"))
-    return h.join(ids, ["query_id", "id"], "left_semi")
+    return h.join(ids.withColumn("repeat", F.lit(False)), ["query_id", "id"], "left").withColumn("repeat", F.coalesce("repeat", F.lit(True)))
 
 
 def with_siblings(h: DataFrame, chunks: DataFrame, cfg: Config) -> DataFrame:
@@ -305,16 +345,17 @@ def candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_
 def answered(q: DataFrame, h: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, cfg: Config = Config()) -> DataFrame:
     """What retrieve makes of candidates: query_id, id, rank, score, found_by."""
     h = kept(collapsed(untied(kept(guarded(suppressed(rescued(boosted(h))))))))
-    if cfg.collapse:
-        h = folded(h, vectors, cfg)
+    h = folded(h, vectors, cfg) if cfg.collapse else h.withColumn("repeat", F.lit(False))
+    # what is gated takes no repeats; elsewhere these fill places that are left
+    h = kept(gated(h.where("not (financial and repeat)"), chunks, cfg)) if cfg.finance_gate else h.withColumn("stage", F.lit(None).cast("int"))
     if cfg.mmr:
-        v = h.join(vectors.select("id", F.col("embedding").alias("v")), "id").join(F.broadcast(query_vectors), "query_id")
+        v = h.where("not repeat and stage is null").join(vectors.select("id", F.col("embedding").alias("v")), "id").join(F.broadcast(query_vectors), "query_id")
         chosen = s.mmr(v.select("query_id", "id", "score", "v", "q"), cfg.top_k).select("query_id", "id", F.col("place").alias("_mmr"))
         h = h.join(chosen, ["query_id", "id"], "left")
-        h = placed(h, F.asc_nulls_last("_mmr"), *_by()).drop("_mmr")
+        h = placed(h, F.asc("stage"), F.asc("repeat"), F.asc_nulls_last("_mmr"), *_by()).drop("_mmr")
     else:
-        h = placed(h)
-    h = h.where(F.col("place") <= cfg.top_k)
+        h = placed(h, F.asc("stage"), F.asc("repeat"), *_by())
+    h = h.drop("stage", "repeat").where(F.col("place") <= cfg.top_k)
     h = kept(untied(kept(guarded(h))))
     # where the guard was within reach, evidence comes first
     late = [F.when(F.col("guard"), F.col("artefact").cast("int")), F.when(F.col("guard"), -F.col("score")), F.when(F.col("guard"), -F.col("modified_s")), F.when(~F.col("guard"), F.col("place")), F.col("id")]

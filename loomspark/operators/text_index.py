@@ -66,7 +66,7 @@ def read_index(spark: SparkSession, path: str) -> TextIndex:
 
 def index_once(rows: DataFrame, name: str, sources: list[str]) -> TextIndex:
     """The index of rows (doc_id, w), which are made of the files of sources: built once for their present state, by whichever query asks first."""
-    return read_index(rows.sparkSession, once(rows.sparkSession, f"text-{name}", sources, lambda path: write_index(rows, path)))
+    return read_index(rows.sparkSession, once(rows, f"text-{name}", sources, lambda path: write_index(rows, path)))
 
 
 def question_terms(index: TextIndex, queries: DataFrame) -> DataFrame:

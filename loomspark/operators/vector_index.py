@@ -96,7 +96,7 @@ def read_index(spark: SparkSession, path: str) -> VectorIndex:
 
 
 def index_once(vectors: DataFrame, name: str, sources: list[str], keep: tuple[str, ...] = (), lists: int | None = None) -> VectorIndex:
-    return read_index(vectors.sparkSession, once(vectors.sparkSession, f"vectors-{name}", sources, lambda p: write_index(vectors, p, keep, lists)))
+    return read_index(vectors.sparkSession, once(vectors, f"vectors-{name}", sources, lambda p: write_index(vectors, p, keep, lists)))
 
 
 def nearest(index: VectorIndex, vectors: DataFrame, queries: DataFrame, k: int, probes: int, refine: int = 10, where: Column | None = None) -> DataFrame:

@@ -22,8 +22,9 @@ STRIDE = 1 << 22
 
 def chunks(spark, sf) -> DataFrame:
     """The catalogue's chunks, made once and read by all queries."""
-    path = once(spark, "chunks", [f"{sf}/documents.parquet"], lambda at: _chunks(spark, sf).write.option("compression", "zstd").parquet(at))
-    return spark.read.schema(_chunks(spark, sf).schema).parquet(path)
+    made = _chunks(spark, sf)
+    path = once(made, "chunks", [f"{sf}/documents.parquet"], lambda at: made.write.option("compression", "zstd").parquet(at))
+    return spark.read.schema(made.schema).parquet(path)
 
 
 def chunk_index(spark, sf) -> ti.TextIndex:
@@ -68,17 +69,18 @@ def has(tokens: str, words: tuple[str, ...]) -> str:
     return f"list_has_any({tokens}, {arr(words)})"
 
 
+TOKENS_ = "tokens"
 TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
 _MINUS = "list_filter(tokens, lambda x: NOT list_contains({0}, x) AND {1})"
 TRAITS = f"""t0 AS (SELECT query_id, text, list_distinct({TOK.format('text')}) AS tokens, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.:/-]*') AS w, {ascii_sql('text')} AS raw FROM {fx.ASKED}),
 t1 AS (SELECT query_id, text, tokens, {_MINUS.format(arr(r.STOPWORDS), "(length(x) >= 3 OR x = 'cv')")} AS content, {_MINUS.format(arr((*r.STOPWORDS, *r.FACTS, *r.PERSONS, *r.NO_ENTITY)), 'length(x) >= 3')} AS entities,
  regexp_matches(text, '[''"][^''"]{{3,}}[''"]') OR len(list_filter(w, lambda x: regexp_matches(x, '^[0-9]{{4,}}$'))) > 0 OR ({has('w', r.STRONG_ANCHORS)} AND NOT {has('w', r.PRONOUNS)}) OR regexp_matches(raw, '\\b[a-z]{{2,}}''s\\b') OR regexp_matches(raw, '\\b[a-z0-9]+-[a-z0-9]+\\b')
-  OR (NOT {has('w', r.PRONOUNS)} AND len(list_filter(w, lambda x: regexp_matches(x, '^[a-z]{{7,}}$'))) >= 2) AS anchored,
+  OR (NOT {has('w', r.PRONOUNS)} AND len(list_filter(w, lambda x: regexp_matches(x, '^[a-z]{{7,}}$'))) >= 2) AS anchored, nullif(regexp_extract(raw, {q(r.YEAR)}, 1), '') AS year,
  ({has('tokens', r.DISCOVERY_OBJECT)} AND {has('tokens', r.DISCOVERY_INTENT)}) OR ({has('tokens', ('which', 'what', 'where'))} AND {has('tokens', r.FILE_LIKE)}) AS discovery, {has('tokens', r.FACTS)} AND {has('tokens', r.PERSONS)} AS profile FROM t0),
 tr AS (SELECT *, NOT discovery AND (contains(text, '?') OR {has('tokens', r.CONTENT_CUES)}) AS question, {has('tokens', r.CANONICAL)} AND (anchored OR {has('tokens', r.PRONOUNS)}) AS canonical, profile AND list_contains(tokens, 'when') AS when_, profile AND list_contains(tokens, 'where') AS where_,
- {has('content', r.OUT_OF_CORPUS)} AS abroad, {has('content', r.RECENT)} AS recent, {has('content', r.DOMAIN)} AS home, {has('tokens', r.FINANCIAL)} AS financial FROM t1)"""
+ {has('content', r.OUT_OF_CORPUS)} AS abroad, {has('content', r.RECENT)} AS recent, {has('content', r.DOMAIN)} AS home, {has('tokens', r.FINANCIAL)} AS financial, CASE {' '.join(f'WHEN {has(TOKENS_, w)} THEN {q(n)}' for n, w in r.CONCEPTS)} END AS concept FROM t1)"""
 VARIANTS = f"""va AS (SELECT query_id, 0 AS variant, 1.0::DOUBLE AS weight, text FROM tr UNION ALL SELECT query_id, 1, {PLAIN.rewrite_weight}::DOUBLE, short FROM (SELECT query_id, text, array_to_string(list_filter({TOK.format('text')}, lambda x: list_contains(content, x)), ' ') AS short FROM tr WHERE NOT anchored) WHERE short <> '' AND short <> lower(text))"""
-CHUNKS = f"(SELECT doc_id * {STRIDE} + at_ // {STEP} AS id, doc_id, CAST(at_ // {STEP} AS BIGINT) AS chunk_index, substring(text, at_ + 1, {SIZE}) AS text, path, filename, checksum, modified_s, doc_type, person_name, authority_rank FROM (SELECT *, unnest(range(0, greatest(length(text) - 1, 0) + 1, {STEP})) AS at_ FROM {fx.CATALOG} WHERE text IS NOT NULL))"
+CHUNKS = f"(SELECT doc_id * {STRIDE} + at_ // {STEP} AS id, doc_id, CAST(at_ // {STEP} AS BIGINT) AS chunk_index, substring(text, at_ + 1, {SIZE}) AS text, path, filename, checksum, modified_s, doc_type, person_name, authority_rank, record_type FROM (SELECT *, unnest(range(0, greatest(length(text) - 1, 0) + 1, {STEP})) AS at_ FROM {fx.CATALOG} WHERE text IS NOT NULL))"
 
 
 def _field(name: str, boost: float) -> str:
@@ -135,11 +137,21 @@ def _untie(out: str, src: str) -> str:
 {out} AS (SELECT * EXCLUDE (new_score) REPLACE (CASE WHEN score > new_score THEN new_score ELSE score END AS score) FROM {src} LEFT JOIN {out}_2 USING (query_id, id))"""
 
 
+_SIGNS = " ".join("WHEN " + " OR ".join([f"contains(lower(path), {q(w)})" for w in p] + [f"contains(lower(text), {q(w)})" for w in t]) + f" THEN {q(n)}" for n, p, t in r.FAMILY_SIGNS)
+_FAMILY = f"CASE lower(trim(coalesce(doc_type, ''))) {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in r.TYPE_FAMILY.items())} ELSE CASE {_SIGNS} ELSE 'archive_misc' END END"
+_FITS = f"CASE concept {' '.join(f'WHEN {q(n)} THEN {has("w", w)}' for n, w in r.CONCEPT_TERMS.items())} ELSE true END"
+_STRICT = max(PLAIN.top_k - PLAIN.finance_residual, 1)
+GATE = f"""g0 AS (SELECT c4.*, c.text AS text, list_concat({TOK.format('c.text')}, {TOK.format("coalesce(c4.record_type, '')")}) AS w FROM c4 JOIN ch c USING (id) WHERE financial),
+g1 AS (SELECT *, CASE WHEN p AND y AND f THEN 0 WHEN y AND f THEN 1 WHEN p AND f THEN 2 ELSE 3 END AS stage FROM (SELECT *, family IN ({', '.join(map(q, r.PREFERRED))}) AS p, year IS NULL OR list_contains(regexp_extract_all({ascii_sql('text')}, {q(r.YEAR)}, 1), year) OR CAST(year(to_timestamp(modified_s)) AS VARCHAR) = year AS y, {_FITS} AS f
+ FROM (SELECT *, {_FAMILY} AS family FROM g0) WHERE family NOT IN ({', '.join(map(q, r.SUPPRESSED))}))),
+g2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, stage = 0 ORDER BY stage, score DESC, modified_s DESC, id) AS n, least(count(*) FILTER (WHERE stage = 0) OVER (PARTITION BY query_id), {PLAIN.top_k}) AS fit FROM g1),
+g3 AS (SELECT *, NULL AS stage FROM c4 WHERE NOT financial UNION ALL SELECT * EXCLUDE (text, w, family, p, y, f, n, fit) FROM g2 WHERE CASE WHEN stage = 0 THEN n <= {PLAIN.top_k} ELSE (stage = 1 OR fit < {_STRICT}) AND n <= least({PLAIN.top_k} - fit, {PLAIN.finance_residual}) END)"""
 COLLAPSED = f"""c1 AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, checksum {BY}) AS n FROM h8) WHERE checksum IS NULL OR n = 1),
 c2 AS (SELECT *, CASE WHEN doc_type IN ({', '.join(map(q, r.CV_TYPES))}) THEN nullif(trim(lower(person_name)), '') END AS family FROM c1),
 c3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, family ORDER BY modified_s DESC, score DESC, id) = 1 AND max(score) OVER (PARTITION BY query_id, family) - score <= 0.10::DOUBLE AS pick FROM c2),
 c4 AS (SELECT * EXCLUDE (family, pick, n) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, family ORDER BY CAST(pick AS INT) DESC, score DESC, modified_s DESC, id) AS n FROM c3) WHERE family IS NULL OR n = 1),
-k0 AS (SELECT * EXCLUDE (guard) FROM (SELECT *, row_number() OVER (PARTITION BY query_id {BY}) AS place FROM c4) WHERE place <= {PLAIN.top_k})"""
+{GATE},
+k0 AS (SELECT * EXCLUDE (guard, stage) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY stage, score DESC, modified_s DESC, id) AS place FROM g3) WHERE place <= {PLAIN.top_k})"""
 
 
 _LETTERS = "regexp_replace({}, '[^\\x00-\\x7F]', 'z', 'g')"
@@ -174,7 +186,7 @@ CANDIDATES = ",\n".join(["WITH ch AS MATERIALIZED " + CHUNKS, TRAITS, VARIANTS,
 RETRIEVED = ",\n".join([CANDIDATES, BOOSTED, _guard("h7", "h6"), _untie("h8", "h7"), COLLAPSED, _guard("k1", "k0"), _untie("k2", "k1"), FINAL])
 
 
-@query("query_traits", f"WITH {TRAITS} SELECT query_id, array_to_string(list_sort(content), ' ') AS content, array_to_string(list_sort(entities), ' ') AS entities, anchored, discovery, question, canonical, profile, when_, where_, abroad, recent, home, financial FROM tr")
+@query("query_traits", f"WITH {TRAITS} SELECT query_id, array_to_string(list_sort(content), ' ') AS content, array_to_string(list_sort(entities), ' ') AS entities, anchored, discovery, question, canonical, profile, when_, where_, abroad, recent, home, financial, year, concept FROM tr")
 def _(spark, sf):
     t = r.traits(fx.asked(spark, sf)).drop("text", "tokens")
     return t.withColumn("content", F.array_join(F.array_sort("content"), " ")).withColumn("entities", F.array_join(F.array_sort("entities"), " "))
@@ -202,6 +214,14 @@ def _(spark, sf):
     return r.retrieve(*inputs(spark, sf), PLAIN, chunk_index(spark, sf)).withColumn("score", F.round("score", 6))
 
 
+@query("finance_gate_hits", f"{RETRIEVED} SELECT query_id, id, stage FROM g3 WHERE financial")
+def _(spark, sf):
+    c = chunks(spark, sf)
+    h = r.candidates(c, *inputs(spark, sf)[1:], PLAIN, chunk_index(spark, sf))[1]
+    h = r.kept(r.collapsed(r.untied(r.kept(r.guarded(r.suppressed(r.rescued(r.boosted(h))))))))
+    return r.gated(h, c, PLAIN).where("financial").select("query_id", "id", "stage")
+
+
 @query("retrieve_full")
 def _(spark, sf):
     return r.retrieve(*inputs(spark, sf), index=chunk_index(spark, sf)).withColumn("score", F.round("score", 6))

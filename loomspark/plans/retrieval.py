@@ -248,7 +248,7 @@ def _(spark, sf):
 
 #: Vectors of this data are almost at random: as near as this counts as near.
 NEAR, BUDGET, LEAST = 0.3, 1200, 3
-_X = f"""{e2e.CANDIDATES.replace("WITH ch", "WITH RECURSIVE ch", 1)}, x AS (SELECT h1.query_id, h1.id, round(h1.score, 9) AS score, u AS v, greatest(1, CAST(length(c.text) // 4 AS BIGINT)) AS tokens FROM h1 JOIN ve ON ve.vec_id * 1000 = h1.id JOIN ch c ON c.id = h1.id),
+_X = f"""{e2e.CANDIDATES.replace("WITH ch", "WITH RECURSIVE ch", 1)}, x AS (SELECT h1.query_id, h1.id, round(h1.score, 9) AS score, u AS v, greatest(1, CAST(length(c.text) // 4 AS BIGINT)) AS tokens FROM h1 JOIN ve ON ve.vec_id * {e2e.STRIDE} = h1.id JOIN ch c ON c.id = h1.id),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM x)"""
 _LAST = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC) AS l FROM f) WHERE l = 1"
 
@@ -256,7 +256,7 @@ _LAST = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC) AS
 def _pool(spark, sf):
     """The fused hits that have a vector: a question has two channels' first hits at most."""
     c, v, asked, qv = e2e.inputs(spark, sf)
-    h = r.candidates(c, v, asked, qv, e2e.PLAIN)[1].select("query_id", "id", F.round("score", 9).alias("score"))
+    h = r.candidates(c, v, asked, qv, e2e.PLAIN, e2e.chunk_index(spark, sf))[1].select("query_id", "id", F.round("score", 9).alias("score"))
     tokens = c.select("id", F.greatest(F.lit(1), F.expr("cast(length(text) div 4 as bigint)")).alias("n_tokens"))
     return h.join(v.select("id", F.col("embedding").alias("v")), "id").join(tokens, "id").join(s.small(qv), "query_id")
 

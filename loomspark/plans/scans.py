@@ -97,9 +97,9 @@ def _(spark, sf):
     return a.join(s.small(wanted), "asked").select("asked", "path", (F.col("path") == F.col("asked")).alias("is_canonical"))
 
 
-@query("multi_get", f"SELECT id, sha256(text) AS text FROM {e2e.CHUNKS} WHERE id IN (SELECT vec_id * 1000 FROM embeddings WHERE vec_id % 50 = 0)")
+@query("multi_get", f"SELECT id, sha256(text) AS text FROM {e2e.CHUNKS} WHERE id IN (SELECT vec_id * {e2e.STRIDE} FROM embeddings WHERE vec_id % 50 = 0)")
 def _(spark, sf):
-    ids = fx.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select((F.col("vec_id") * 1000).alias("id"))
+    ids = fx.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select((F.col("vec_id") * e2e.STRIDE).alias("id"))
     return e2e.chunks(spark, sf).join(s.small(ids), "id", "left_semi").select("id", F.sha2("text", 256).alias("text"))
 
 

@@ -99,13 +99,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     person = F.when(d % 3 == 0, F.concat(F.lit("person"), (d * 7 % 5).cast("string")))
     return fulltext(spark, sf_dir).select(
         "doc_id", "text", "checksum", "modified_s", F.concat(F.lit("/corpus/"), "source", F.lit("/"), stem, F.lit("_"), d.cast("string"), F.lit("."), "ext").alias("path"), F.concat(stem, F.lit("_"), d.cast("string"), F.lit("."), "ext").alias("filename"),
-        F.when(d % 3 == 0, F.lit("cv")).when(d % 3 == 1, F.lit("other")).otherwise(F.lit("invoice")).alias("doc_type"), person.alias("person_name"), (d % 7 / 4.0 - 0.25).alias("authority_rank"),
+        F.when(d % 3 == 0, F.lit("cv")).when(d % 3 == 1, F.when(d % 4 == 0, F.lit("letter")).otherwise(F.lit("other"))).otherwise(F.lit("invoice")).alias("doc_type"), person.alias("person_name"), (d % 7 / 4.0 - 0.25).alias("authority_rank"),
+        F.when(d % 2 == 0, F.lit("expense")).when(d % 5 == 1, F.lit("payment")).alias("record_type"),
     )
 
 
 # The first parts of the catalogue's file names, and what questions are led in by.
 CATALOG_STEMS = ("cv", "report", "file_list", "invoice", "paper_overview", "course", "drive_inventory", "contract", "summary")
-LEAD_INS = ("", "what is in the report on ", "which cv tells of ", "when and where did the person of this cv study ", "bitcoin price today ", "file list of ", "\"contract\" 2024 ")
+LEAD_INS = ("", "what is in the report on ", "which cv tells of ", "when and where did the person of this cv study ", "bitcoin price today ", "file list of ", "\"contract\" 2024 ", "which invoices of 2024 were paid for ", "tax payments of 2023 on ")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +138,6 @@ RECORDS = """(SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS lin
  CASE l_returnflag WHEN 'R' THEN 'refund' WHEN 'A' THEN 'payment' ELSE 'expense' END AS record_type, l_quantity / 50.0::DOUBLE AS confidence
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 PAPERS = f"(SELECT doc_id, path, text FROM {FULLTEXT} UNION ALL SELECT -doc_id, path, text FROM {STATEMENTS})"
-CATALOG = f"""(SELECT doc_id, text, checksum, modified_s, '/corpus/' || source || '/' || stem || '_' || doc_id || '.' || ext AS path, stem || '_' || doc_id || '.' || ext AS filename, CASE doc_id % 3 WHEN 0 THEN 'cv' WHEN 1 THEN 'other' ELSE 'invoice' END AS doc_type,
- CASE WHEN doc_id % 3 = 0 THEN 'person' || (doc_id * 7 % 5) END AS person_name, (doc_id % 7) / 4.0::DOUBLE - 0.25::DOUBLE AS authority_rank FROM (SELECT *, {_pick(CATALOG_STEMS, f'doc_id % {len(CATALOG_STEMS)}')} AS stem FROM {FULLTEXT}))"""
+CATALOG = f"""(SELECT doc_id, text, checksum, modified_s, '/corpus/' || source || '/' || stem || '_' || doc_id || '.' || ext AS path, stem || '_' || doc_id || '.' || ext AS filename, CASE doc_id % 3 WHEN 0 THEN 'cv' WHEN 1 THEN CASE WHEN doc_id % 4 = 0 THEN 'letter' ELSE 'other' END ELSE 'invoice' END AS doc_type,
+ CASE WHEN doc_id % 3 = 0 THEN 'person' || (doc_id * 7 % 5) END AS person_name, (doc_id % 7) / 4.0::DOUBLE - 0.25::DOUBLE AS authority_rank, CASE WHEN doc_id % 2 = 0 THEN 'expense' WHEN doc_id % 5 = 1 THEN 'payment' END AS record_type FROM (SELECT *, {_pick(CATALOG_STEMS, f'doc_id % {len(CATALOG_STEMS)}')} AS stem FROM {FULLTEXT}))"""
 ASKED = f"(SELECT item_id AS query_id, {_pick(LEAD_INS, f'item_id % {len(LEAD_INS)}')} || text AS text FROM benchmark)"
