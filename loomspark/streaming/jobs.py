@@ -34,8 +34,8 @@ def once(df: DataFrame, name: str, sources: list[str], make: Callable[[str], Non
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    # numbers of columns differ from session to session
-    plan = re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().analyzed().toString())
+    # numbers of columns and of lambdas' variables differ from call to call
+    plan = re.sub(r"(_\d+)?#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().analyzed().toString())
     seen = hashlib.md5(f"{plan}{df.schema.json()}".encode())
     for source in sources:
         found, files = at(source).getFileSystem(conf).listFiles(at(source), True), []
