@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,26 @@ def inputs(spark, sf) -> tuple[DataFrame, ...]:
     return chunks(spark, sf), vectors(spark, sf), fx.asked(spark, sf), question_vectors(spark, sf)
 
 
+_RULES = "".join(inspect.getsource(m) for m in (r, s, ti))
+
+
+def _once(spark, sf, name: str, make) -> DataFrame:
+    """What make() gives of the questions and the corpus, made once for the present rules of retrieval and read by the queries on it."""
+    sources = [f"{sf}/{t}.parquet" for t in ("documents", "benchmark", "embeddings")]
+    return spark.read.parquet(once(_chunks(spark, sf), name, sources, lambda at: make().write.parquet(at), f"{_RULES}{PLAIN}{fx.LEAD_INS}"))
+
+
+def found(spark, sf) -> DataFrame:
+    """The questions' candidates."""
+    return _once(spark, sf, "found", lambda: r.candidates(*inputs(spark, sf), PLAIN, chunk_index(spark, sf))[1])
+
+
+def retrieved(spark, sf) -> DataFrame:
+    """The questions' hits."""
+    c, v, asked, qv = inputs(spark, sf)
+    return _once(spark, sf, "retrieved", lambda: r.answered(r.traits(asked), found(spark, sf), c, v, qv, PLAIN))
+
+
 # --- the same as SQL, step by step ---
 
 def arr(words: tuple[str, ...]) -> str:
@@ -217,7 +239,7 @@ def _(spark, sf):
 @query("finance_gate_hits", f"{RETRIEVED} SELECT query_id, id, stage FROM g3 WHERE financial")
 def _(spark, sf):
     c = chunks(spark, sf)
-    h = r.candidates(c, *inputs(spark, sf)[1:], PLAIN, chunk_index(spark, sf))[1]
+    h = found(spark, sf)
     h = r.kept(r.collapsed(r.untied(r.kept(r.guarded(r.suppressed(r.rescued(r.boosted(h))))))))
     return r.gated(h, c, PLAIN).where("financial").select("query_id", "id", "stage")
 
@@ -233,8 +255,7 @@ _ANSWERS = f"""{RETRIEVED}, an AS (SELECT o4.*, c.text, c.filename, c.path FROM
 
 
 def answers(spark, sf) -> DataFrame:
-    c = chunks(spark, sf)
-    return r.retrieve(c, *inputs(spark, sf)[1:], PLAIN, chunk_index(spark, sf)).join(c.select("id", "text", "filename", "path"), "id")
+    return retrieved(spark, sf).join(chunks(spark, sf).select("id", "text", "filename", "path"), "id")
 
 
 @query("answer_context", f"{_ANSWERS} SELECT query_id, string_agg('[' || rank || '] ' || filename || ': ' || substring(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n, string_agg(DISTINCT filename, ', ' ORDER BY filename) AS sources FROM an GROUP BY query_id")
@@ -248,14 +269,13 @@ def _(spark, sf):
 
 @query("sibling_expand", f"{RETRIEVED} SELECT query_id, id, rank, round(score, 6) AS score FROM o4 WHERE found_by = 'sibling'")
 def _(spark, sf):
-    return r.retrieve(*inputs(spark, sf), PLAIN, chunk_index(spark, sf)).where("found_by = 'sibling'").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return retrieved(spark, sf).where("found_by = 'sibling'").select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("abstentions", f"{RETRIEVED} SELECT query_id, recent FROM gone JOIN tr USING (query_id)")
 def _(spark, sf):
-    c, v, asked, qv = inputs(spark, sf)
-    qs = r.traits(asked)
-    kept = r.retrieve(c, v, asked, qv, PLAIN, chunk_index(spark, sf)).select("query_id").distinct()
+    qs = r.traits(fx.asked(spark, sf))
+    kept = retrieved(spark, sf).select("query_id").distinct()
     return qs.where("abroad and not home").join(kept, "query_id", "left_anti").select("query_id", "recent")
 
 
@@ -265,5 +285,5 @@ def _(spark, sf):
     # the expected document holds the item's whole text
     items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
     ex = ti.holding(document_index(spark, sf), fx.table(spark, sf, "documents"), items).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
-    got = r.retrieve(*inputs(spark, sf), PLAIN, chunk_index(spark, sf)).select("query_id", F.expr(f"id div {STRIDE}").alias("doc_id"), "rank")
+    got = retrieved(spark, sf).select("query_id", F.expr(f"id div {STRIDE}").alias("doc_id"), "rank")
     return ex.join(got, ["query_id", "doc_id"], "left").groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank")).withColumn("reciprocal", F.round(F.coalesce(1.0 / F.col("rank"), F.lit(0.0)), 6))

@@ -10,7 +10,7 @@ from ..operators import search as s
 from ..operators import text_index as ti
 from ..sources import fixtures as fx
 from . import endtoend as e2e
-from .endtoend import PLAIN, RETRIEVED, TOK, arr
+from .endtoend import RETRIEVED, TOK, arr
 from .registry import query
 from .retrieval import FUSED, _hits
 
@@ -30,14 +30,12 @@ def holders(spark, sf) -> DataFrame:
 
 def rows(spark, sf) -> DataFrame:
     """A row a question: mode, expected document (the least that holds the item), its rank, the first rank of any supporting document, the first hit's document, the expected's rank among all candidates, and the residual bucket."""
-    c, v, asked, qv = e2e.inputs(spark, sf)
     support = holders(spark, sf)
     expected = support.groupBy("query_id").agg(F.min("doc_id").alias("expected"))
-    traits, found = r.candidates(c, v, asked, qv, PLAIN, e2e.chunk_index(spark, sf))
     doc_id = F.expr(f"id div {e2e.STRIDE}").alias("doc_id")
-    got = r.answered(traits, found, c, v, qv, PLAIN).select("query_id", doc_id, "rank")
+    got = e2e.retrieved(spark, sf).select("query_id", doc_id, "rank")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("modified_s"), "id"))
-    pool = found.select("query_id", doc_id, place.alias("place"))
+    pool = e2e.found(spark, sf).select("query_id", doc_id, place.alias("place"))
     per = got.join(support.withColumn("s", F.lit(1)), ["query_id", "doc_id"], "left").join(expected, "query_id", "left")
     per = per.groupBy("query_id").agg(F.min(F.when(F.col("doc_id") == F.col("expected"), F.col("rank"))).alias("rank"), F.min(F.when(F.col("s") == 1, F.col("rank"))).alias("support_rank"), F.min(F.when(F.col("rank") == 1, F.col("doc_id"))).alias("top1"))
     near = pool.join(expected, "query_id").where("doc_id = expected").groupBy("query_id").agg(F.min("place").cast("long").alias("pool_rank"))

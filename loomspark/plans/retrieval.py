@@ -256,7 +256,7 @@ _LAST = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC) AS
 def _pool(spark, sf):
     """The fused hits that have a vector: a question has two channels' first hits at most."""
     c, v, asked, qv = e2e.inputs(spark, sf)
-    h = r.candidates(c, v, asked, qv, e2e.PLAIN, e2e.chunk_index(spark, sf))[1].select("query_id", "id", F.round("score", 9).alias("score"))
+    h = e2e.found(spark, sf).select("query_id", "id", F.round("score", 9).alias("score"))
     tokens = c.select("id", F.greatest(F.lit(1), F.expr("cast(length(text) div 4 as bigint)")).alias("n_tokens"))
     return h.join(v.select("id", F.col("embedding").alias("v")), "id").join(tokens, "id").join(s.small(qv), "query_id")
 

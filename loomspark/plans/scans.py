@@ -195,11 +195,11 @@ def _(spark, sf):
     return pi.find_paths(path_index(spark, sf), t).join(s.small(t), "term").select("item_id", "term", "path")
 
 
-@query("missing_within_roots", f"SELECT path FROM {INV} WHERE NOT exists_now AND (path = '/corpus/src2' OR starts_with(path, '/corpus/src2/') OR starts_with(path, '/corpus/src3/'))")
+@query("missing_within_roots", f"SELECT path FROM {INV} WHERE NOT exists_now AND (path = '/corpus/src0' OR starts_with(path, '/corpus/src0/') OR starts_with(path, '/corpus/src10/') OR path = '/corpus/src1' OR starts_with(path, '/corpus/src1/'))")
 def _(spark, sf):
     from .sync import _within
 
-    return fx.inventory(spark, sf).where(~F.col("exists_now") & _within(F.col("path"), ("/corpus/src2", "/corpus/src3/"))).select("path")
+    return fx.inventory(spark, sf).where(~F.col("exists_now") & _within(F.col("path"), ("/corpus/src0", "/corpus/src10/", "/corpus/src1"))).select("path")
 
 
 @query("set_algebra", f"WITH a AS (SELECT checksum FROM {FT} WHERE doc_id % 2 = 0), b AS (SELECT checksum FROM {FT} WHERE doc_id % 3 = 0) SELECT 'both' AS kind, count(*) AS n FROM (SELECT checksum FROM a INTERSECT SELECT checksum FROM b) UNION ALL SELECT 'first_only', count(*) FROM (SELECT checksum FROM a EXCEPT ALL SELECT checksum FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT checksum FROM a UNION SELECT checksum FROM b)")

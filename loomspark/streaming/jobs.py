@@ -28,15 +28,15 @@ def folder(spark: SparkSession) -> str:
     return f"{shared(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def once(df: DataFrame, name: str, sources: list[str], make: Callable[[str], None]) -> str:
+def once(df: DataFrame, name: str, sources: list[str], make: Callable[[str], None], rules: str = "") -> str:
     """A folder that make(path) has written of df, whose rows come from the files of sources as they are now: made where it isn't there, else found again, by later
-    sessions too, as long as df's plan and columns are the same. It appears under its name when it is whole, so a failed or a second writer does no harm."""
+    sessions too, as long as df's plan and columns, and rules (what else the content hangs on), are the same. It appears under its name when it is whole, so a failed or a second writer does no harm."""
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     # numbers of columns and of lambdas' variables differ from call to call
     plan = re.sub(r"(_\d+)?#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().analyzed().toString())
-    seen = hashlib.md5(f"{plan}{df.schema.json()}".encode())
+    seen = hashlib.md5(f"{plan}{df.schema.json()}{rules}".encode())
     for source in sources:
         found, files = at(source).getFileSystem(conf).listFiles(at(source), True), []
         while found.hasNext():
