@@ -3,14 +3,15 @@
 1. One pass counts shingles in a hashed table per task and reports the buckets that stand out; these order all shingles from
    rare to common (any order gives the same links; this one keeps passages that many documents share out of prefixes). The same pass
    gives each document's set size and digest: documents with one digest are one class.
-2. Sets that share 80 % share a shingle among the first n - ceil(0.8 n) + 1 of either. Prefix shingles are dealt by value; the classes that share
-   one are named after the smallest of them, their block's centre. Every pair that can link is in one block at least. Members whose
-   counts of shingles in parts of the hash space rule out a link with any other member leave the block: the sum of the
-   cells' lesser counts bounds an overlap from above, so no link is lost.
+2. Sets that share 80 % share a shingle among the first n - ceil(0.8 n) + 1 of either. Prefix shingles are dealt by value, each with its
+   set's size and its place in the set: of two sets' first common shingle, the shorter rest bounds their overlap. Classes that share one
+   and whose sizes and places leave a link possible, directly or by others, are named after the smallest of them, their block's centre.
+   Every pair that can link is in one block at least. Members whose counts of shingles in parts of the hash space rule out a link with
+   any other member leave the block: the sum of the cells' lesser counts bounds an overlap from above, so no link is lost.
 3. Each block is a trie of its sets, common shingles first, so that near copies share paths. A probe goes down with its overlap so
    far and leaves subtrees that can't reach the threshold, or whose sets it is connected with already: only what changes
    connectivity is reported, never all pairs of a group.
-4. Blocks above BLOCK_SETS or BLOCK_SHINGLES are dealt in chunks that all hold the centre; sets that a chunk did not connect with the
+4. Blocks above BLOCK_SETS or BLOCK_SHINGLES lose members in the same way, by every two of their chunks; what is left is dealt in chunks that all hold the centre; sets that a chunk did not connect with the
    centre then probe the other chunks.
 5. Links between classes give connected components.
 
@@ -28,16 +29,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, gram_hashes, map_arrow, read_table, shuffle_partitions, signed, stored, tune, word_hashes, words_of_rows
+from .common import components, gram_hashes, map_arrow, read_table, shuffle_partitions, signed, small, stored, tune, word_hashes, words_of_rows
 
 SHINGLE, PERCENT = 5, 80
 #: Buckets of the table that orders shingles; its reported part goes to the executors (at most 12 bytes a bucket).
-ORDER_BUCKETS = 1 << 20
+ORDER_BUCKETS = 1 << 22
 #: Sets of a block's chunk, and shingles (8 bytes each) in all its sets, on average.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 4_000_000
 #: Least and largest number of parts of the hash space whose counts (a byte each; 255 or more bounds nothing) bound overlaps; a
 #: set has parts for four to eight shingles each.
 CELLS = 64, 1 << 16
+#: Sets of a shared shingle that are compared one by one, by size and place; of more, only gaps between sizes are looked for.
+RUN = 64
+
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word k-grams, A-Z lower-cased; a text of fewer words is one shingle, one without words none."""
@@ -80,7 +84,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([cells(s) for s in sets], pa.binary()), none(len(sets), pa.int32()), none(len(sets), pa.int64())], names=names)
     if waiting:
         counts += np.bincount((np.concatenate(waiting) & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64), minlength=ORDER_BUCKETS)
-    at = np.flatnonzero(counts > 4 * counts.mean() + 8)
+    # chance alone gives a bucket its mean and a few roots of it
+    at = np.flatnonzero(counts > counts.mean() + 4 * counts.mean() ** 0.5 + 8)
     if len(at):
         yield pa.RecordBatch.from_arrays([none(len(at), pa.int64()), none(len(at), pa.int64()), none(len(at), pa.int64()), none(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=names)
 
@@ -203,11 +208,12 @@ def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
 
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of blocks' rows (center, d, n, cells) sorted by center, those that the cells' counts don't keep apart from all others of the block."""
-    def partners(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        n = np.array([r[2] for r in rows])
-        kinds = np.array([len(r[3]) for r in rows])
-        counts = [np.frombuffer(r[3], np.uint8) for r in rows]
+    """Of blocks' rows (center, low, high, d, n, cells, chunks) sorted by the first three, those that the cells' counts don't keep apart from all others with
+    these three: (center, d, chunks)."""
+    def partners(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        n = np.array([r[4] for r in rows])
+        kinds = np.array([len(r[5]) for r in rows])
+        counts = [np.frombuffer(r[5], np.uint8) for r in rows]
         free = np.array([c.max() == 255 for c in counts])
         keep = free.copy()
         if free.any():
@@ -228,27 +234,103 @@ def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                         keep[i] = True
                         keep[fine[near[ok]]] = True
         for i in np.flatnonzero(keep).tolist():
-            yield rows[i][0], rows[i][1]
+            yield rows[i][0], rows[i][3], rows[i][6]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["center", "d", "chunks"])
 
     out, rows, key = [], [], None
     for b in batches:
         for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r[0] != key:
+            if r[:3] != key:
                 out += partners(rows) if len(rows) > 1 else ()
-                rows, key = [], r[0]
+                rows, key = [], r[:3]
             rows.append(r)
         if len(out) > 8192:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["center", "d"])
+            yield batch(out)
             out = []
     out += partners(rows) if len(rows) > 1 else ()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["center", "d"])
+        yield batch(out)
+
+
+def largest_partner(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The largest set that can link with one of n shingles whose first shared shingle is its place-th (from 0): all they share is in what is left."""
+    return (100 + percent) * (n - place) // percent - n
+
+
+def _centres(token: np.ndarray, d: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by (token, n, d), d distinct for a token: each row's centre (a row's number), and whether it can link with another row of its token.
+    Rows i and j of a token can, where n[j] <= most[i] and n[i] <= most[j]. Tokens of more than RUN rows aren't looked at closely."""
+    at = np.arange(len(token))
+    first = np.concatenate([[True], token[1:] != token[:-1]])
+    start = np.maximum.accumulate(np.where(first, at, 0))
+    size = np.diff(np.append(np.flatnonzero(first), len(token)))[np.cumsum(first) - 1]
+    centre, keep = at.copy(), size > RUN
+    centre[keep] = start[keep]
+    rows = np.flatnonzero((size > 1) & ~keep)
+    us, vs = [], []
+    for step in range(1, min(RUN, int(size[rows].max(initial=1)))):
+        rows = rows[rows + step < len(token)]
+        rows = rows[start[rows + step] == start[rows]]
+        pair = rows[(n[rows + step] <= most[rows]) & (n[rows] <= most[rows + step])]
+        us.append(pair)
+        vs.append(pair + step)
+    u, v = (np.concatenate(x) if x else np.zeros(0, int) for x in (us, vs))
+    keep[u] = keep[v] = True
+    while (centre[u] != centre[v]).any():
+        least = np.minimum(centre[u], centre[v])
+        np.minimum.at(centre, u, least)
+        np.minimum.at(centre, v, least)
+    return centre, keep
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(center, d) of rows (token, d, n, most) sorted by (token, n, d): the classes of a shingle that can link, directly or by others, with their centre. Holds a
+    batch at a time, and the last shingle's centre; a shingle that goes beyond a batch is cut only where a size is beyond what any smaller set can link with."""
+    token = centre = last = None
+    top = 0
+    for b in batches:
+        t, d, n, most = (c.to_numpy() for c in b.columns)
+        if not len(t):
+            continue
+        fresh = np.concatenate([[t[0] != token or d[0] != last], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])
+        # of rows of one class and shingle, which are equal, the first one counts
+        t, d, n, most = t[fresh], d[fresh], n[fresh].astype(np.int64), most[fresh].astype(np.int64)
+        if not len(t):
+            continue
+        # what any row so far of the shingle can link with; shingles are kept apart by their number
+        first = np.concatenate([[t[0] != token], t[1:] != t[:-1]])
+        number = np.cumsum(first)
+        reach = np.where(np.arange(len(t)) == 0, np.maximum(most, 0 if first[0] else top), np.maximum(most, 0)) + (number << 40)
+        reach = np.maximum.accumulate(reach) - (number << 40)
+        begins = first.copy()
+        begins[1:] |= n[1:] > reach[:-1]
+        if not first[0]:
+            begins[0] = n[0] > top
+        run = np.cumsum(begins)
+        # a run that other batches hold a part of goes as it is
+        open_ = (number == number[-1]) | ((number == number[0]) & (not first[0]))
+        c, keep = np.zeros(len(t), np.int64), np.zeros(len(t), bool)
+        inner = np.flatnonzero(~open_)
+        if len(inner):
+            at, ok = _centres(run[inner], d[inner], n[inner], most[inner])
+            c[inner], keep[inner] = d[inner][at], ok
+        start = np.maximum.accumulate(np.where(begins, np.arange(len(t)), -1))
+        whole = np.where(start >= 0, d[np.maximum(start, 0)], centre if centre is not None else 0)
+        c[open_], keep[open_] = whole[open_], True
+        pick = keep & (d != c)
+        if pick.any():
+            pairs = np.unique(np.stack([c[pick], d[pick]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["center", "d"])
+        token, centre, last, top = t[-1], whole[-1], d[-1], int(reach[-1])
 
 
 def _joined(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """blocks (center, chunk, d, probe, doc_id) with texts, each chunk in one task."""
     n = shuffle_partitions(blocks.sparkSession)
-    rows = texts.join(blocks, "doc_id").select("center", "chunk", "d", "probe", "text")
+    # most texts are in no block: where the blocks' rows are few enough, only those that are meet a shuffle
+    rows = texts.join(small(blocks), "doc_id").select("center", "chunk", "d", "probe", "text")
     dealt = rows.repartition(n, "center", "chunk").sortWithinPartitions("center", "chunk")
     return map_arrow(dealt, lambda batches: _block_links(batches, percent), "center long, chunk int, d long, root long")
 
@@ -272,36 +354,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = B
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, owners = [], []
+            tokens, owners, sizes, most = [], [], [], []
             for s in shingle_sets(b.column(0)):
                 if len(s):
                     p = ordered(s, sent.value)[: prefix_size(len(s), percent)]
                     tokens.append(p)
                     owners.append(np.full(len(p), digest(s), np.int64))
+                    sizes.append(np.full(len(p), len(s), np.int32))
+                    most.append(largest_partner(len(s), np.arange(len(p)), percent))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(owners))], names=["token", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(most).astype(np.int32))], names=["token", "d", "n", "most"])
 
     n = shuffle_partitions(spark)
-    dealt = map_arrow(base.select("text"), prefixes, "token long, d long").repartition(n, "token").sortWithinPartitions("token", "d")
+    dealt = map_arrow(base.select("text"), prefixes, "token long, d long, n int, most int").repartition(n, "token").sortWithinPartitions("token", "n", "d")
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(center, d) for each class of a shingle that two classes or more share. Holds a batch at a time, and the last shingle's centre."""
-        token = centre = last = None
-        for b in batches:
-            t, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(t):
-                continue
-            new = np.concatenate([[token is None or t[0] != token], t[1:] != t[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-            c = np.where(start >= 0, d[np.maximum(start, 0)], centre if centre is not None else 0)
-            fresh = np.concatenate([[new[0] or d[0] != last], new[1:] | (d[1:] != d[:-1])])
-            pick = fresh & (d != c)
-            if pick.any():
-                pairs = np.unique(np.stack([c[pick], d[pick]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["center", "d"])
-            token, centre, last = t[-1], c[-1], d[-1]
-
-    pairs = dealt.mapInArrow(groups, "center long, d long").groupBy("center", "d").agg(F.lit(1).alias("one")).drop("one")
+    pairs = dealt.mapInArrow(_blocks_of, "center long, d long").groupBy("center", "d").agg(F.lit(1).alias("one")).drop("one")
     pairs = stored(pairs, "pairs")
     # one document stands for its class
     classes = stored(sets.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells")), "classes")
@@ -311,12 +378,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_sets: int = B
     rows = rows.join(sizes, "center")
     chunks = F.greatest(F.ceil(F.col("members") / F.lit(block_sets)), F.ceil(F.col("shingles") / F.lit(block_shingles)), F.lit(1)).cast("int")
     rows = rows.withColumn("chunks", chunks)
-    # blocks of one chunk lose the members that the bound keeps apart; larger ones go on whole
-    few = rows.where("chunks = 1").select("center", "d").join(classes, "d").select("center", "d", "n", "cells").repartition(n, "center").sortWithinPartitions("center")
-    few = few.mapInArrow(lambda batches: _possible(batches, percent), "center long, d long").withColumn("chunks", F.lit(1)).withColumn("chunk", F.lit(0))
-    many = rows.where("chunks > 1")
+    # members that the bound keeps apart from all others leave; the rows of a block of several chunks meet in every two of these, as cells and not as texts
+    at, other = F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int"), F.col("other")
+    met = rows.select("center", "d", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select("center", "d", "chunks", F.least(at, other).alias("low"), F.greatest(at, other).alias("high"))
+    met = met.join(classes, "d").select("center", "low", "high", "d", "n", "cells", "chunks").repartition(n, "center", "low", "high").sortWithinPartitions("center", "low", "high")
+    left = stored(met.mapInArrow(lambda batches: _possible(batches, percent), "center long, d long, chunks int"), "possible")
+    few = left.where("chunks = 1").select("center", "d", "chunks", F.lit(0).alias("chunk"))
+    many = left.where("chunks > 1").select("center", "d")
+    many = many.unionByName(many.select("center", F.col("center").alias("d"))).distinct()
+    smaller = stored(many.join(classes.select("d", "n"), "d").groupBy("center").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")), "sizes")
+    many = many.join(smaller.select("center", chunks.alias("chunks")), "center")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    many = many.select("center", "d", "chunks", F.explode(F.when(F.col("d") == F.col("center"), every).otherwise(F.array(F.pmod(F.xxhash64("d"), F.col("chunks")).cast("int")))).alias("chunk"))
+    many = many.select("center", "d", "chunks", F.explode(F.when(F.col("d") == F.col("center"), every).otherwise(F.array(at))).alias("chunk"))
     blocks = stored(few.unionByName(many), "blocks")
     stands = classes.select("d", F.col("least").alias("doc_id"))
     first = stored(_joined(blocks.join(stands, "d").select("center", "chunk", "d", F.lit(False).alias("probe"), "doc_id"), base, percent), "links")
