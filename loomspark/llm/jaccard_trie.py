@@ -428,9 +428,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id: those with the shingles of a document that has one go, and one row of each other class stays; those without shingles all
     stay. They have no links beyond their class."""
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    found = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    # those that go are far fewer than those that stay, so that texts seldom meet a shuffle
+    gone = stored(found.where("not kept").select(F.col("doc_id").alias("_gone_id")), "gone")
     key = docs["doc_id"].cast("long")
-    kept = docs.join(found, key == found["_kept_id"], "left_semi")
+    kept = docs.where(key.isNotNull()).join(small(gone), key == F.col("_gone_id"), "left_anti")
     lone = docs.where(key.isNull())
     if lone.isEmpty():
         return kept

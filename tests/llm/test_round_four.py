@@ -87,3 +87,16 @@ def test_blocks_of_hold_every_possible_pair_over_any_batches(batch):
         for b in rows:
             if a[0] == b[0] and a[1] != b[1] and b[2] <= a[3] and a[2] <= b[3]:
                 assert any(a[1] in m and b[1] in m for m in blocks.values())
+
+
+def test_what_is_kept_of_near_duplicates_is_not_shuffled(spark):
+    texts = ["one two three four five six", "one two three four five six", "seven eight nine ten eleven twelve", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jt.keep_one(docs)
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
