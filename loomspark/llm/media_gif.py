@@ -1,9 +1,9 @@
 """Media columns: GIF. Decodes LZW code streams, applies palettes, disposal and transparency, and stores timed frames.
 
-Encoding exists to store payloads losslessly. By default it writes literal codes with regular clear codes (a valid
-LZW stream of constant width, built with array operations); compress=True builds a dictionary as usual, one byte at a
-time in Python. The decoder reads any GIF87a/GIF89a stream: runs that hold literals only are decoded as arrays, others
-code by code.
+Encoding exists to store payloads losslessly. It builds a dictionary as usual, one byte at a time; compress=False writes
+literal codes with regular clear codes (a valid LZW stream of constant width, built with array operations). The decoder reads
+any GIF87a/GIF89a stream: runs that hold literals only are decoded as arrays, others code by code. How wide a code is hangs only
+on its place after a clear, so that codes are packed and unpacked as arrays.
 """
 
 from __future__ import annotations
@@ -74,46 +74,47 @@ def lzw_literal(samples: np.ndarray) -> bytes:
     return _pack9(np.append(codes, np.uint16(257)))
 
 
+def _widths(min_size: int) -> np.ndarray:
+    """Bits of the code at each place after a clear, up to the place from which on all have twelve."""
+    known = (1 << min_size) + 1 + np.arange(4096)
+    return np.clip(np.frexp(known)[1], min_size + 1, 12).astype(np.int64)
+
+
+#: A clear follows so many codes: the dictionary is full then.
+FULL = 4096 - 258 + 1
+_OWN = np.append(_widths(8)[:FULL], 12)
+
+
 def lzw_compress(samples: np.ndarray) -> bytes:
     """The usual growing dictionary with code widths from 9 to 12 bits."""
-    acc, bits, out, width, table, nxt = 256, 9, bytearray(), 9, {}, 258
-    prefix = -1
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            bits -= 8
-
+    codes: list[int] = []
+    put, table, nxt, prefix = codes.append, {}, 258, -1
+    get = table.get
     for k in samples.tolist():
-        if prefix < 0:
-            prefix = k
-            continue
         key = prefix << 8 | k
-        if key in table:
-            prefix = table[key]
+        known = get(key) if prefix >= 0 else k
+        if known is not None:
+            prefix = known
             continue
         put(prefix)
         if nxt < 4096:
             table[key] = nxt
-            if nxt == 1 << width and width < 12:
-                width += 1
             nxt += 1
         else:
             put(256)
-            table, nxt, width = {}, 258, 9
+            table.clear()
+            nxt = 258
         prefix = k
     if prefix >= 0:
         put(prefix)
-        if nxt < 4096 and nxt == 1 << width and width < 12:
-            width += 1
     put(257)
-    if bits:
-        out.append(acc & 255)
-    return bytes(out)
+    c = np.array(codes, np.int64)
+    at = np.append(9, np.resize(_OWN, len(c))).cumsum()
+    c, start, size = np.append(256, c), np.append(0, at[:-1]), -(-int(at[-1]) // 8)
+    c <<= start & 7
+    # a code is in three bytes at most, and no two codes share a bit
+    out = sum(np.bincount((start >> 3) + i, (c >> (8 * i)) & 255, size + 2) for i in range(3))
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def lzw_decode(data: bytes, min_size: int, n: int) -> np.ndarray:
@@ -130,37 +131,40 @@ def lzw_decode(data: bytes, min_size: int, n: int) -> np.ndarray:
         if len(at) and at[0] == 0 and runs.max() <= 255 and not (codes[:last] > end).any():
             keep = codes[:last]
             return keep[keep < clear].astype(np.uint8)[:n]
-    out, table, width, prev = bytearray(), [], min_size + 1, None
+    raw = np.frombuffer(data + bytes(3), np.uint8).astype(np.int64)
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table = list(base)
-    acc = bits = 0
-    for byte in data:
-        acc |= byte << bits
-        bits += 8
-        while bits >= width:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-            bits -= width
-            if code == clear:
-                table, width, prev = list(base), min_size + 1, None
-                continue
-            if code == end:
-                return np.frombuffer(bytes(out[:n]), np.uint8)
+    out, table, prev, held, at, grown = [], list(base), None, 0, 0, _widths(min_size)
+    widths = grown
+    while held < n:
+        # codes up to the next clear
+        ends = at + np.cumsum(widths)
+        w = widths[: int(np.searchsorted(ends, len(data) * 8, "right"))]
+        start = ends[: len(w)] - w
+        b = start >> 3
+        codes = ((raw[b] | raw[b + 1] << 8 | raw[b + 2] << 16) >> (start & 7)) & ((1 << w) - 1)
+        stop = np.flatnonzero((codes == clear) | (codes == end))
+        last = int(stop[0]) if len(stop) else len(codes)
+        for code in codes[:last].tolist():
             if code < len(table):
                 entry = table[code]
             elif prev is not None and code == len(table):
                 entry = prev + prev[:1]
+            elif sum(map(len, out)) >= n:
+                break
             else:
                 raise ValueError(f"bad code {code}")
-            out += entry
+            out.append(entry)
             if prev is not None and len(table) < 4096:
                 table.append(prev + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
             prev = entry
-            if len(out) >= n:
-                return np.frombuffer(bytes(out[:n]), np.uint8)
-    return np.frombuffer(bytes(out[:n]), np.uint8)
+        held = sum(map(len, out))
+        if not len(codes) or (len(stop) and codes[last] == end):
+            break
+        if len(stop):
+            at, table, prev, widths = int(ends[last]), list(base), None, grown
+        else:
+            at, widths = int(ends[len(w) - 1]), np.full(4096, 12)
+    return np.frombuffer(b"".join(out)[:n], np.uint8)
 
 
 def _blocks(data: bytes) -> bytes:
@@ -177,7 +181,7 @@ def _blocks(data: bytes) -> bytes:
 GREYS = bytes(v for i in range(256) for v in (i, i, i))
 
 
-def encode_payload(payload: bytes, compress: bool = False) -> bytes:
+def encode_payload(payload: bytes, compress: bool = True) -> bytes:
     """A GIF of grey frames, 192 samples wide and up to FRAME_ROWS high, that holds the payload (a multiple of 192 bytes)."""
     px = np.frombuffer(payload, np.uint8)
     rows = len(px) // WIDTH
@@ -289,7 +293,7 @@ def decode_frames(df: DataFrame, media: str = "media", key: str = "doc_id") -> D
 MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, duration_ms long"
 
 
-def media_of_documents(docs: DataFrame, compress: bool = False) -> DataFrame:
+def media_of_documents(docs: DataFrame, compress: bool = True) -> DataFrame:
     """Each document's text as a GIF, written and read back, with digests and features.
 
     Null text is empty; an empty text is one row of 192 blanks. Texts longer than a frame take more frames. Repeated

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from loomspark.llm import jaccard_trie as jt
+from loomspark.llm import media_gif
 
 
 def _counted(monkeypatch):
@@ -100,3 +101,20 @@ def test_what_is_kept_of_near_duplicates_is_not_shuffled(spark):
         assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_documents_are_stored_by_a_growing_dictionary(spark):
+    text = "the same words again and " * 400
+    row = media_gif.media_of_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.payload_bytes >= row.n_bytes == len(text)
+    # literal codes take nine eighths of the payload
+    assert row.media_bytes < row.payload_bytes / 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 254, 255, 256, 257, 766, 767, 768, 1791, 1792, 3838, 3839, 3840, 3841, 20_000])
+def test_widths_and_clears_fit_the_dictionary(n):
+    rng = np.random.default_rng(n)
+    for top in (2, 256):
+        px = rng.integers(0, top, n).astype(np.uint8)
+        data = media_gif.lzw_compress(px)
+        assert media_gif.lzw_decode(data, 8, n).tolist() == px.tolist()
