@@ -21,6 +21,8 @@ from .search import dot, small, unit
 SAMPLE, PARTS, VALUES, ROUNDS = 20_000, 16, 256, 8
 #: Questions of a block: their tables are sent to all tasks (16 kB each).
 BLOCK = 2_000
+#: Vectors, and questions of a list, that are compared at once: what a task holds doesn't grow with the lists or the questions.
+NEAR_ROWS, NEAR_QUESTIONS = 512, 128
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,8 @@ def _fitted(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1) if len(x) else np.zeros(0, int)
+    size = (c * c).sum(1)
+    return np.concatenate([np.zeros(0, int), *[np.argmin(size - 2 * x[a:a + NEAR_ROWS] @ c.T, axis=1) for a in range(0, len(x), NEAR_ROWS)]])
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -121,21 +124,19 @@ def nearest(index: VectorIndex, vectors: DataFrame, queries: DataFrame, k: int,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_list, near, tables, ids = sent.value
+            names = np.array(ids, np.int64)
             for b in batches:
                 at = b.column(0).to_numpy()
                 code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, PARTS)
-                who, what, score = [], [], []
                 for x in np.unique(at).tolist():
-                    here, q = np.flatnonzero(at == x), np.array(by_list.get(x, []), int)
-                    if len(q):
+                    here, all_ = np.flatnonzero(at == x), np.array(by_list.get(x, []), int)
+                    for start in range(0, len(all_), NEAR_QUESTIONS):
+                        q = all_[start:start + NEAR_QUESTIONS]
                         s = near[q, x][:, None] + sum(tables[q, i][:, code[here, i]] for i in range(PARTS))
                         # a batch's best of a list: r a question
                         best = np.argpartition(-s, min(r, s.shape[1]) - 1, axis=1)[:, :r]
-                        who.append(np.repeat(q, best.shape[1]))
-                        what.append(here[best].ravel())
-                        score.append(np.take_along_axis(s, best, 1).ravel())
-                q, row = (np.concatenate(x) if x else np.zeros(0, int) for x in (who, what))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], pa.int64()), b.column(1).take(pa.array(row)), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["query_id", "id", "near"])
+                        row = pa.array(here[best].ravel())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[q], best.shape[1])), b.column(1).take(row), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "id", "near"])
 
         codes = index.codes.where(F.col("list").isin(sorted(by_list)))
         codes = (codes if where is None else codes.where(where)).select("list", "id", "code")

@@ -40,3 +40,21 @@ def test_questions_of_uneven_lengths_meet_every_vector(spark):
     v = _vectors(spark, 20, 1)
     q = v.where("id in (0, 40, 43)").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
     assert s.cosine_first(v, q, 2).count() == 3 * v.count()
+
+
+def test_nearest_centroids_are_found_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from loomspark.operators import vector_index as vi
+
+    rng = np.random.default_rng(1)
+    x, c = rng.normal(size=(20_000, 16)), rng.normal(size=(500, 16))
+    tracemalloc.start()
+    got = vi._nearest(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[::997] == np.argmin(((x[::997, None] - c) ** 2).sum(2), axis=1)).all()
+    # all distances at once are 80 MB
+    assert peak < 20e6
