@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieve as r
 from ..operators import search as s
-from ..operators import text_index as ti
+from ..operators import text_scan as ts
 from ..sources import fixtures as fx
 from . import endtoend as e2e
 from .endtoend import RETRIEVED, TOK, arr
@@ -25,7 +25,7 @@ def items(spark, sf) -> DataFrame:
 
 def holders(spark, sf) -> DataFrame:
     """query_id, doc_id: the documents that hold a benchmark item's whole text."""
-    return ti.holding(e2e.document_index(spark, sf), fx.table(spark, sf, "documents"), items(spark, sf))
+    return r.kept(ts.holding(fx.table(spark, sf, "documents"), items(spark, sf)))
 
 
 def rows(spark, sf) -> DataFrame:
@@ -89,7 +89,7 @@ def family_key(name):
 @query("wrong_winners", f"""{ROWS}, w AS (SELECT top1, CASE WHEN len(f) > 0 THEN array_to_string(f[1:4], '_') ELSE regexp_replace(regexp_replace(lower(regexp_replace(filename, '\\.[^.]*$', '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END AS family FROM (SELECT top1, filename, {_FAMILY} AS f FROM ev JOIN {fx.CATALOG} ON doc_id = top1 WHERE bucket <> 'hit'))
  SELECT 'document' AS kind, CAST(top1 AS VARCHAR) AS name, count(*) AS n, count(*) >= 2 AS repeated FROM w GROUP BY top1 UNION ALL SELECT 'family', family, count(*), count(*) >= 2 FROM w GROUP BY family""")
 def _(spark, sf):
-    w = rows(spark, sf).where("bucket <> 'hit' and top1 is not null").join(fx.catalog(spark, sf).select(F.col("doc_id").alias("top1"), "filename"), "top1")
+    w = s.small(r.kept(rows(spark, sf).where("bucket <> 'hit' and top1 is not null"))).join(fx.catalog(spark, sf).select(F.col("doc_id").alias("top1"), "filename"), "top1")
     each = F.explode(F.array(F.struct(F.lit("document").alias("kind"), F.col("top1").cast("string").alias("name")), F.struct(F.lit("family").alias("kind"), family_key(F.col("filename")).alias("name"))))
     return w.select(each.alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n")).withColumn("repeated", F.col("n") >= 2)
 
@@ -110,6 +110,8 @@ def _(spark, sf):
 # Words that anchor nothing.
 COMMON = ("a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "how", "i", "in", "is", "it", "me", "my", "of", "on", "or", "the", "to", "was", "what", "when", "where", "which", "who", "with", "you")
 SEGMENTS, SLICE, SAMPLE = 80, 8000, 20000
+#: Pairs whose first texts, of SAMPLE characters at most, are sent to all tasks.
+PAIRS = 5000
 
 
 def sampled(text, n: int):
@@ -127,7 +129,7 @@ _ANCHORS = f"list_filter(list_distinct({TOK.format('needle')}), lambda x: length
 @query("anchor_slices", f"""WITH h AS (SELECT b.item_id AS query_id, b.text AS needle, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id, b.text), a AS (SELECT query_id, {_ANCHORS} AS anchors, list_slice(list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: trim(x)), lambda x: x <> '' AND list_has_any({TOK.format('x')}, {_ANCHORS})), 1, {SEGMENTS}) AS segments FROM h JOIN documents USING (doc_id))
  SELECT query_id, len(segments) AS n, round(len(list_filter(anchors, lambda t: list_contains({TOK.format("array_to_string(segments, ' ')")}, t))) / len(anchors)::DOUBLE, 4) AS coverage, sha256({_sample("array_to_string(segments, ' ')", SLICE)}) AS slice FROM a WHERE len(anchors) > 0""")
 def _(spark, sf):
-    h = holders(spark, sf).groupBy("query_id").agg(F.min("doc_id").alias("doc_id")).join(items(spark, sf), "query_id").join(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    h = s.small(holders(spark, sf).groupBy("query_id").agg(F.min("doc_id").alias("doc_id")).join(items(spark, sf), "query_id")).join(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     anchors = F.filter(F.array_distinct(s.tokens(F.col("needle"))), lambda x: (F.length(x) >= 3) & ~x.isin(*COMMON))
     h = h.withColumn("anchors", anchors).where("size(anchors) > 0")
     parts = F.filter(F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: (x != "") & F.arrays_overlap(s.tokens(x), F.col("anchors")))
@@ -138,8 +140,9 @@ def _(spark, sf):
 
 def _pairs(spark, sf) -> DataFrame:
     d = fx.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    p = rows(spark, sf).where("expected is not null and top1 is not null").select("query_id", "expected", "top1", "rank")
-    return p.join(d.select(F.col("doc_id").alias("expected"), sampled(F.col("text"), SAMPLE).alias("a")), "expected").join(d.select(F.col("doc_id").alias("top1"), sampled(F.col("text"), SAMPLE).alias("b")), "top1")
+    p = s.small(r.kept(rows(spark, sf).where("expected is not null and top1 is not null").select("query_id", "expected", "top1", "rank")))
+    p = r.kept(p.join(d.select(F.col("doc_id").alias("expected"), sampled(F.col("text"), SAMPLE).alias("a")), "expected"))
+    return s.small(p, PAIRS).join(d.select(F.col("doc_id").alias("top1"), sampled(F.col("text"), SAMPLE).alias("b")), "top1")
 
 
 def _likeness(p: DataFrame) -> DataFrame:
