@@ -19,11 +19,11 @@ def chunk_profile(kind: Column) -> Column:
     return F.when(kind == "txt", "400/50").when(kind == "pdf", "600/80").otherwise("800/100")
 
 
-def fixed_windows(docs: DataFrame, size: int = 800, step: int = 700) -> DataFrame:
-    """doc_id, chunk_index, chunk, location_percent. A null text has no chunk, an empty one an empty chunk."""
+def fixed_windows(docs: DataFrame, size: int | Column = 800, step: int | Column = 700, *more: str) -> DataFrame:
+    """doc_id, more columns of docs, chunk_index, chunk, location_percent. Sizes and steps may differ by row. A null text has no chunk, an empty one an empty chunk."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step))
-    rows = docs.where("text is not null").select("doc_id", "text", F.size(starts).alias("n"), F.posexplode(starts).alias("chunk_index", "s"))
-    return rows.select("doc_id", F.col("chunk_index").cast("long"), F.expr(f"substring(text, s + 1, {size})").alias("chunk"), F.round(100.0 * F.col("chunk_index") / F.greatest(F.col("n") - 1, F.lit(1)), 6).alias("location_percent"))
+    rows = docs.where("text is not null").select("doc_id", *more, "text", F.lit(size).alias("_size"), F.size(starts).alias("n"), F.posexplode(starts).alias("chunk_index", "s"))
+    return rows.select("doc_id", *more, F.col("chunk_index").cast("long"), F.substring("text", F.col("s") + 1, F.col("_size")).alias("chunk"), F.round(100.0 * F.col("chunk_index") / F.greatest(F.col("n") - 1, F.lit(1)), 6).alias("location_percent"))
 
 
 def split_recursively(text: str, size: int = 800, overlap: int = 100, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:

@@ -122,11 +122,11 @@ def policy(kind, text):
  (SELECT *, unnest(range(0, greatest(length(text) - 1, 0) + 1, step)) AS at_ FROM (SELECT *, {_SIZE} AS size, {_STEP} AS step FROM (SELECT doc_id, text, {_POLICY} AS policy FROM {_TYPED})))""")
 def _(spark, sf):
     d = ru.with_doc_type(fx.papers(spark, sf).where("text is not null and trim(text) <> ''")).withColumn("policy", policy(F.col("doc_type"), F.col("text")))
-    out = None
-    for name, (size, over) in SIZES.items():
-        c = tx.fixed_windows(d.where(F.col("policy") == name), size, size - over).select("doc_id", F.lit(name).alias("policy"), "chunk_index", F.length("chunk").cast("long").alias("n_chars"), "location_percent")
-        out = c if out is None else out.unionByName(c)
-    t = sinks.Table.fresh(out, ["doc_id", "chunk_index"])
+    # papers are classified once, and each is cut by its policy's size
+    by_policy = lambda i: F.coalesce(*[F.when(F.col("policy") == name, F.lit(x[i])) for name, x in SIZES.items()])
+    d = d.withColumns({"size": by_policy(0), "step": by_policy(0) - by_policy(1)})
+    c = tx.fixed_windows(d, F.col("size"), F.col("step"), "policy").select("doc_id", "policy", "chunk_index", F.length("chunk").cast("long").alias("n_chars"), "location_percent")
+    t = sinks.Table.fresh(c, ["doc_id", "chunk_index"])
     return t.read()
 
 
