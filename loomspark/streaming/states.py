@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -26,10 +26,10 @@ class FileStates(StatefulProcessor):
         self.handle = handle
         self.file = handle.getValueState("file", "first_s long, last_s long, checksum string, exists boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         # a scan sees a path once, so a path's rows of a batch are as many as the scans in it
-        seen = sorted(((int(t), c) for f in rows for t, c in zip(f["seen_s"], f["checksum"], strict=True)), key=lambda x: (x[0], x[1] or ""))
-        state = self.file.get() if self.file.exists() else None
+        seen = sorted(((int(f["seen_s"]), f["checksum"]) for f in rows), key=lambda x: (x[0], x[1] or ""))
+        state = self.file.get()
         first, last, checksum, exists = state if state else (None, None, None, False)
         out = []
         for t, c in seen:
@@ -44,16 +44,18 @@ class FileStates(StatefulProcessor):
             elif c != checksum:
                 out.append((t, "changed", c))
             last, checksum, exists = max(t, last or t), c, True
-        for timer in list(self.handle.listTimers()):
+        # a path that wasn't known has no timer
+        for timer in list(self.handle.listTimers()) if state else ():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((last + self.gap_s) * 1000)
         self.file.update((first, last, checksum, exists))
-        yield pd.DataFrame([(key[0], t, kind, c, first) for t, kind, c in out], columns=["path", "at_s", "change", "checksum", "first_s"])
+        for t, kind, c in out:
+            yield Row(path=key[0], at_s=t, change=kind, checksum=c, first_s=first)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         first, last, checksum, _ = self.file.get()
         self.file.update((first, last, checksum, False))
-        yield pd.DataFrame([(key[0], last + self.gap_s, "missing", checksum, first)], columns=["path", "at_s", "change", "checksum", "first_s"])
+        yield Row(path=key[0], at_s=last + self.gap_s, change="missing", checksum=checksum, first_s=first)
 
     def close(self) -> None:
         pass
@@ -131,7 +133,7 @@ def file_changes(scans: DataFrame, out: str, gap_s: int) -> DataFrame:
     """path, at_s, change (new, changed, missing, back), checksum, first_s, batch: what a stream of sightings (path, seen_s, checksum) tells. A file is
     missing when the newest sighting of any file is gap_s later than its last one, so gap_s is longer than the time between two scans. Call it again with the same out to go on with more sightings."""
     timed = scans.where("path is not null and seen_s is not null").withColumn("ts", F.timestamp_seconds("seen_s")).withWatermark("ts", "0 seconds")
-    changes = timed.groupBy("path").transformWithStateInPandas(FileStates(gap_s), "path string, at_s long, change string, checksum string, first_s long", "Update", "EventTime")
+    changes = timed.groupBy("path").transformWithState(FileStates(gap_s), "path string, at_s long, change string, checksum string, first_s long", "Update", "EventTime")
     _run(changes, out)
     return _read(scans.sparkSession, out, "path string, at_s long, change string, checksum string, first_s long")
 
