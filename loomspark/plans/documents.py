@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money as mo
 from ..functions import rules as ru
 from ..functions import text as tx
+from ..operators.retrieve import kept
 from ..sources import fixtures as fx
 from .registry import query
 
@@ -247,7 +248,8 @@ _LINE_SQL = "'- Date: ' || coalesce(date, 'unknown') || ' | Amount: ' || printf(
 def _(spark, sf):
     # a customer's papers are what was retrieved; papers without records are told from their texts
     d = fx.statements(spark, sf)
-    r = records(d)
+    # read twice, so made once
+    r = kept(records(d))
     name = ru.filename(F.col("path"))
     bucket = F.when(F.col("year") != YEAR, "mentioned").when((F.col("confidence") >= SURE) & (F.col("n_links") > 0), "clearly_supported").otherwise("ambiguous")
     items = r.where(_concept(F.col("record_type"))).join(d.select("doc_id", "customer", "path"), "doc_id").select("customer", bucket.alias("bucket"), "date", "amount", "currency", "counterparty", F.concat(name, F.lit(" (chunk evidence)")).alias("source"))
