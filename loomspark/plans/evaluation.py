@@ -109,9 +109,7 @@ def _(spark, sf):
 
 # Words that anchor nothing.
 COMMON = ("a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "how", "i", "in", "is", "it", "me", "my", "of", "on", "or", "the", "to", "was", "what", "when", "where", "which", "who", "with", "you")
-SEGMENTS, SLICE, SAMPLE = 80, 8000, 20000
-#: Pairs whose first texts, of SAMPLE characters at most, are sent to all tasks.
-PAIRS = 5000
+SEGMENTS, SLICE = 80, 8000
 
 
 def sampled(text, n: int):
@@ -139,10 +137,11 @@ def _(spark, sf):
 
 
 def _pairs(spark, sf) -> DataFrame:
+    """A question's expected document and first hit with their whole texts. Keys may be sent to all tasks; texts are shuffled, those of the pairs alone."""
     d = fx.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    p = s.small(r.kept(rows(spark, sf).where("expected is not null and top1 is not null").select("query_id", "expected", "top1", "rank")))
-    p = r.kept(p.join(d.select(F.col("doc_id").alias("expected"), sampled(F.col("text"), SAMPLE).alias("a")), "expected"))
-    return s.small(p, PAIRS).join(d.select(F.col("doc_id").alias("top1"), sampled(F.col("text"), SAMPLE).alias("b")), "top1")
+    p = r.kept(rows(spark, sf).where("expected is not null and top1 is not null").select("query_id", "expected", "top1", "rank"))
+    text = lambda key, name: s.small(p.select("query_id", F.col(key).alias("doc_id"))).join(d, "doc_id").select("query_id", F.col("text").alias(name))
+    return p.join(text("expected", "a"), "query_id").join(text("top1", "b"), "query_id")
 
 
 def _likeness(p: DataFrame) -> DataFrame:
@@ -151,7 +150,7 @@ def _likeness(p: DataFrame) -> DataFrame:
     return p.withColumn("jaccard", F.round(F.coalesce(F.try_divide(both, F.size(F.array_union(x, y))), F.lit(0.0)), 4)).withColumn("containment", F.round(F.coalesce(F.try_divide(both, F.least(F.size(x), F.size(y))), F.lit(0.0)), 4))
 
 
-_XY = f"list_distinct({TOK.format(_sample('x.text', SAMPLE))}) AS s1, list_distinct({TOK.format(_sample('y.text', SAMPLE))}) AS s2"
+_XY = f"list_distinct({TOK.format('x.text')}) AS s1, list_distinct({TOK.format('y.text')}) AS s2"
 
 
 @query("near_duplicate_text", f"""{ROWS}, p AS (SELECT query_id, expected, top1, {_XY} FROM ev JOIN documents x ON x.doc_id = expected JOIN documents y ON y.doc_id = top1) SELECT query_id, expected, top1, round(len(list_intersect(s1, s2)) / (len(s1) + len(s2) - len(list_intersect(s1, s2)))::DOUBLE, 4) AS jaccard, round(len(list_intersect(s1, s2)) / least(len(s1), len(s2))::DOUBLE, 4) AS containment FROM p""")
