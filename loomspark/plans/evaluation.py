@@ -160,15 +160,15 @@ def _(spark, sf):
 
 @query("answer_similarity")
 def _(spark, sf):
-    # the sequence ratio has no SQL: the pairs are few, one a question
+    # the sequence ratio has no SQL: the pairs are few, one a question, but a long one takes long, so they go to tasks by their number and not their size
     def ratios(frames):  # noqa: ANN001, ANN202
         from difflib import SequenceMatcher
 
         for f in frames:
-            r = [round(SequenceMatcher(None, x, y).ratio(), 4) if x and y else 0.0 for x, y in zip(f["a"], f["b"], strict=True)]
+            r = [0.0 if not x or not y else 1.0 if x == y else round(SequenceMatcher(None, x, y).ratio(), 4) for x, y in zip(f["a"], f["b"], strict=True)]
             yield f.drop(columns=["a", "b"]).assign(ratio=r)
 
-    p = _likeness(_pairs(spark, sf)).select("query_id", "expected", "top1", "rank", "jaccard", "containment", "a", "b").mapInPandas(ratios, "query_id long, expected long, top1 long, rank long, jaccard double, containment double, ratio double")
+    p = _likeness(_pairs(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism, "query_id")).select("query_id", "expected", "top1", "rank", "jaccard", "containment", "a", "b").mapInPandas(ratios, "query_id long, expected long, top1 long, rank long, jaccard double, containment double, ratio double")
     same = (F.col("containment") >= 0.95) | (F.col("ratio") >= 0.95) | ((F.col("containment") >= 0.90) & (F.col("jaccard") >= 0.85) & (F.col("ratio") >= 0.85))
     equal = same | ((F.col("containment") >= 0.82) & (F.col("ratio") >= 0.72)) | ((F.col("containment") >= 0.75) & (F.col("jaccard") >= 0.50) & (F.col("ratio") >= 0.65))
     likely = F.when(same, "likely_correct").when(F.col("rank") <= 3, "possibly_correct_top3").when((F.col("rank") <= 10) & (F.col("containment") >= 0.80), "possibly_correct_similar").otherwise("unlikely_or_unknown")

@@ -21,3 +21,9 @@ def sf(spark, tmp_path, monkeypatch):
 def test_words_in_the_middle_count(spark, sf):
     got = {r["query_id"]: (r["jaccard"], r["containment"]) for r in registry.QUERIES["near_duplicate_text"](spark, sf).collect()}
     assert got == {1: (0.5, round(4000 / 6000, 4)), 2: (1.0, 1.0)}
+
+
+def test_characters_in_the_middle_count(spark, sf):
+    got = {r["query_id"]: r for r in registry.QUERIES["answer_similarity"](spark, sf).collect()}
+    assert (got[1]["jaccard"], got[1]["near_duplicate"], got[1]["likelihood"]) == (0.5, False, "possibly_correct_top3")
+    assert got[1]["ratio"] < 0.95 and got[2]["ratio"] == 1.0
