@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money as mo
 from ..functions import rules as ru
 from ..functions import text as tx
+from ..operators.paper_records import AROUND, CHUNK, LINKS, STEP, records
 from ..operators.retrieve import kept
 from ..sources import fixtures as fx
 from .registry import query
@@ -183,26 +184,6 @@ def _(spark, sf):
     return enrichment(fx.statements(spark, sf))
 
 
-CHUNK, STEP, AROUND, LINKS = 120, 90, 60, 50
-
-
-def records(docs: DataFrame) -> DataFrame:
-    """Records of statements, one for each document and merge key: amounts of overlapping chunks with the chunk's earliest date (else the document's), merged. The first chunk's
-    record wins; links are distinct evidence, LINKS at most; confidence is the best."""
-    d = typed(docs).where(~F.col("family").isin(*ru.SUPPRESSED)).withColumn("day", F.get(mo.dates(F.col("text")), F.lit(0)))
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(STEP))
-    c = d.select("doc_id", "checksum", "family", "day", "text", F.posexplode(starts).alias("chunk", "at")).withColumn("text", F.expr(f"substring(text, at + 1, {CHUNK})"))
-    c = c.select("doc_id", "checksum", "family", "chunk", "text", F.coalesce(F.get(mo.dates(F.col("text")), F.lit(0)), "day").alias("date"), mo.counterparty(F.col("text")).alias("counterparty"), F.posexplode(mo.amounts(F.col("text"))).alias("i", "a")).where("date is not null")
-    kind = ru.record_type(F.col("family"), F.col("text"))
-    c = c.select("doc_id", "checksum", "family", "chunk", "i", "date", "counterparty", F.col("a.amount").alias("amount"), F.col("a.currency").alias("currency"), kind.alias("record_type"), F.when(F.col("counterparty").isNotNull(), 0.8).otherwise(0.72).alias("confidence"),
-                 F.expr(f"trim(substring(text, greatest(a.start - {AROUND}, 0) + 1, a.start + length(a.span) + {AROUND} - greatest(a.start - {AROUND}, 0)))").alias("evidence"))
-    key = F.concat_ws("|", "record_type", "date", F.format_string("%.2f", "amount"), "currency", F.coalesce(F.lower("counterparty"), F.lit("")))
-    c = c.withColumn("merge_key", key)
-    first = F.min_by(F.struct("record_type", "date", "amount", "currency", "counterparty", "family"), F.struct("chunk", "i"))
-    m = c.groupBy("doc_id", "checksum", "merge_key").agg(first.alias("r"), F.max("confidence").alias("confidence"), F.least(F.count_distinct("chunk", "evidence"), F.lit(LINKS)).alias("n_links"))
-    return m.select("doc_id", "checksum", "merge_key", "r.*", "confidence", "n_links", F.substring("r.date", 1, 4).cast("int").alias("year"))
-
-
 _CHUNKS = f"(SELECT doc_id, checksum, family, day, at_ // {STEP} AS chunk, substring(text, at_ + 1, {CHUNK}) AS text FROM (SELECT *, {DATES.of('text')}[1] AS day, unnest(range(0, greatest(length(text) - 1, 0) + 1, {STEP})) AS at_ FROM {_STATE} WHERE family NOT IN ({_SUP})))"
 _KEYS = "doc_id, checksum, family, day, chunk, text"
 RECORDS = f"""(SELECT doc_id, checksum, merge_key, arg_min(record_type, chunk * 1000 + i) AS record_type, arg_min(date, chunk * 1000 + i) AS date, arg_min(amount, chunk * 1000 + i) AS amount, arg_min(currency, chunk * 1000 + i) AS currency, min(party) AS counterparty, min(family) AS family, max(confidence) AS confidence,

@@ -84,7 +84,11 @@ def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws("\n", head, F.concat(F.lit("Vendor: Firm "), F.col("o_custkey").cast("string"), F.lit(" Ltd.")), F.concat(F.lit("Date: "), day), F.concat(F.lit("Sum due "), amount), last)
     name = F.element_at(F.array(*map(F.lit, STATEMENT_FILES)), (kind + 1).cast("int"))
     path = F.concat(F.lit("/finance/"), year, F.lit("/"), name, F.lit("_"), k.cast("string"), F.lit(".pdf"))
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.col("o_custkey").alias("customer"), path.alias("path"), text.alias("text")).withColumn("checksum", F.sha2("text", 256))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    # a small file is one task's, and so would be all that reads the letters
+    if orders.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        orders = orders.repartition(spark.sparkContext.defaultParallelism)
+    return orders.select(k.alias("doc_id"), F.col("o_custkey").alias("customer"), path.alias("path"), text.alias("text")).withColumn("checksum", F.sha2("text", 256))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
