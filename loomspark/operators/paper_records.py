@@ -172,19 +172,29 @@ def _read(b: pa.RecordBatch) -> tuple[np.ndarray, list[tuple]]:
     return family, records_of(text, family)
 
 
+_KINDS = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64())
+_NAMES = [x.split()[0] for x in RECORD.split(", ")]
+
+
+def _rows(b: pa.RecordBatch, own: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    """The batch's own columns beside rows that begin with their place in it."""
+    at, *columns = zip(*rows, strict=True)
+    taken = [b.column(c).take(pa.array(at, pa.int64())) for c in own]
+    return pa.RecordBatch.from_arrays(taken + [pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=[*own, *_NAMES])
+
+
 def _record_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64())
-    names = [x.split()[0] for x in RECORD.split(", ")]
     for b in _bounded(batches):
-        _, rows = _read(b)
-        if rows:
-            at, *columns = zip(*rows, strict=True)
-            own = [b.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "checksum")]
-            yield pa.RecordBatch.from_arrays(own + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "checksum", *names])
+        if rows := _read(b)[1]:
+            yield _rows(b, ["doc_id", "checksum"], rows)
 
 
-def records(docs: DataFrame) -> DataFrame:
-    """Records of statements (doc_id, checksum, path, text), one for each document and merge key. Rows that repeat a document have the same records, which are one."""
-    rows = docs.select(F.col("doc_id").cast("long"), "checksum", "path", "text").mapInArrow(_record_rows, f"doc_id long, checksum string, {RECORD}")
+def merged(rows: DataFrame) -> DataFrame:
+    """Rows of records, one for each document and merge key: rows that repeat a document have the same records, which are one."""
     same = [F.min(c).alias(c) for c in ("record_type", "date", "amount", "currency", "counterparty", "family", "confidence", "n_links")]
     return rows.groupBy("doc_id", "checksum", "merge_key").agg(*same).withColumn("year", F.substring("date", 1, 4).cast("int"))
+
+
+def records(docs: DataFrame) -> DataFrame:
+    """Records of statements (doc_id, checksum, path, text), merged."""
+    return merged(docs.select(F.col("doc_id").cast("long"), "checksum", "path", "text").mapInArrow(_record_rows, f"doc_id long, checksum string, {RECORD}"))

@@ -59,3 +59,12 @@ def test_families_are_those_of_the_rules(spark, papers):
 def test_a_text_is_read_in_one_pass(spark, papers):
     plan = documents.records(_docs(spark, papers))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "regexp" not in plan
+
+
+def _plan(spark, name):
+    return registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_upserts_read_records_once(spark):
+    plan = _plan(spark, "record_upsert_stats")
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
