@@ -68,3 +68,8 @@ def _plan(spark, name):
 def test_upserts_read_records_once(spark):
     plan = _plan(spark, "record_upsert_stats")
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_only_linked_documents_are_read(spark):
+    plan = _plan(spark, "linked_records_semi")
+    assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("LeftSemi")
