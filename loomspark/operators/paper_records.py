@@ -198,3 +198,16 @@ def merged(rows: DataFrame) -> DataFrame:
 def records(docs: DataFrame) -> DataFrame:
     """Records of statements (doc_id, checksum, path, text), merged."""
     return merged(docs.select(F.col("doc_id").cast("long"), "checksum", "path", "text").mapInArrow(_record_rows, f"doc_id long, checksum string, {RECORD}"))
+
+
+def _cover_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _bounded(batches):
+        family, rows = _read(b)
+        has = np.zeros(b.num_rows, bool)
+        has[[r[0] for r in rows]] = True
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("customer"), pa.array(~np.isin(family, ru.SUPPRESSED)), pa.array(has)], names=["doc_id", "customer", "open", "has"])
+
+
+def covered(docs: DataFrame) -> DataFrame:
+    """doc_id, customer, open, has of each row of docs (doc_id, customer, path, text): whether its family can hold financial papers, and whether it has records."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("customer").cast("long"), "path", "text").mapInArrow(_cover_rows, "doc_id long, customer long, open boolean, has boolean")

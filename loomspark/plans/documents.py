@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money as mo
 from ..functions import rules as ru
 from ..functions import text as tx
-from ..operators.paper_records import AROUND, CHUNK, LINKS, STEP, records
+from ..operators.paper_records import AROUND, CHUNK, LINKS, STEP, covered, records
 from ..operators.retrieve import kept
 from ..operators.search import small
 from ..sources import fixtures as fx
@@ -244,9 +244,9 @@ def _(spark, sf):
 
 @query("answer_coverage", f"SELECT customer, count(*) AS papers, count(*) FILTER (WHERE family NOT IN ({_SUP}) AND doc_id NOT IN (SELECT doc_id FROM {RECORDS})) AS uncovered FROM {_STATE} GROUP BY customer")
 def _(spark, sf):
-    d = typed(fx.statements(spark, sf)).select("doc_id", "customer", "family")
-    bare = d.where(~F.col("family").isin(*ru.SUPPRESSED)).join(records(fx.statements(spark, sf)).select("doc_id"), "doc_id", "left_anti").groupBy("customer").agg(F.count("*").alias("uncovered"))
-    return d.groupBy("customer").agg(F.count("*").alias("papers")).join(bare, "customer", "left").select("customer", "papers", F.coalesce("uncovered", F.lit(0)).alias("uncovered"))
+    # a document's rows meet, since any of them may have its records
+    d = covered(fx.statements(spark, sf)).withColumn("any", F.max("has").over(Window.partitionBy("doc_id")))
+    return d.groupBy("customer").agg(F.count("*").alias("papers"), F.count_if(F.col("open") & ~F.col("any")).alias("uncovered"))
 
 
 @query("linked_records_semi", f"SELECT doc_id, merge_key FROM {RECORDS} WHERE checksum IN (SELECT checksum FROM {ST} WHERE customer % 10 = 0)")

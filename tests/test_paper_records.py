@@ -73,3 +73,19 @@ def test_upserts_read_records_once(spark):
 def test_only_linked_documents_are_read(spark):
     plan = _plan(spark, "linked_records_semi")
     assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("LeftSemi")
+
+
+def _answers(spark, con, papers, monkeypatch, name):
+    """A query and its SQL over the odd papers; the query's rows and its plan."""
+    monkeypatch.setattr(documents.fx, "statements", lambda spark, sf: _docs(spark, papers))
+    got = registry.QUERIES[name](spark, "")
+    cur = con.execute(registry.SQL[name].replace(fx.STATEMENTS, "given"))
+    got_rows, want = harness.rows(got.columns, [tuple(r) for r in got.collect()]), harness.rows([d[0] for d in cur.description], cur.fetchall())
+    assert got_rows == want
+    return got_rows[1], got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_coverage_of_odd_papers(spark, con, papers, monkeypatch):
+    rows, plan = _answers(spark, con, papers, monkeypatch, "answer_coverage")
+    assert len(rows) == len(TEXTS) and any(r[-1] for r in rows)
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
