@@ -211,3 +211,29 @@ def _cover_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(docs: DataFrame) -> DataFrame:
     """doc_id, customer, open, has of each row of docs (doc_id, customer, path, text): whether its family can hold financial papers, and whether it has records."""
     return docs.select(F.col("doc_id").cast("long"), F.col("customer").cast("long"), "path", "text").mapInArrow(_cover_rows, "doc_id long, customer long, open boolean, has boolean")
+
+
+def _paper_rows(year: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ["doc_id", "customer", "path", "checksum"]
+        for b in _bounded(batches):
+            rows = _read(b)[1]
+            if rows:
+                yield _rows(b, own, rows)
+            bare = np.ones(b.num_rows, bool)
+            bare[[r[0] for r in rows]] = False
+            at = np.flatnonzero(bare)
+            text = pc.fill_null(b.column("text"), "").take(pa.array(at))
+            fits = _true(pc.match_substring_regex(text, rf"\b{year}\b")) | ~_true(pc.match_substring_regex(text, r"\b(?:19|20)[0-9]{2}\b"))
+            at, text = at[fits], text.filter(pa.array(fits))
+            spans = [next((x for s in p[1::2] if (x := (value(s), currency(s)))[0]), None) for p in _pieces(text, mo.AMOUNT).to_pylist()]
+            rows = [(int(d), None, None, day_, s[0], s[1], None, None, None, None) for d, day_, s in zip(at, first_days(text), spans, strict=True) if s]
+            if rows:
+                yield _rows(b, own, rows)
+
+    return run
+
+
+def papers(docs: DataFrame, year: int) -> DataFrame:
+    """doc_id, customer, path, checksum and the columns of RECORD, of docs (these and text): records, not merged; of a row without any that names the year, or no year, its first amount and earliest date, without a merge_key."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("customer").cast("long"), "path", "checksum", "text").mapInArrow(_paper_rows(year), f"doc_id long, customer long, path string, checksum string, {RECORD}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money as mo
 from ..functions import rules as ru
 from ..functions import text as tx
-from ..operators.paper_records import AROUND, CHUNK, LINKS, STEP, covered, records
+from ..operators.paper_records import AROUND, CHUNK, LINKS, STEP, covered, merged, papers, records
 from ..operators.retrieve import kept
 from ..operators.search import small
 from ..sources import fixtures as fx
@@ -229,14 +229,12 @@ _LINE_SQL = "'- Date: ' || coalesce(date, 'unknown') || ' | Amount: ' || printf(
 def _(spark, sf):
     # a customer's papers are what was retrieved; papers without records are told from their texts
     d = fx.statements(spark, sf)
-    # read twice, so made once
-    r = kept(records(d))
+    # made once, as it is read three times: answers on the concept, what has records, and what may have none
+    made = kept(papers(d, YEAR).withColumn("checksum", F.when(_concept(F.col("record_type")), F.col("checksum"))).withColumn("path", F.when(F.col("merge_key").isNull(), F.col("path"))))
     name = ru.filename(F.col("path"))
     bucket = F.when(F.col("year") != YEAR, "mentioned").when((F.col("confidence") >= SURE) & (F.col("n_links") > 0), "clearly_supported").otherwise("ambiguous")
-    items = r.where(_concept(F.col("record_type"))).join(d.select("doc_id", "customer", "path"), "doc_id").select("customer", bucket.alias("bucket"), "date", "amount", "currency", "counterparty", F.concat(name, F.lit(" (chunk evidence)")).alias("source"))
-    bare = d.join(r.select("doc_id"), "doc_id", "left_anti").withColumn("a", F.get(mo.amounts(F.col("text")), F.lit(0))).where("a is not null")
-    years = tx.years(F.col("text"))
-    bare = bare.where((F.size(years) == 0) | F.array_contains(years, YEAR)).select("customer", F.lit("mentioned").alias("bucket"), F.get(mo.dates(F.col("text")), F.lit(0)).alias("date"), "a.amount", "a.currency", F.lit(None).cast("string").alias("counterparty"), name.alias("source"))
+    items = merged(made.where(_concept(F.col("record_type")))).join(d.select("doc_id", "customer", "path"), "doc_id").select("customer", bucket.alias("bucket"), "date", "amount", "currency", "counterparty", F.concat(name, F.lit(" (chunk evidence)")).alias("source"))
+    bare = made.where("merge_key is null").join(made.where("merge_key is not null").select("doc_id"), "doc_id", "left_anti").select("customer", F.lit("mentioned").alias("bucket"), "date", "amount", "currency", "counterparty", name.alias("source"))
     unit = F.when(F.col("currency").isin("", "UNKNOWN"), "").otherwise(F.concat(F.lit(" "), "currency"))
     line = F.concat(F.lit("- Date: "), F.coalesce("date", F.lit("unknown")), F.lit(" | Amount: "), F.format_string("%.2f", "amount"), unit, F.lit(" | Counterparty: "), F.coalesce("counterparty", F.lit("unknown")), F.lit(" | Source: "), "source")
     return items.unionByName(bare).groupBy("customer", "bucket").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"), F.min(line).alias("first_line"))

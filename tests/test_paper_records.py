@@ -89,3 +89,8 @@ def test_coverage_of_odd_papers(spark, con, papers, monkeypatch):
     rows, plan = _answers(spark, con, papers, monkeypatch, "answer_coverage")
     assert len(rows) == len(TEXTS) and any(r[-1] for r in rows)
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_answers_of_odd_papers(spark, con, papers, monkeypatch):
+    rows, plan = _answers(spark, con, papers, monkeypatch, "financial_answer")
+    assert len(rows) == 10 and "regexp" not in plan
